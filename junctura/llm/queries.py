@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm import simhash, substring_dedup
+from public_tokenizers import path as tokenizer_path
+
+from junctura.llm import packing, quality_model, quality_rules, simhash, substring_dedup
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(_documents(spark, sf_dir))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "features.n_words", "features.word_chars", "features.n_symbols", "features.n_dup_lines",
+        "features.n_repeat_words", "features.n_lines", "features.n_stop_words", "base_failed", "kept", "failed_rule",
+    )
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality_model.score(spark, docs, model)
+    return found.withColumn("predicted", (F.col("score") >= quality_model.THRESHOLD).cast("int"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(spark, _documents(spark, sf_dir))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -22,5 +41,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op6_simhash": op6_simhash}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, _documents(spark, sf_dir), tokenizer_path(TOKENIZER))
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op6_simhash": op6_simhash,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
