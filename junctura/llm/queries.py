@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from junctura.llm import packing, quality_model, quality_rules, simhash, substring_dedup
+from junctura.llm import mixing, oracles, packing, quality_model, quality_rules, simhash, substring_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(spark, _documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(_documents(spark, sf_dir))
     return found.select(
@@ -46,10 +50,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_simhash": op6_simhash,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": oracles.OP1,
+    "op2_quality_rules": oracles.op2(list(dict.fromkeys(quality_rules.STOP_WORDS))),
+    "op4_substring_dedup": oracles.OP4,
+}
