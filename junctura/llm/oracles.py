@@ -100,9 +100,9 @@ def op8(rules: list[tuple[str, str, str]]) -> str:
     values = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in rules)
     return rf"""
 WITH u AS (
-  SELECT page_id, row_number() OVER () AS r, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at FROM pages
+  SELECT page_id, row_number() OVER () AS r, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark FROM pages
 ), h AS (
-  SELECT page_id, r, CASE WHEN at = 0 THEN '' ELSE substr(url, at + 3) END AS rest FROM u
+  SELECT page_id, r, CASE WHEN mark = 0 THEN '' ELSE substr(url, mark + 3) END AS rest FROM u
 ), s AS (
   SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM h

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from junctura.llm import mixing, oracles, packing, quality_model, quality_rules, simhash, substring_dedup
+from junctura.llm import mixing, oracles, packing, quality_model, quality_rules, simhash, substring_dedup, topk, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(topk.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", topk.whole_units(F.col("embedding")).alias("v"))
+    return topk.top_k(spark, vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judged(spark, pages, url_filter.rules(spark, URL_RULES))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _documents(spark, sf_dir), tokenizer_path(TOKENIZER))
 
@@ -55,10 +67,14 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_simhash": op6_simhash,
+    "op7_kd_tree_top_k": op7_kd_tree_top_k,
+    "op8_url_filter": op8_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": oracles.OP1,
     "op2_quality_rules": oracles.op2(list(dict.fromkeys(quality_rules.STOP_WORDS))),
     "op4_substring_dedup": oracles.OP4,
+    "op7_kd_tree_top_k": oracles.OP7,
+    "op8_url_filter": oracles.op8(URL_RULES),
 }
