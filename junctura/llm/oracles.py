@@ -114,3 +114,25 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, coalesce(rule_action, 'allow') AS verdict FROM s LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (r)
 """
+
+
+OP9 = r"""
+WITH b AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(coalesce(url, '') || chr(10) || coalesce(html, '')) AS m FROM pages
+), c AS (
+  SELECT page_id, url, ('0x' || substr(md5(concat_ws(chr(10), page_id::VARCHAR, url)), 1, 8))::BIGINT AS h,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:uuid:' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>' || chr(13) || chr(10)
+    || 'WARC-Date: 2000-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(html)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM b
+), d AS (
+  SELECT page_id, url, h, strlen(record)::BIGINT AS record_length, sha256(record) AS record_sha256 FROM c
+), f AS (
+  SELECT *, h % greatest(1, (SELECT ceil(sum(record_length) / 4194304.0) FROM d))::BIGINT AS file FROM d
+)
+SELECT page_id, file, record_length, record_sha256,
+  coalesce(sum(record_length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, url, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
+  CASE WHEN page_id % 211 = 11 THEN 'lost' WHEN page_id % 211 = 7 THEN 'altered' ELSE 'intact' END AS status
+FROM f
+"""

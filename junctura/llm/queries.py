@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from junctura.llm import mixing, oracles, packing, quality_model, quality_rules, simhash, substring_dedup, topk, url_filter
+from junctura.llm import common, html_text, mixing, oracles, packing, quality_model, quality_rules, simhash, substring_dedup, topk, url_filter, warc
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -41,6 +41,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, _documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -57,6 +61,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(spark, pages, url_filter.rules(spark, URL_RULES))
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages, audited against a replica in which two pages of 211 are damaged by rule."""
+    tables = common.Tables(spark, "op9")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    primary = tables.put("primary", warc.archive(spark, pages, tables))
+    altered = pages.where("page_id % 211 = 7").select("page_id", F.sha2(warc.record(F.col("url"), F.concat(F.lit("~"), F.coalesce(F.substring("html", 2, 1 << 30), F.lit("")))).cast("binary"), 256).alias("other"))
+    copied = primary.where("page_id is null or page_id % 211 <> 11").join(altered, "page_id", "left")
+    replica = copied.select("file", "record_offset", "record_length", F.coalesce("other", "record_sha256").alias("record_sha256"))
+    return warc.checked(spark, primary, tables.put("replica", replica))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _documents(spark, sf_dir), tokenizer_path(TOKENIZER))
 
@@ -66,9 +81,11 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_simhash": op6_simhash,
     "op7_kd_tree_top_k": op7_kd_tree_top_k,
     "op8_url_filter": op8_url_filter,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +94,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": oracles.OP4,
     "op7_kd_tree_top_k": oracles.OP7,
     "op8_url_filter": oracles.op8(URL_RULES),
+    "op9_warc_fixity": oracles.OP9,
 }
