@@ -1,22 +1,46 @@
-"""From documents to packed sequences: each stage's rows are written and read again by the next."""
+"""From documents to packed sequences: each stage's rows are written and read again by the next.
+
+The stages take the operators' production parameters; near-duplicates follow the contract of op6 (three-word
+shingles, fingerprints within two bits), since SimHash has a distance in bits in place of a similarity.
+"""
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import common, simhash, substring_dedup
+from junctura.llm import common, mixing, packing, quality_rules, simhash, substring_dedup
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality_rules.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
     return simhash.one_of_each(spark, docs)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words and more that a document with a smaller doc_id has."""
     return substring_dedup.without_repeats(spark, docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("substring dedup", span_dedup)]
-#: SQL cannot express the stages; tests/llm holds them against brute force.
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight takes them, shuffled by shard."""
+    return mixing.mixture(spark, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the mix with their place in a packed sequence."""
+    return packing.pack_documents(spark, docs, tokenizer_path(TOKENIZER))
+
+
+STAGES = [("quality rules", rules), ("simhash near-dedup", near_dedup), ("substring dedup", span_dedup), ("mixing", mix), ("best-fit packing", pack)]
+#: SQL has no XXH64 and no tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
