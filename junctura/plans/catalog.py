@@ -1,4 +1,216 @@
-"""Queries of the junction graph, by name, with the same results in DuckDB's SQL."""
+"""Queries of the junction graph, by name, with the same results in DuckDB's SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Sequences are derived from `documents`; see sources.sequences.VARIANTS.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from junctura.functions import dna
+from junctura.operators import junctions, segments, windows
+from junctura.plans import formats, oracle
+from junctura.plans.graph import JunctionGraph
+from junctura.sources import junction_file, sequences
+
+CHUNK_LETTERS = 1000
+LOOKED_UP = ["ACGTACGTACG", "TGACTGACTGA", "AAAAAAAAAAA", "CATCATCATCA", "TTTTTTTTTTT", "ATATATATATA"]
+BINS, ROUNDS, ABUNDANCE = 1024, 3, 5
+
+
+def _seqs(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
+    return sequences.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), variant)
+
+
+def _graph(spark: SparkSession, sf_dir: str, variant: str = "clean", k: int = 11, abundance: int | None = None) -> JunctionGraph:
+    return JunctionGraph(_seqs(spark, sf_dir, variant), k, abundance)
+
+
+def q01_fasta_parse(spark, sf_dir):
+    texts = sequences.to_fasta(_seqs(spark, sf_dir, "clean"))
+    records = texts.select("seq_id", F.explode(sequences.fasta_records(F.col("fasta"))).alias("r"))
+    return records.select("seq_id", "r.header", F.length("r.seq").cast("long").alias("length"), F.md5(F.col("r.seq").cast("binary")).alias("seq_md5"))
+
+
+def q02_letter_classes(spark, sf_dir):
+    own = _seqs(spark, sf_dir, "iupac")
+    return own.select("seq_id", dna.is_valid(F.col("seq")).alias("valid"), dna.is_definite(F.col("seq")).alias("definite"), F.md5(dna.normalised(F.col("seq")).cast("binary")).alias("normalised_md5"))
+
+
+def q03_chunks(spark, sf_dir):
+    return windows.chunks(_seqs(spark, sf_dir, "iupac"), CHUNK_LETTERS, 12, least=11).select("seq_id", "chunk_no", "start", "is_final", "len")
+
+
+def q04_metadata(spark, sf_dir):
+    names = sequences.metadata(_seqs(spark, sf_dir, "clean"), prefix=True)
+    return names.join(formats.gfa1_inputs(names), "seq_id").select("seq_id", "name", "length", "file", "line")
+
+
+def q05_junction_file(spark, sf_dir):
+    placed = _graph(spark, sf_dir).positions
+    records = junction_file.with_separators(placed).select(F.col("seq_id").alias("block"), "at", "pos", "junction_id")
+    return junction_file.decoded(records)
+
+
+def q06_marks(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    found = junction_file.marks(g.positions, g.sequences)
+    return found.select("seq_id", F.size("marks").cast("long").alias("n_marks"), F.aggregate("marks", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_pos"))
+
+
+def q07_seq_lines(spark, sf_dir):
+    return formats.seq_lines(_graph(spark, sf_dir, "gapped").positions)
+
+
+def q08_group_lines(spark, sf_dir):
+    return formats.group_lines(_graph(spark, sf_dir).positions)
+
+
+def q09_dot_lines(spark, sf_dir):
+    return formats.dot_lines(segments.pairs(_graph(spark, sf_dir).positions))
+
+
+def q10_pieces(spark, sf_dir):
+    return _graph(spark, sf_dir).pieces
+
+
+def q11_segments(spark, sf_dir):
+    return formats.segment_lines(_graph(spark, sf_dir).segments, 1)
+
+
+def _names(g):
+    return sequences.metadata(g.sequences)
+
+
+def q12_gfa1_occurrences(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return formats.occurrence_lines(g.pieces, _names(g), g.k, 1)
+
+
+def q13_gfa1_links(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return formats.link_lines(g.links, g.k, 1)
+
+
+def q14_gfa1_paths(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return formats.path_lines(g.paths, _names(g), 1)
+
+
+def q15_gfa2_segments(spark, sf_dir):
+    return formats.segment_lines(_graph(spark, sf_dir).segments, 2)
+
+
+def q16_gfa2_occurrences(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return formats.occurrence_lines(g.pieces, _names(g), g.k, 2)
+
+
+def q17_gfa2_links(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return formats.link_lines(g.links, g.k, 2)
+
+
+def q18_gfa2_paths(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return formats.path_lines(g.paths, _names(g), 2)
+
+
+def q19_fasta_lines(spark, sf_dir):
+    return formats.fasta_lines(_graph(spark, sf_dir).segments)
+
+
+def q20_respell(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    spelled = segments.respelled(g.paths, g.segments, g.k)
+    joined = spelled.join(g.sequences.select("seq_id", "seq"), "seq_id")
+    return joined.select("seq_id", (F.col("spelled") == F.col("seq")).alias("same"), F.md5(F.col("spelled").cast("binary")).alias("spelled_md5"))
+
+
+def q21_link_overlaps(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return segments.overlaps(g.links, g.segments, g.k)
+
+
+def q22_metrics(spark, sf_dir):
+    g = _graph(spark, sf_dir, "gapped")
+    return junctions.metrics(g.occurrences, g.vertices, g.positions)
+
+
+def q23_kmers(spark, sf_dir):
+    return windows.definite(_graph(spark, sf_dir, "gapped").windows).select("seq_id", "pos", "kmer")
+
+
+def q24_rounds(spark, sf_dir):
+    return junctions.junctions_in_rounds(_graph(spark, sf_dir).occurrences, BINS, ROUNDS)
+
+
+def q25_junctions_k11(spark, sf_dir):
+    return _graph(spark, sf_dir, "gapped").vertices.where(junctions.is_junction())
+
+
+def q25_junctions_k25(spark, sf_dir):
+    return _graph(spark, sf_dir, "gapped", 25).vertices.where(junctions.is_junction())
+
+
+def q26_abundance(spark, sf_dir):
+    return _graph(spark, sf_dir, "gapped", abundance=ABUNDANCE).junctions
+
+
+def q27_stubs(spark, sf_dir):
+    g = _graph(spark, sf_dir, "gapped", 25)
+    total = g.junctions.agg(F.count("*").alias("total"))
+    found = g.positions.crossJoin(F.broadcast(total)).where("abs(junction_id) >= total + 42")
+    return found.select("seq_id", "pos", "junction_id")
+
+
+def q28_signed_lookup(spark, sf_dir):
+    g = _graph(spark, sf_dir, "gapped")
+    return junctions.signed(g.occurrences, g.junctions).select("seq_id", "pos", "junction_id")
+
+
+def q29_id_lookup(spark, sf_dir):
+    return junctions.lookup(junctions.kmer_table(spark, LOOKED_UP), _graph(spark, sf_dir).junctions)
+
+
+def q30_edge_degrees(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return junctions.edge_degrees(g.sequences, g.occurrences, g.k)
+
+
+def q31_kmer_counts(spark, sf_dir):
+    return _graph(spark, sf_dir).occurrences.groupBy("ck").agg(F.count("*").alias("n"))
+
+
+def q32_both_strands(spark, sf_dir):
+    return junctions.both_strands(_graph(spark, sf_dir, "clean", 9).occurrences)
+
+
+def q33_ids(spark, sf_dir):
+    found = _graph(spark, sf_dir).vertices
+    back = junctions.junctions(found, backwards=True).select("ck", F.col("id").alias("packed_id"))
+    return junctions.junctions(found).select("ck", "id").join(back, "ck")
+
+
+def q34_reserved_segments(spark, sf_dir):
+    return _graph(spark, sf_dir, "gapped").pieces.where(F.col("segment_id") >= segments.RESERVED)
+
+
+def q35_reverse_complement(spark, sf_dir):
+    rc = dna.reverse_complement(F.col("seq"))
+    return _seqs(spark, sf_dir, "clean").select("seq_id", F.md5(rc.cast("binary")).alias("rc_md5"), (F.col("seq") < rc).alias("less"))
+
+
+def q36_canonical(spark, sf_dir):
+    return _graph(spark, sf_dir).occurrences.select("seq_id", "pos", "ck", "forward", "cin", "cout")
+
+
+def q37_packing(spark, sf_dir):
+    found = _graph(spark, sf_dir).vertices.select("ck")
+    number = dna.packed(F.col("ck"))
+    return found.select("ck", number.alias("packed"), dna.packed_backwards(F.col("ck")).alias("packed_backwards"), dna.unpacked(number, 11).alias("unpacked"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
+ORACLE_SQL = oracle.statements(CHUNK_LETTERS, LOOKED_UP, BINS, ROUNDS, ABUNDANCE)
