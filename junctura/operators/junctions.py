@@ -15,18 +15,31 @@ STUB_OFFSET = 42
 PREFIX = 5
 
 
-def vertices(occurrences: DataFrame) -> DataFrame:
-    """ck, n, in_degree, out_degree of each canonical k-mer; every N neighbour counts as a letter of its own.
-
-    The state of a key is two sets of letters (as bits) and three counts, combined before the shuffle.
-    """
+def vertex_state(occurrences: DataFrame) -> DataFrame:
+    """ck with its count and both sides' letters: two sets (as bits) and two counts of N, combined before the shuffle."""
     sides = occurrences.select("ck", *[f(F.col(c)).alias(f"{c}_{n}") for c in ("cin", "cout") for n, f in (("set", dna.letter_bit), ("n", lambda x: (x == "N").cast("long")))])
-    found = sides.groupBy("ck").agg(
+    return sides.groupBy("ck").agg(
         F.count("*").alias("n"),
         F.bit_or("cin_set").alias("ins"), F.sum("cin_n").alias("in_n"),
         F.bit_or("cout_set").alias("outs"), F.sum("cout_n").alias("out_n"),
     )
-    return found.select("ck", "n", (F.bit_count("ins") + F.col("in_n")).cast("long").alias("in_degree"), (F.bit_count("outs") + F.col("out_n")).cast("long").alias("out_degree"))
+
+
+def merged_state(states: DataFrame) -> DataFrame:
+    """One state of each key from several: sets are united, counts added."""
+    return states.groupBy("ck").agg(
+        F.sum("n").alias("n"), F.bit_or("ins").alias("ins"), F.sum("in_n").alias("in_n"), F.bit_or("outs").alias("outs"), F.sum("out_n").alias("out_n")
+    )
+
+
+def degrees(state: DataFrame) -> DataFrame:
+    """ck, n, in_degree, out_degree; every N neighbour counts as a letter of its own."""
+    return state.select("ck", "n", (F.bit_count("ins") + F.col("in_n")).cast("long").alias("in_degree"), (F.bit_count("outs") + F.col("out_n")).cast("long").alias("out_degree"))
+
+
+def vertices(occurrences: DataFrame) -> DataFrame:
+    """ck, n, in_degree, out_degree of each canonical k-mer."""
+    return degrees(vertex_state(occurrences))
 
 
 def is_junction(abundance: int | None = None) -> Column:
