@@ -10,8 +10,8 @@ sequence by one join to the composed table. So no task holds more than GROUP ite
 and none sees a text but its own.
 
 Token ids are remembered by word: the tokenizer's rules (a Unicode normal form, lower case, a split into letters,
-digits and signs, all within white space) make the ids of a text those of its words, one after another.
-tests/llm compares them with the tokenizer on whole texts.
+digits and signs, all within white space) make the ids of a text those of its words, one after another. New words are
+encoded some thousands in one text. tests/llm compares the ids with the tokenizer's on whole texts.
 
 Defined cases: a null or empty text is its end token alone; rows that repeat a doc_id are packed
 each; doc_id may be null. Extra columns are ignored. Ties go to the earlier piece in file order.
@@ -23,6 +23,8 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -30,32 +32,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import Tables
+from junctura.llm.common import Tables, blocks
 
 CAPACITY, SLACK = 2048, 4
-#: Items (and bytes of them) that one task packs at a time, and words whose ids a Python worker remembers.
-GROUP, HELD_BYTES, REMEMBERED = 100_000, 1 << 27, 300_000
+#: Items (and bytes of them) that one task packs at a time, and words and stems whose ids a task remembers.
+GROUP, HELD_BYTES, REMEMBERED = 100_000, 1 << 27, 600_000
+
+
+#: A control character; as a word it is one token, which tells where the words of a joined text end.
+_BETWEEN = b"\x02"
 
 
 class _WordIds(dict):
-    """A word's ids as little-endian 32-bit numbers; kept by the worker from task to task."""
+    """A word's ids as little-endian 32-bit numbers; kept for the rest of the task."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        self.stems: dict[bytes, bytes] = {b"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.between = np.frombuffer(self._alone(_BETWEEN), "<u4")
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = array("I", self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+    def _ids(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
 
+    def _alone(self, word: bytes) -> bytes:
+        return np.array(self._ids(word), "<u4").tobytes()
 
+    def __missing__(self, word: bytes) -> bytes:
+        return self._alone(word)
+
+    def forget(self) -> None:
+        self.clear()
+        self.stems = {b"": b""}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes the short words that are not known yet, some thousands in one text.
+
+        Signs after an ASCII letter or digit are units of their own, and ASCII case does not matter to
+        the tokenizer, so fewer different stems than words are encoded.
+        """
+        if len(self) + len(self.stems) >= REMEMBERED:
+            self.forget()
+        new = [w for w in words if w not in self and len(w) <= 64 and _BETWEEN not in w]
+        stems, tails = [], []
+        for word, stem in zip(new, [w.rstrip(_SIGNS) for w in new], strict=True):
+            if len(stem) == len(word) or not stem or stem[-1] not in _ALNUM:
+                stem, tail = word, b""
+            else:
+                tail = word[len(stem) :]
+            stems.append(stem.lower())
+            tails.append(tail)
+        known = self.stems
+        todo = [x for x in {*stems, *tails} if x not in known]
+        for first in range(0, len(todo), 4096):
+            group = todo[first : first + 4096]
+            ids = np.array(self._ids((b" " + _BETWEEN + b" ").join(group)), "<u4")
+            ends = np.flatnonzero(ids == self.between[0]) if len(self.between) == 1 else ()
+            if len(ends) != len(group) - 1:
+                known.update((x, self._alone(x)) for x in group)
+                continue
+            raw = ids.tobytes()
+            starts = [0, *(4 * ends + 4).tolist()]
+            known.update(zip(group, map(raw.__getitem__, map(slice, starts, [*(4 * ends).tolist(), len(raw)])), strict=True))
+        self.update(zip(new, map(add, map(known.__getitem__, stems), map(known.__getitem__, tails)), strict=True))
+
+
+#: Signs that may follow a word's letters (none opens a contraction), and the bytes that they are split from.
+_SIGNS = b".,!?;:%&*$#"
+_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_BIN = "bin long, bin_offset long, bin_used long"
 _known: dict[str, _WordIds] = {}
 
 
@@ -68,26 +117,32 @@ def _ids(path: str) -> _WordIds:
 
 def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = _ids(path).__getitem__
+        ids_of = _ids(path)
+        of_word = ids_of.__getitem__
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             row, piece, start, length, crc, parts = [], [], [], [], [], []
-            for at, raw in enumerate(batch.column("bytes")):
-                ids = b"".join([*map(of_word, raw.as_py().split()), end])
-                for n, first in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[first : first + 4 * capacity]
-                    row.append(at)
-                    piece.append(n)
-                    start.append(first // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        parts.append(part)
+            texts = batch.column("bytes")
+            for first_row, end_row, _, _ in blocks(texts):
+                split = [texts[at].as_py().split() for at in range(first_row, end_row)]
+                ids_of.learn(set(chain.from_iterable(split)))
+                for at, words in enumerate(split, first_row):
+                    ids = b"".join([*map(of_word, words), end])
+                    for n, first in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[first : first + 4 * capacity]
+                        row.append(at)
+                        piece.append(n)
+                        start.append(first // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if keep_ids:
+                            parts.append(part)
             out = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
                 out, names = [*out, pa.array(parts, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
+        ids_of.forget()  # an idle worker keeps its memory otherwise
 
     return run
 
@@ -98,7 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     `tokenizer` is the path of a tokenizers file that every executor has.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    kinds = _PIECE + ", ids binary" * keep_ids
     return texts.mapInArrow(_cut(tokenizer, end_id, capacity, keep_ids), kinds)
 
 
@@ -171,13 +226,16 @@ def _merged(capacity: int, level: int):
 
 
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
-    """The pieces (any columns, `length` among them) with sequence_id and offset.
+    """The pieces (any columns, `length` among them) with sequence_id and offset."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    return _merge(spark, pieces.mapInArrow(_local(capacity), f"{kinds}, {_BIN}"), capacity, slack)
 
-    `pieces` is written and read again, since bins are numbered by partition.
-    """
+
+def _merge(spark: SparkSession, local: DataFrame, capacity: int, slack: int) -> DataFrame:
+    """Rounds over the underfull bins of locally packed pieces, which are written first: bins are numbered by partition."""
     tables = Tables(spark, "packing")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    local = tables.put("local", pieces.mapInArrow(_local(capacity), f"{kinds}, bin long, bin_offset long, bin_used long"))
+    columns = [c for c in local.columns if c not in ("bin", "bin_offset", "bin_used")]
+    local = tables.put("local", local)
     full = capacity - slack
     items = tables.put("items0", local.where(f"bin_offset = 0 and bin_used < {full}").select("bin", F.col("bin_used").alias("used")))
     n, level, moves = items.count(), 0, None
@@ -196,7 +254,7 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, slack
         before, n, level = n, items.count(), level + 1
         if groups == 1 or n > 0.99 * before:
             break
-    out = [F.col(f"`{c}`") for c in pieces.columns]
+    out = [F.col(f"`{c}`") for c in columns]
     if moves is None:
         return local.select(*out, F.col("bin").alias("sequence_id"), F.col("bin_offset").alias("offset"))
     joined = local.join(moves, "bin", "left")
@@ -204,5 +262,12 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, slack
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, slack: int = SLACK, keep_ids: bool = False) -> DataFrame:
-    """Tokenises and packs: the columns of token_pieces() with sequence_id and offset."""
-    return pack(spark, token_pieces(docs, tokenizer, end_id, capacity, keep_ids), capacity, slack)
+    """Tokenises and packs: the columns of token_pieces() with sequence_id and offset.
+
+    One Python worker of a task tokenises and packs locally.
+    """
+    cut, local = _cut(tokenizer, end_id, capacity, keep_ids), _local(capacity)
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    kinds = _PIECE + ", ids binary" * keep_ids
+    rows = texts.mapInArrow(lambda batches: local(cut(batches)), f"{kinds}, {_BIN}")
+    return _merge(spark, rows, capacity, slack)
