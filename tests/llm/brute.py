@@ -55,3 +55,24 @@ def op6(rows, shingle=3, radius=2):
             ids = [rows[x][0] for x in seen if rows[x][0] is not None]
             component |= dict.fromkeys(seen, min(ids, default=None))
     return [(doc, f"{p:016x}", component[i]) for i, ((doc, _), p) in enumerate(zip(rows, prints, strict=True))]
+
+
+def op2(text):
+    w = words(text)
+    windows = list(zip(w, w[1:], w[2:], strict=False))
+    covered = {j for i, x in enumerate(windows) if windows.count(x) > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    n = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered))
+    return (*n, n[0] < 50 or 100 * n[4] > 50 * n[0])
+
+
+def op8(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(-len(h + p), h + p, action) for action, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = min(fits, default=(0, None, "allow"))
+    return host, path, best[1], best[2]
