@@ -129,6 +129,7 @@ def draws(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, block_words: in
     tree = SplittingTree([-(-t // block) for t in takes], max(1, -(-sum(takes) // shard_words)), seed)
     tasks = min(tree.shards, 4096)
     blocks = spark.range(0, tasks, 1, min(tasks, 64)).mapInPandas(_block_rows(tree, tasks), "sid int, block long, shard long")
+    blocks = tables.put("blocks", blocks)  # so that the planner knows its size and broadcasts it only while it is small
     kinds = "source string, sid int, source_size long, target double, take long"
     sources = spark.createDataFrame([(r["source"], i, sizes[i], goals[i], takes[i]) for i, r in enumerate(found)], kinds)
     sources = F.broadcast(sources)
