@@ -211,6 +211,8 @@ def render(root: Node) -> str:
         tag = node.tag
         if not leaving:
             if node.hidden:
+                if tag in BLOCKS:
+                    page.close_line(1)
                 continue
             if tag == "br":
                 if not page.line and not page.pre:

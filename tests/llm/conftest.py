@@ -9,6 +9,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 #: Extra columns, some of them with names that the operators use themselves.
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, bytes string, words long, shard string"
 
+CLEAN = "\n".join(" ".join(f"the {a}{b}{c} of {b}{c}{a}" for b in ("ba", "ne", "di", "ro")) for a in ("ka", "lo", "mi") for c in ("tu", "se"))
+
 
 def texts(seed=3):
     """Short texts with shared passages, copies, repeated words and lines, odd spaces, and junk."""
@@ -21,7 +23,8 @@ def texts(seed=3):
     out += [out[3], out[3], out[3].upper(), out[5] + " end", other + " " + other, "a " * 120, "word word word " * 40]
     out += ["", None, " \t\n", "one", "two words", "\x0b\x0cthree short words\r", "x" * 5000, "né " * 60, " not a space here " + prose(60)]
     out += ["\n".join(["same line of text here"] * 5 + [prose(60)]), " ".join(w + "&&&" for w in prose(80).split()), prose(49), prose(50), prose(51)]
-    out += [prose(6000), "<|endoftext|> Ünïcode, it's A'll 42 ½ " + prose(10)]
+    out += [prose(6000), "<|endoftext|> Ünïcode, it's A'll 42 ½ É. e\u0301. I\u0307, İ! Σ. ?! a.b, (x). " + prose(10), "<|ENDOFTEXT|> <|startoftext|>, x<|endoftext|>. \x02 a\x02"]
+    out.append(CLEAN)
     return out
 
 

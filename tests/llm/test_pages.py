@@ -44,12 +44,12 @@ def test_page_layout():
 
 def test_visibility_and_implied_tags():
     see = html_text.visible_text
-    assert see("<style>p{}</style>a<template>b</template><noscript>c</noscript><p style='visibility:hidden'>d</p>e") == "a\n\ne"
+    assert see("<style>p{}</style>a<template>b</template><noscript>c</noscript><p style='visibility:hidden'>d</p>e") == "a\ne"
     assert see("<div>a</div>b<div>c") == "a\nb\nc"
     assert see("<p>a<div>b</div></p>c") == "a\n\nb\n\nc"
     assert see("<dl><dt>k<dd>v<dt>l</dl>") == "k\nv\nl"
     assert see("a<!-- b -->c<!-- d") == "ac" and see("x < y <3 &lt;z&gt; &nbsp;") == "x < y <3 <z> \xa0"
-    assert see("<table><tr><td>a<table><tr><td>1<td>2</table><td>b</table>") == "a     b\n\n1  2"
+    assert see("<table><tr><td>a<table><tr><td>1<td>2</table><td>b</table>") == "a     b\n1  2"
     assert see(None) == see("") == see("<script>") == ""
 
 
@@ -62,7 +62,7 @@ def test_extraction_table(spark):
     rows = [(1, PAGE, "t"), (1, PAGE, "t"), (None, None, None), (2, "", "u")]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")
     got = html_text.extracted(pages).collect()
-    assert sorted(map(repr, ((r.page_id, r.text, r.n_lines) for r in got))) == sorted(map(repr, [(1, TEXT, 22), (1, TEXT, 22), (None, "", 0), (2, "", 0)]))
+    assert sorted(map(repr, ((r.page_id, r.text, r.n_lines) for r in got))) == sorted(map(repr, [(1, TEXT, TEXT.count("\n") + 1), (1, TEXT, TEXT.count("\n") + 1), (None, "", 0), (2, "", 0)]))
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
@@ -100,7 +100,7 @@ def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = {int(i): rng.normal(size=6).round(1).tolist() for i in rng.permutation(700)}
     vectors |= {i: [0.5] * 6 for i in range(100, 160)} | {900: [0.0] * 6, 950: [1.0] * 6}
-    rows = [(i, v) for i, v in vectors.items()] + [(None, [0.0] * 6), (1000, None), (1050, [1.0, None, 0, 0, 0, 0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (1200, [1.0, 2.0]), (150, [0.5] * 6)]
+    rows = [(i, v) for i, v in vectors.items()] + [(None, [0.0] * 6), (1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (1200, [1.0, 2.0]), (150, [0.5] * 6)]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     units = table.where(topk.usable(F.col("embedding"))).select("vec_id", topk.whole_units(F.col("embedding")).alias("v"))
     got = sorted(tuple(r) for r in topk.top_k(spark, units, units.where("vec_id % 50 = 0"), shard_rows=100).collect())

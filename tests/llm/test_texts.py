@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
+from conftest import CLEAN
 from tokenizers import Tokenizer
 
 from junctura.llm import mixing, packing, quality_model, quality_rules, simhash, substring_dedup
@@ -33,7 +34,7 @@ def test_rules_match_brute_force(odd_docs, odd_rows):
 
 def test_rules_keep_prose_and_drop_symbols(odd_docs, odd_rows):
     kept = {r.text for r in quality_rules.passing(odd_docs).select("text").collect()}
-    assert odd_rows[12][1] in kept and not any(t and "&&&" in t for t in kept) and None not in kept
+    assert CLEAN in kept and not any(t and "&&&" in t for t in kept) and None not in kept
 
 
 def test_rules_filter_keeps_columns_and_takes_no_rows(odd_docs, no_docs):
@@ -148,6 +149,9 @@ def test_packing_merges_over_rounds(spark, monkeypatch):
 
 
 def test_packing_takes_no_rows(spark, no_docs):
+    empty = spark.createDataFrame([(1, ""), (1, None)], "doc_id long, text string").coalesce(1)
+    found = packing.pack_documents(spark, empty, TOKENIZER).collect()
+    assert [(r.doc_id, r.length, r.ids_crc32) for r in found] == 2 * [(1, 1, zlib.crc32(bytes(4)))] and len({r.sequence_id for r in found}) == 1
     assert packing.pack_documents(spark, no_docs, TOKENIZER).count() == 0
 
 
