@@ -79,9 +79,9 @@ def positions(every_window: DataFrame, known: DataFrame) -> DataFrame:
     found = signed(all_canonical, known, "left").where(F.col("junction_id").isNotNull() | terminal)
     columns = ["seq_id", "pos", "junction_id", "prev", "next"]
     real = found.where("junction_id is not null").select(*columns)
-    total = known.agg(F.count("*").alias("total"))
+    total = known.agg(F.count("*")).scalar()
     stubs = ranked(found.where("junction_id is null").drop("junction_id"), F.shiftright("seq_id", 16), ["seq_id", "pos"], "rank", STUB_OFFSET)
-    stubs = stubs.crossJoin(F.broadcast(total)).withColumn("junction_id", F.col("rank") + F.col("total"))
+    stubs = stubs.withColumn("junction_id", F.col("rank") + total)
     return real.unionByName(stubs.select(*columns))
 
 
@@ -139,10 +139,10 @@ def junctions_in_rounds(occurrences: DataFrame, bins: int, n_rounds: int) -> Dat
 
 def metrics(occurrences: DataFrame, found: DataFrame, placed: DataFrame) -> DataFrame:
     """One row: junctions and other vertices, table size, marks, positions, and vertices of both strands."""
-    a = found.agg(F.count_if(is_junction()).alias("true_junctions"), F.count_if(~is_junction()).alias("false_junctions"), F.count("*").alias("table_size"))
-    b = signed(occurrences, found.where(is_junction()).withColumn("id", F.lit(1))).agg(F.count("*").alias("marks"))
-    c = placed.agg(F.count("*").alias("positions"))
-    return a.crossJoin(b).crossJoin(c).withColumn("vertices", 2 * F.col("true_junctions"))
+    marks = signed(occurrences, found.where(is_junction()).withColumn("id", F.lit(1))).agg(F.count("*")).scalar()
+    positions_ = placed.agg(F.count("*")).scalar()
+    own = found.agg(F.count_if(is_junction()).alias("true_junctions"), F.count_if(~is_junction()).alias("false_junctions"), F.count("*").alias("table_size"))
+    return own.select("*", marks.alias("marks"), positions_.alias("positions"), (2 * F.col("true_junctions")).alias("vertices"))
 
 
 def kmer_table(spark: SparkSession, values: list[str]) -> DataFrame:

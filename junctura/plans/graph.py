@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from junctura.operators import junctions, segments, windows
 from junctura.plans import formats
 from junctura.sources import sequences as sources
+from junctura.storage import written
 
 
 class JunctionGraph:
-    """Lazy tables of the compacted de Bruijn graph of `sequences` (seq_id, header, seq, length).
+    """Tables of the compacted de Bruijn graph of `sequences` (seq_id, header, seq, length).
+
+    Junctions and pieces, which several other tables start from, are written to the shared folder when they
+    are first asked for; all else is lazy.
 
     `placed` gives known positions (seq_id, pos, junction_id) instead, as read from a junction file.
     """
@@ -36,7 +40,7 @@ class JunctionGraph:
 
     @cached_property
     def junctions(self) -> DataFrame:
-        return junctions.junctions(self.vertices, self.abundance)
+        return written(junctions.junctions(self.vertices, self.abundance), "junctions")
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -47,7 +51,7 @@ class JunctionGraph:
 
     @cached_property
     def pieces(self) -> DataFrame:
-        return segments.pieces(self.positions)
+        return written(segments.pieces(self.positions), "pieces")
 
     @cached_property
     def segments(self) -> DataFrame:
