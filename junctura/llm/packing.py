@@ -24,7 +24,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,17 +31,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import Tables, blocks
+from junctura.llm.common import Tables, blocks, ended_bytes
 
 CAPACITY, SLACK = 2048, 4
-#: Items (and bytes of them) that one task packs at a time, and words and stems whose ids a task remembers.
-GROUP, HELD_BYTES, REMEMBERED = 100_000, 1 << 27, 600_000
+#: Items (and bytes of them) that one task packs at a time, and words whose ids a task remembers.
+GROUP, HELD_BYTES, REMEMBERED = 100_000, 1 << 27, 500_000
 
 
 #: A control character; as a word it is one token, which tells where the words of a joined text end.
 _BETWEEN = b"\x02"
 
 
+#: Bytes that end words, that such signs may follow, and signs that are split off there (none opens a contraction).
+_SPACE, _LETTER, _SIGN = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", b"0123456789abcdefghijklmnopqrstuvwxyz", b".,!?;:%&*$#"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def stems(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+    """Each text's words, in lower-case ASCII, without a sign that ends them, which is a word of its own.
+
+    The tokenizer ignores case and splits such a sign off itself, so the ids stay the same; but there are fewer
+    different words. Special tokens' names are read as they are: a block that may have one is not changed. Every text
+    ends with a space.
+    """
+    if b"<|" not in data.tobytes():
+        data = _LOWER[data]
+        at = np.flatnonzero(_SIGN[data[1:-1]] & _SPACE[data[2:]] & _LETTER[data[:-2]]) + 1
+        data, offsets = np.insert(data, at, 32), offsets + np.searchsorted(at, offsets)
+    raw, at = data.tobytes(), offsets.tolist()
+    return [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+
+
 class _WordIds(dict):
     """A word's ids as little-endian 32-bit numbers; kept for the rest of the task."""
 
@@ -51,12 +70,11 @@ class _WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.stems: dict[bytes, bytes] = {b"": b""}
         self.tokenizer = Tokenizer.from_file(path)
         self.between = np.frombuffer(self._alone(_BETWEEN), "<u4")
 
     def _ids(self, text: bytes) -> list[int]:
-        return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
 
     def _alone(self, word: bytes) -> bytes:
         return np.array(self._ids(word), "<u4").tobytes()
@@ -64,45 +82,23 @@ class _WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         return self._alone(word)
 
-    def forget(self) -> None:
-        self.clear()
-        self.stems = {b"": b""}
-
     def learn(self, words: set[bytes]) -> None:
-        """Encodes the short words that are not known yet, some thousands in one text.
-
-        Signs after an ASCII letter or digit are units of their own, and ASCII case does not matter to
-        the tokenizer, so fewer different stems than words are encoded.
-        """
-        if len(self) + len(self.stems) >= REMEMBERED:
-            self.forget()
+        """Encodes the short words that are not known yet, some thousands in one text."""
+        if len(self) >= REMEMBERED:
+            self.clear()
         new = [w for w in words if w not in self and len(w) <= 64 and _BETWEEN not in w]
-        stems, tails = [], []
-        for word, stem in zip(new, [w.rstrip(_SIGNS) for w in new], strict=True):
-            if len(stem) == len(word) or not stem or stem[-1] not in _ALNUM:
-                stem, tail = word, b""
-            else:
-                tail = word[len(stem) :]
-            stems.append(stem.lower())
-            tails.append(tail)
-        known = self.stems
-        todo = [x for x in {*stems, *tails} if x not in known]
-        for first in range(0, len(todo), 4096):
-            group = todo[first : first + 4096]
+        for first in range(0, len(new), 4096):
+            group = new[first : first + 4096]
             ids = np.array(self._ids((b" " + _BETWEEN + b" ").join(group)), "<u4")
             ends = np.flatnonzero(ids == self.between[0]) if len(self.between) == 1 else ()
             if len(ends) != len(group) - 1:
-                known.update((x, self._alone(x)) for x in group)
+                self.update((w, self._alone(w)) for w in group)
                 continue
             raw = ids.tobytes()
             starts = [0, *(4 * ends + 4).tolist()]
-            known.update(zip(group, map(raw.__getitem__, map(slice, starts, [*(4 * ends).tolist(), len(raw)])), strict=True))
-        self.update(zip(new, map(add, map(known.__getitem__, stems), map(known.__getitem__, tails)), strict=True))
+            self.update(zip(group, map(raw.__getitem__, map(slice, starts, [*(4 * ends).tolist(), len(raw)])), strict=True))
 
 
-#: Signs that may follow a word's letters (none opens a contraction), and the bytes that they are split from.
-_SIGNS = b".,!?;:%&*$#"
-_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _BIN = "bin long, bin_offset long, bin_used long"
 _known: dict[str, _WordIds] = {}
@@ -123,8 +119,8 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
         for batch in batches:
             row, piece, start, length, crc, parts = [], [], [], [], [], []
             texts = batch.column("bytes")
-            for first_row, end_row, _, _ in blocks(texts):
-                split = [texts[at].as_py().split() for at in range(first_row, end_row)]
+            for first_row, _, data, offsets in blocks(texts):
+                split = stems(data, offsets)
                 ids_of.learn(set(chain.from_iterable(split)))
                 for at, words in enumerate(split, first_row):
                     ids = b"".join([*map(of_word, words), end])
@@ -142,7 +138,7 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
             if keep_ids:
                 out, names = [*out, pa.array(parts, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
-        ids_of.forget()  # an idle worker keeps its memory otherwise
+        ids_of.clear()  # an idle worker keeps its memory otherwise
 
     return run
 
@@ -152,7 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
 
     `tokenizer` is the path of a tokenizers file that every executor has.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    texts = docs.select(F.col("doc_id").cast("long"), ended_bytes(F.col("text")).alias("bytes"))
     kinds = _PIECE + ", ids binary" * keep_ids
     return texts.mapInArrow(_cut(tokenizer, end_id, capacity, keep_ids), kinds)
 
@@ -267,7 +263,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id:
     One Python worker of a task tokenises and packs locally.
     """
     cut, local = _cut(tokenizer, end_id, capacity, keep_ids), _local(capacity)
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    texts = docs.select(F.col("doc_id").cast("long"), ended_bytes(F.col("text")).alias("bytes"))
     kinds = _PIECE + ", ids binary" * keep_ids
     rows = texts.mapInArrow(lambda batches: local(cut(batches)), f"{kinds}, {_BIN}")
     return _merge(spark, rows, capacity, slack)
