@@ -6,7 +6,6 @@ single bytes in UTF-8, so words can be cut from the bytes of a text without deco
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.storage import shared_dir
+
 #: A whitespace character of the word rule, for Java's and DuckDB's regular expressions.
 SPACE = r"[ \t-\r]"
 #: Bytes of text that the numpy kernels take at once; a longer text is a block of its own.
@@ -24,16 +25,6 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where that is unset."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="junctura-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Tables:
     """Intermediate tables, written to the shared folder so that a lost executor costs one task.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import shared_dir
+from junctura.storage import shared_dir
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4)
 TRAIN_ROWS, EPOCHS, RATE, SEED = 6000, 8, 1.0, 7
