@@ -69,20 +69,17 @@ def lookup(spark_kmers: DataFrame, known: DataFrame) -> DataFrame:
     return signed(asked, known, "left").select("kmer", "junction_id")
 
 
-def positions(every_window: DataFrame, known: DataFrame) -> DataFrame:
+def positions(occurrences: DataFrame, terminals: DataFrame, known: DataFrame) -> DataFrame:
     """seq_id, pos, junction_id, prev, next: all junction occurrences, and each sequence's first and last k-mer.
 
     A terminal that is no junction gets a stub id, counted in order of (seq_id, pos).
     """
-    all_canonical = windows.canonical(every_window)
-    terminal = (F.col("pos") == 0) | F.col("is_last")
-    found = signed(all_canonical, known, "left").where(F.col("junction_id").isNotNull() | terminal)
     columns = ["seq_id", "pos", "junction_id", "prev", "next"]
-    real = found.where("junction_id is not null").select(*columns)
+    real = signed(occurrences, known).select(*columns)
     total = known.agg(F.count("*")).scalar()
-    stubs = ranked(found.where("junction_id is null").drop("junction_id"), F.shiftright("seq_id", 16), ["seq_id", "pos"], "rank", STUB_OFFSET)
-    stubs = stubs.withColumn("junction_id", F.col("rank") + total)
-    return real.unionByName(stubs.select(*columns))
+    ends = signed(windows.canonical(terminals), known, "left").where("junction_id is null").drop("junction_id")
+    stubs = ranked(ends, F.shiftright("seq_id", 16), ["seq_id", "pos"], "rank", STUB_OFFSET)
+    return real.unionByName(stubs.withColumn("junction_id", F.col("rank") + total).select(*columns))
 
 
 def edge_degrees(sequences: DataFrame, occurrences: DataFrame, k: int) -> DataFrame:
@@ -125,16 +122,15 @@ def rounds(counts: DataFrame, n_rounds: int) -> DataFrame:
     return running.select("bin", "n", F.floor(F.col("before") * n_rounds / F.col("total")).cast("long").alias("round"))
 
 
-def junctions_in_rounds(occurrences: DataFrame, bins: int, n_rounds: int) -> DataFrame:
-    """ck and the round that finds it; the rounds' union are the junctions of a single round."""
-    keyed = occurrences.withColumn("bin", F.floor(portable_hash(F.col("ck")) * bins / (1 << 32)).cast("long"))
-    split = rounds(histogram(vertices(occurrences), bins), n_rounds).select("bin", "round")
-    out = None
-    for r in range(n_rounds):
-        part = keyed.join(F.broadcast(split.where(F.col("round") == r).select("bin")), "bin", "left_semi")
-        found = vertices(part).where(is_junction()).select("ck", F.lit(r).cast("long").alias("round"))
-        out = found if out is None else out.unionByName(found)
-    return out
+def junctions_in_rounds(found: DataFrame, bins: int, n_rounds: int) -> DataFrame:
+    """ck and round of the junctions among `found` vertices: a round holds a range of bins, about as many keys as any other.
+
+    A key lies in one round, so all rounds together find what a single one does.
+    """
+    split = rounds(histogram(found, bins), n_rounds).select("bin", "round")
+    bin_ = F.floor(portable_hash(F.col("ck")) * bins / (1 << 32)).cast("long")
+    # At most `bins` rows.
+    return found.where(is_junction()).withColumn("bin", bin_).join(F.broadcast(split), "bin").select("ck", "round")
 
 
 def metrics(occurrences: DataFrame, found: DataFrame, placed: DataFrame) -> DataFrame:

@@ -24,7 +24,11 @@ def chunks(sequences: DataFrame, size: int, overlap: int, least: int = 1) -> Dat
     # Binary substrings are cut by offset; of UTF-8 strings they would walk from the start.
     cut = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.struct(i.alias("chunk_no"), (i * step).alias("start"), (i == count - 1).alias("is_final"), F.substring("b", (i * step + 1).cast("int"), F.lit(size)).cast("string").alias("letters")))
     rows = padded.select("seq_id", F.explode(cut).alias("c"))
-    return rows.select("seq_id", "c.chunk_no", "c.start", "c.is_final", F.length("c.letters").cast("long").alias("len"), "c.letters")
+    # Chunks are dealt out before they are exploded into k times as many bytes: a huge record, or input of
+    # few splits, is then work for all tasks.
+    spark = sequences.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "seq_id", "c.chunk_no").select("seq_id", "c.chunk_no", "c.start", "c.is_final", F.length("c.letters").cast("long").alias("len"), "c.letters")
 
 
 def kmers(sequences: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
@@ -40,6 +44,16 @@ def kmers(sequences: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
     )
 
 
+def terminals(sequences: DataFrame, k: int) -> DataFrame:
+    """The first and the last window of each sequence (one row if they are the same), as kmers() has them."""
+    n = F.length("seq").cast("long")
+    own = sequences.where(n >= k).select("seq_id", F.concat(F.lit("N"), "seq", F.lit("N")).cast("binary").alias("b"), (n - k).alias("last"))
+    rows = own.select("seq_id", "b", "last", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.col("last")))).alias("pos"))
+    at = F.col("pos").cast("int")
+    cut = lambda start, size: F.substring("b", start, size).cast("string")
+    return rows.select("seq_id", "pos", cut(at + 2, F.lit(k)).alias("kmer"), cut(at + 1, F.lit(1)).alias("prev"), cut(at + k + 2, F.lit(1)).alias("next"), (F.col("pos") == F.col("last")).alias("is_last"))
+
+
 def definite(windows: DataFrame) -> DataFrame:
     return windows.where(~F.contains("kmer", F.lit("N")))
 

@@ -13,6 +13,7 @@ from junctura.operators import junctions, segments, windows
 from junctura.plans import formats, oracle
 from junctura.plans.graph import JunctionGraph
 from junctura.sources import junction_file, sequences
+from junctura.storage import written
 
 CHUNK_LETTERS = 1000
 LOOKED_UP = ["ACGTACGTACG", "TGACTGACTGA", "AAAAAAAAAAA", "CATCATCATCA", "TTTTTTTTTTT", "ATATATATATA"]
@@ -143,7 +144,7 @@ def q23_kmers(spark, sf_dir):
 
 
 def q24_rounds(spark, sf_dir):
-    return junctions.junctions_in_rounds(_graph(spark, sf_dir).occurrences, BINS, ROUNDS)
+    return junctions.junctions_in_rounds(written(_graph(spark, sf_dir).vertices, "vertices"), BINS, ROUNDS)
 
 
 def q25_junctions_k11(spark, sf_dir):

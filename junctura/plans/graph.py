@@ -45,7 +45,7 @@ class JunctionGraph:
     @cached_property
     def positions(self) -> DataFrame:
         if self._placed is None:
-            return junctions.positions(self.windows, self.junctions)
+            return junctions.positions(self.occurrences, windows.terminals(self.sequences, self.k), self.junctions)
         around = windows.kmers(self.sequences.withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N")), self.k).select("seq_id", "pos", "prev", "next")
         return self._placed.select("seq_id", "pos", "junction_id").join(around, ["seq_id", "pos"])
 
