@@ -1,7 +1,7 @@
 """From documents to packed sequences: each stage's rows are written and read again by the next.
 
-The stages take the operators' production parameters; near-duplicates follow the contract of op6 (three-word
-shingles, fingerprints within two bits), since SimHash has a distance in bits in place of a similarity.
+The stages take the operators' production parameters; near-duplicates are documents whose five-word shingles have a
+Jaccard index of 0.8 or more (op6's three words and two bits bind only its own query).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import common, mixing, packing, quality_rules, simhash, substring_dedup
+from junctura.llm import common, mixing, near_copies, packing, quality_rules, substring_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,7 +21,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.one_of_each(spark, docs)
+    return near_copies.one_of_each(spark, docs)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, docs, tokenizer_path(TOKENIZER))
 
 
-STAGES = [("quality rules", rules), ("simhash near-dedup", near_dedup), ("substring dedup", span_dedup), ("mixing", mix), ("best-fit packing", pack)]
-#: SQL has no XXH64 and no tokenizer; tests/llm holds the stages against brute force.
+STAGES = [("quality rules", rules), ("near-dedup", near_dedup), ("substring dedup", span_dedup), ("mixing", mix), ("best-fit packing", pack)]
+#: SQL has no tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
