@@ -51,11 +51,12 @@ def stems(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
     """Each text's words, in lower-case ASCII, without a sign that ends them, which is a word of its own.
 
     The tokenizer ignores case and splits such a sign off itself, so the ids stay the same; but there are fewer
-    different words. Special tokens' names are read as they are: a block that may have one is not changed. Every text
+    different words. A letter before a character outside ASCII keeps its case: the tokenizer composes before it
+    lower-cases, and some marks compose with the small letter only. Special tokens' names are read as they are: a block that may have one is not changed. Every text
     ends with a space.
     """
     if b"<|" not in data.tobytes():
-        data = _LOWER[data]
+        data = np.where(np.append(data[1:], 0) < 128, _LOWER[data], data)
         at = np.flatnonzero(_SIGN[data[1:-1]] & _SPACE[data[2:]] & _LETTER[data[:-2]]) + 1
         data, offsets = np.insert(data, at, 32), offsets + np.searchsorted(at, offsets)
     raw, at = data.tobytes(), offsets.tolist()

@@ -137,6 +137,14 @@ def check_packed(found, capacity):
     return len(bins)
 
 
+def test_pieces_compose_before_lower_case(spark):
+    texts = ["J\u030c", "xJ\u030cAZ, T\u0308. W\u030a! Y\u030a H\u0331 end", "AT\u0308 W\u0323\u030a j\u030c J\u0323\u030c", "É E\u0301É ÀB Ünï"]
+    found = packing.pack_documents(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER, keep_ids=True).collect()
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    expected = [(n, array.array("I", [*tokenizer.encode(t, add_special_tokens=False).ids, 0]).tobytes()) for n, t in enumerate(texts)]
+    same([(r.doc_id, bytes(r.ids)) for r in found], expected)
+
+
 def test_packing_merges_over_rounds(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 40)
     rng = np.random.default_rng(2)
