@@ -3,21 +3,24 @@
 The windows to find are WINDOW consecutive words long. Edges of the graph are word k-mers of EDGE
 words; of each window, the k-mer with the smallest hash is kept (a minimizer), so that equal windows
 keep the same edge and about one k-mer of sixteen is stored. Links join edges that follow each other
-in a document. A link is nonbranching if all occurrences of either edge have it. Paths of nonbranching
-links are compacted: every window inside such a path occurs exactly where the path's edges do, so the
-edge's smallest document decides it without looking at the window. Windows at branches are verified
-one by one, under a 128-bit hash of their words, by their coordinates in the source documents.
+in a document. A link is nonbranching if all occurrences of either edge have it. A repeated edge has a source, its first place in the
+document with the smallest doc_id, and nonbranching links compact the repeated edges of a source document into
+numbered paths. A join brings source and path to all occurrences: a run of windows along one path is one span, with the place in the
+source that it repeats, and it is removed only after its words are compared with the source's words there.
+
+Windows that leave a path are judged one by one, by a cryptographic digest of their words. If a span's words differ from its
+source's (by equal hashes of unequal words), all windows of that path are judged so, too. So no result rests on a 64-bit hash.
 
 Steps, each a distributed job: (1) edges of all documents, written once; (2) one row for each edge
-that at least two documents hold, with its smallest document and whether its links branch; (3) join
+that at least two documents hold, with its source, and paths by a window over each source document; (3) a join
 to the occurrences, gathered by document (at most as many as the document has words) and joined to its
-text; (4) spans inside paths, and hashes of the windows outside; (5) the smallest document of each of
-those windows, joined back; (6) removal. All aggregates are combined before the shuffle, and the
+text; (4) spans along paths, the paths' words, and digests of the windows outside; (5) spans joined to their paths and compared; (6) the smallest document of each of
+those windows, joined back; (7) removal. All aggregates are combined before the shuffle, and the
 joins' hot keys can be split because both sides are plain tables.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; a row with a null
 doc_id is returned as it is and removes nothing; rows that repeat a doc_id are judged each by
-itself, and only against smaller doc_ids. Extra columns of any name are ignored (or kept, with
+itself (told apart by a hash of their texts), and only against smaller doc_ids. Extra columns of any name are ignored (or kept, with
 `documents=True`).
 """
 
@@ -28,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.llm.common import RollingHash, Tables, blocks, ended_bytes, word_bounds
 
 WINDOW, EDGE = 50, 20
-_FIRST, _SECOND = RollingHash(11), RollingHash(23)
+_ROLLING = RollingHash(11)
 
 
 def _minimizers(keys: np.ndarray, width: int) -> np.ndarray:
@@ -52,15 +56,16 @@ def _minimizers(keys: np.ndarray, width: int) -> np.ndarray:
 class _Block:
     """A block of texts as word hashes, with its windows and edges."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, edge: int):
-        self.starts, self.ends, self.first = word_bounds(data, offsets)
-        self.words = _FIRST.words(data, self.starts, self.ends)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, edge: int, bits: int):
+        self.texts = data.tobytes().split()
+        _, _, self.first = word_bounds(data, offsets)
+        self.words = np.fromiter(map(xxhash.xxh64_intdigest, self.texts), np.uint64, len(self.texts)) >> np.uint64(64 - bits)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         n = len(self.words)
         if n < window:
             self.windows = self.minimizer = self.edges = np.zeros(0, np.int64)
             return
-        self.keys = _FIRST.windows(self.words, edge)
+        self.keys = _ROLLING.windows(self.words, edge)
         at = np.arange(n - window + 1)
         inside = at + window <= self.first[self.row[at] + 1]
         self.windows = at[inside]
@@ -76,18 +81,24 @@ class _Block:
         """
         row = self.row[self.edges]
         near = row[1:] == row[:-1]
-        link = np.where(near, _FIRST.slices(self.words, self.edges[:-1], self.edges[1:] + edge), np.uint64(0))
+        link = np.where(near, _ROLLING.slices(self.words, self.edges[:-1], self.edges[1:] + edge), np.uint64(0))
         after, before = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
         after[:-1], before[1:] = link, link
         return after, before
 
+    def joined(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        """The words of slices, with a space between them."""
+        flat = b" ".join(self.texts)
+        at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, self.texts), np.int64, len(self.texts)) + 1)))
+        return map(flat.__getitem__, map(slice, at[starts].tolist(), (at[ends] - 1).tolist()))
+
 
-def _edge_rows(window: int, edge: int):
+def _edge_rows(window: int, edge: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, text_key = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
             for first, _, data, offsets in blocks(batch.column("bytes")):
-                b = _Block(data, offsets, window, edge)
+                b = _Block(data, offsets, window, edge, bits)
                 if len(b.edges) == 0:
                     continue
                 after, before = b.links(edge)
@@ -100,60 +111,77 @@ def _edge_rows(window: int, edge: int):
     return run
 
 
-def _window_rows(window: int, edge: int):
-    """Spans inside compacted paths that a smaller document has too, and the windows outside of paths."""
+#: A row of (4): a span along a path with its words and its place in the source (or of the source itself, if it starts there), or a window's digest.
+_FOUND = "doc_id long, text_key long, start int, stop int, s_doc long, s_key long, s_start int, path int, words binary, digest binary"
+
+
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _window_rows(window: int, edge: int, bits: int):
+    """Spans along paths (repeats and their sources), and the windows outside of paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, text_key = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
             shared = batch.column("shared")
             at, fields = shared.offsets.to_numpy().astype(np.int64), shared.values
-            pos, least, straight_on, straight_back = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            pos, s_doc, s_key, s_pos, path = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             for first, end, data, offsets in blocks(batch.column("bytes")):
-                b = _Block(data, offsets, window, edge)
+                b = _Block(data, offsets, window, edge, bits)
                 if len(b.windows) == 0:
                     continue
-                own = slice(at[first], at[end])
+                own = np.arange(at[first], at[end])
                 place = pos[own] + np.repeat(b.first[:-1], np.diff(at[first : end + 1]))
-                n = len(b.words)
-                is_shared, smallest = np.zeros(n, bool), np.zeros(n, np.int64)
-                on, back = np.zeros(n, bool), np.zeros(n, bool)
-                is_shared[place], smallest[place], on[place], back[place] = True, least[own], straight_on[own], straight_back[own]
+                known = np.full(len(b.words), -1)  # the shared edge that starts at a word, as a place in the lists
+                known[place] = own
                 e = b.edges
-                linked = np.zeros(len(e), bool)
-                linked[1:] = is_shared[e[1:]] & is_shared[e[:-1]] & on[e[:-1]] & back[e[1:]] & (b.row[e[1:]] == b.row[e[:-1]])
-                path = np.cumsum(~linked)
-                candidate = is_shared[b.minimizer]
+                k, before = known[e], np.concatenate(([-1], known[e[:-1]]))
+                linked = (k >= 0) & (before >= 0)
+                linked[1:] &= b.row[e[1:]] == b.row[e[:-1]]
+                linked &= (s_doc[k] == s_doc[before]) & (s_key[k] == s_key[before]) & (path[k] == path[before]) & (path[k] >= 0)
+                linked[1:] &= s_pos[k[1:]] - s_pos[before[1:]] == e[1:] - e[:-1]
+                runs = np.cumsum(~linked)
+                candidate = known[b.minimizer] >= 0
                 w, m = b.windows[candidate], b.minimizer[candidate]
+                k, row = known[m], b.row[w]
                 left = np.searchsorted(e, w, "right") - 1
                 right = np.searchsorted(e, w + window - edge, "left")
-                inside = (left >= 0) & (right < len(e))
-                inside[inside] = path[left[inside]] == path[right[inside]]
-                row = b.row[w]
-                found = inside & (smallest[m] < doc[first + row])
-                for chosen, hashed in ((found, False), (~inside, True)):
-                    s, r = w[chosen], row[chosen]
-                    if hashed:
-                        h1 = _FIRST.windows(b.words, window)[s].view(np.int64)
-                        h2 = _SECOND.windows(b.words, window)[s].view(np.int64)
-                        ends = s + window
-                    elif len(s):
+                inside = (left >= 0) & (right < len(e)) & (path[k] >= 0)
+                inside[inside] = runs[left[inside]] == runs[right[inside]]
+                mine = (s_doc[k] == doc[first + row]) & (s_key[k] == text_key[first + row]) & (s_pos[k] == m - b.first[row])
+                for chosen, digested in ((inside & (mine | (s_doc[k] < doc[first + row])), False), (~inside, True)):
+                    s, r, source = w[chosen], row[chosen], k[chosen]
+                    if len(s) == 0:
+                        continue
+                    start, ends = s_pos[source] - (m[chosen] - s), s + window
+                    if not digested:
                         new = np.ones(len(s), bool)
-                        new[1:] = (s[1:] != s[:-1] + 1) | (r[1:] != r[:-1])
+                        new[1:] = (s[1:] != s[:-1] + 1) | (r[1:] != r[:-1]) | (start[1:] != start[:-1] + 1) | (mine[chosen][1:] != mine[chosen][:-1])
+                        for x in (s_doc, s_key, path):
+                            new[1:] |= x[source[1:]] != x[source[:-1]]
                         last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
-                        ends = s[last] + window
-                        s, r = s[new], r[new]
-                        h1 = h2 = pa.nulls(len(s), pa.int64())
-                    if len(s):
-                        base = b.first[r]
-                        yield pa.RecordBatch.from_pydict({
-                            "doc_id": doc[first + r], "text_key": text_key[first + r], "h1": h1, "h2": h2,
-                            "start": (s - base).astype(np.int32), "stop": (ends - base).astype(np.int32),
-                        })
+                        ends, s, r, start, source = ends[last], s[new], r[new], start[new], source[new]
+                    words = b.joined(s, ends)
+                    base, nothing = b.first[r], pa.nulls(len(s), pa.binary())
+                    words, digests = (nothing, pa.array(map(_digest, words), pa.binary())) if digested else (pa.array(words, pa.binary()), nothing)
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": doc[first + r], "text_key": text_key[first + r], "start": (s - base).astype(np.int32), "stop": (ends - base).astype(np.int32),
+                        "s_doc": s_doc[source], "s_key": s_key[source], "s_start": start.astype(np.int32), "path": path[source], "words": words, "digest": digests,
+                    })
 
     return run
 
 
+def _unequal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The paths of spans whose words are not the source's words at their place."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("words", "source_words", "at")), strict=True)
+        wrong = [source is None or at < 0 or (own := words.split(b" ")) != source.split(b" ")[at : at + len(own)] for words, source, at in rows]
+        yield batch.select(["s_doc", "s_key", "path"]).filter(pa.array(wrong, pa.bool_()))
+
+
 def _removals(documents: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,12 +227,51 @@ def _cut(raw: bytes, keep: np.ndarray) -> str:
     return b"".join([*pieces, raw[at:-1]]).decode("utf-8", "replace")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, documents: bool = False) -> DataFrame:
+def compacted(edges: DataFrame) -> DataFrame:
+    """key, s_doc, s_key, s_pos and path of each edge that at least two documents hold.
+
+    The first three name its source; edges of a path follow each other there by nonbranching links.
+    """
+    shared = edges.groupBy("key").agg(
+        F.min(F.struct("doc_id", "text_key", "pos")).alias("s"), F.max("doc_id").alias("most"),
+        *[f(c).alias(f"{c}_{n}") for c in ("after", "before") for n, f in (("low", F.min), ("high", F.max))],
+    ).where("s.doc_id < most")
+    rows = shared.select("key", F.col("s.doc_id").alias("s_doc"), F.col("s.text_key").alias("s_key"), F.col("s.pos").alias("s_pos"), "after_low", "after_high", "before_low", "before_high")
+    order = Window.partitionBy("s_doc", "s_key").orderBy("s_pos", "key")
+    follows = (F.lag("after_low").over(order) == F.col("before_low")) & (F.lag("after_high").over(order) == F.col("before_high")) & (F.col("before_low") == F.col("before_high")) & (F.col("before_low") != 0)
+    marked = rows.withColumn("starts", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
+    return marked.select("key", "s_doc", "s_key", "s_pos", F.sum("starts").over(order).cast("int").alias("path"))
+
+
+def _judged(tables: Tables, known: DataFrame, edges: DataFrame, paths: DataFrame, window: int, edge: int, bits: int) -> DataFrame:
+    """The rows of (4), in which every span has the words of its source."""
+    at = ["s_doc", "s_key", "path"]
+    for turn in range(2):
+        found = (
+            edges.select("key", "doc_id", "text_key", "pos").join(paths, "key")
+            .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "s_doc", "s_key", "s_pos", "path")).alias("shared"))
+        )
+        gathered = known.join(found, ["doc_id", "text_key"]).select("doc_id", "text_key", "bytes", "shared")
+        rows = tables.put(f"windows{turn}", gathered.mapInArrow(_window_rows(window, edge, bits), _FOUND))
+        spans = rows.where("words is not null")
+        sources = spans.where("s_doc = doc_id and s_key = text_key").select(*at, F.col("start").alias("from"), F.col("words").alias("source_words")).dropDuplicates(at)
+        repeats = spans.where("s_doc < doc_id").join(sources, at, "left").select(*at, "words", "source_words", (F.col("s_start") - F.coalesce("from", F.lit(0))).alias("at"))
+        wrong = tables.put(f"wrong{turn}", repeats.mapInArrow(_unequal, "s_doc long, s_key long, path int").distinct())
+        if wrong.isEmpty():
+            break
+        # Unequal words with equal hashes: no path there is trusted, all its windows are judged by their words.
+        marked = paths.join(wrong.withColumn("bad", F.lit(True)), at, "left")
+        paths = tables.put("mended", marked.select("key", "s_doc", "s_key", "s_pos", F.when(F.col("bad"), F.lit(-1)).otherwise(F.col("path")).alias("path")))
+    return rows
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, edge: int = EDGE, documents: bool = False, bits: int = 64) -> DataFrame:
     """Removes each word that a window covers whose words also start in a document with a smaller doc_id.
 
     Returns a row for each row of docs: `row` (doc_id; with documents=True all columns), n_words,
     n_removed, and kept_sha256 (of the kept words, joined by a space) or, with documents=True,
-    kept_text (the text with those words cut out and its spacing kept).
+    kept_text (the text with those words cut out and its spacing kept). `bits` of a word's hash are
+    used: with fewer more unequal words meet, and the result stays the same.
     """
     if not 1 <= edge <= window:
         raise ValueError("an edge is from 1 to `window` words long")
@@ -212,23 +279,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, e
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), ended_bytes(F.col("text")).alias("bytes"))
     known = keyed.where("doc_id is not null")
     kinds = "key long, doc_id long, text_key long, pos int, after long, before long"
-    edges = tables.put("edges", known.mapInArrow(_edge_rows(window, edge), kinds))
-    shared = tables.put("shared", edges.groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
-        (F.min("after") == F.max("after")).alias("on"), (F.min("before") == F.max("before")).alias("back"),
-    ).where("least < most").select("key", "least", "on", "back"))
-    found = (
-        edges.select("key", "doc_id", "text_key", "pos").join(shared, "key")
-        .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "least", "on", "back")).alias("shared"))
-    )
-    kinds = "doc_id long, text_key long, h1 long, h2 long, start int, stop int"
-    rows = tables.put("windows", known.join(found, ["doc_id", "text_key"]).select("doc_id", "text_key", "bytes", "shared").mapInArrow(_window_rows(window, edge), kinds))
-    tables.drop("edges", "shared")
-    loose = rows.where("h1 is not null")
-    least = tables.put("least", loose.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least"))
-    again = loose.join(least, ["h1", "h2"]).where("doc_id > least")
+    edges = tables.put("edges", known.mapInArrow(_edge_rows(window, edge, bits), kinds))
+    paths = tables.put("paths", compacted(edges))
+    rows = _judged(tables, known, edges, paths, window, edge, bits)
+    tables.drop("edges", "paths")
+    loose = rows.where("digest is not null")
+    least = tables.put("least", loose.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"))
+    again = loose.join(least, "digest").where("doc_id > least")
     spans = (
-        rows.where("h1 is null").unionByName(again.drop("least"))
+        rows.where("words is not null and s_doc < doc_id").select("doc_id", "text_key", "start", "stop")
+        .unionByName(again.select("doc_id", "text_key", "start", "stop"))
         .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     )
     nothing = F.expr("cast(array() as array<struct<start:int,stop:int>>)")

@@ -48,6 +48,24 @@ def test_repeats_match_brute_force(spark, odd_docs, odd_rows, window, edge):
     same([tuple(r) for r in found], brute.op4(pairs(odd_rows), window))
 
 
+@pytest.mark.parametrize(("window", "edge", "bits"), [(50, 20, 1), (6, 2, 1), (6, 6, 2), (3, 1, 4)])
+def test_repeats_survive_equal_hashes(spark, odd_docs, odd_rows, window, edge, bits):
+    found = substring_dedup.remove_repeats(spark, odd_docs, window, edge, bits=bits).select("row.doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    same([tuple(r) for r in found], brute.op4(pairs(odd_rows), window))
+
+
+def test_words_that_polynomials_confuse_are_not_repeats(spark):
+    twin = ["a"]
+    for _ in range(10):
+        twin += ["ba"["ba".index(c) - 1] for c in twin]
+    word, other = "".join(twin), "".join("ab"[c == "a"] for c in twin)
+    assert word != other and len(word) == 1024
+    rest = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([word, *rest])), (2, " ".join([other, *rest])), (3, " ".join([word, *rest, "end"]))]
+    found = substring_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["row"].doc_id, r.n_removed) for r in found) == [(1, 0), (2, 0), (3, 50)]
+
+
 def test_repeats_cut_texts(spark, odd_docs, odd_rows, no_docs):
     found = {(r.doc_id, r.text): r for r in substring_dedup.without_repeats(spark, odd_docs).collect()}
     lost = {x[0]: x for x in brute.op4(pairs(odd_rows)) if x[2]}
@@ -103,15 +121,6 @@ def test_simhash_trees_lose_no_pair():
             assert {j for j in range(len(fps)) if root(int(fps[j])) == root(int(fps[i]))} == reach
 
 
-def test_one_of_each_group_stays(spark, odd_docs, odd_rows, no_docs):
-    component = defaultdict(set)
-    for doc, _, c in brute.op6(pairs(odd_rows)):
-        component[c].add(doc)
-    kept = simhash.one_of_each(spark, odd_docs)
-    assert {r.doc_id for r in kept.collect()} == set(component) and kept.columns == odd_docs.columns
-    assert simhash.one_of_each(spark, no_docs).count() == 0
-
-
 def test_pieces_are_the_tokenizer_s(spark, odd_docs, odd_rows):
     found = packing.pack_documents(spark, odd_docs, TOKENIZER, capacity=64, slack=2, keep_ids=True).collect()
     tokenizer, expected = Tokenizer.from_file(TOKENIZER), []
