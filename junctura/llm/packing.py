@@ -9,7 +9,7 @@ hundredth of its bins. Each round is a written table of (bin, parent, place in t
 sequence by one join to the composed table. So no task holds more than GROUP items at a time,
 and none sees a text but its own.
 
-Token ids are remembered by word: the tokenizer's rules (a Unicode normal form, lower case, a split into letters,
+Token ids are remembered by word, for as long as the Python worker lives: the tokenizer's rules (a Unicode normal form, lower case, a split into letters,
 digits and signs, all within white space) make the ids of a text those of its words, one after another. New words are
 encoded some thousands in one text. tests/llm compares the ids with the tokenizer's on whole texts.
 
@@ -20,10 +20,10 @@ each; doc_id may be null. Extra columns are ignored. Ties go to the earlier piec
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,14 +34,16 @@ from pyspark.sql import functions as F
 from junctura.llm.common import Tables, blocks, ended_bytes
 
 CAPACITY, SLACK = 2048, 4
-#: Items (and bytes of them) that one task packs at a time, and words whose ids a task remembers.
-GROUP, HELD_BYTES, REMEMBERED = 100_000, 1 << 27, 500_000
+#: Items (and bytes of them) that one task packs at a time, and words whose ids a worker remembers (about 200 MB).
+GROUP, HELD_BYTES, REMEMBERED = 100_000, 1 << 27, 1 << 20
 
 
 #: A control character; as a word it is one token, which tells where the words of a joined text end.
 _BETWEEN = b"\x02"
 
 
+#: A run of small letters of ASCII or Latin-1: the tokenizer neither changes nor splits it.
+_RUN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 #: Bytes that end words, that such signs may follow, and signs that are split off there (none opens a contraction).
 _SPACE, _LETTER, _SIGN = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", b"0123456789abcdefghijklmnopqrstuvwxyz", b".,!?;:%&*$#"))
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -64,7 +66,7 @@ def stems(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
 
 
 class _WordIds(dict):
-    """A word's ids as little-endian 32-bit numbers; kept for the rest of the task."""
+    """A word's ids as little-endian 32-bit numbers; kept by the worker from task to task, REMEMBERED of them at most."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,6 +75,11 @@ class _WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.between = np.frombuffer(self._alone(_BETWEEN), "<u4")
+        self.last = np.zeros(0, bool)  # the ids that end a word, if the vocabulary tells
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _ids(self, text: bytes) -> list[int]:
         return self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
@@ -83,21 +90,51 @@ class _WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         return self._alone(word)
 
+    def _put(self, group: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.update(zip(group, map(raw.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist())), strict=True))
+
+    def _learn_runs(self, group: list[bytes]) -> None:
+        """Words that are one run of small letters each, so that each ends with an id that ends a word."""
+        ids = np.array(self._ids(b" ".join(group)), "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(group):
+            self._put(group, ids, np.concatenate(([0], ends[:-1])), ends)
+        else:
+            self._learn_any(group)
+
+    def _learn_any(self, group: list[bytes]) -> None:
+        ids = np.array(self._ids((b" " + _BETWEEN + b" ").join(group)), "<u4")
+        ends = np.flatnonzero(ids == self.between[0]) if len(self.between) == 1 else ()
+        if len(ends) == len(group) - 1:
+            self._put(group, ids, np.concatenate(([0], ends + 1)), np.append(ends, len(ids)))
+        else:
+            self.update((w, self._alone(w)) for w in group)
+
     def learn(self, words: set[bytes]) -> None:
-        """Encodes the short words that are not known yet, some thousands in one text."""
-        if len(self) >= REMEMBERED:
+        """Encodes the short ones of new words, some thousands in one text."""
+        if len(self) + len(words) > REMEMBERED:
             self.clear()
-        new = [w for w in words if w not in self and len(w) <= 64 and _BETWEEN not in w]
-        for first in range(0, len(new), 4096):
-            group = new[first : first + 4096]
-            ids = np.array(self._ids((b" " + _BETWEEN + b" ").join(group)), "<u4")
-            ends = np.flatnonzero(ids == self.between[0]) if len(self.between) == 1 else ()
-            if len(ends) != len(group) - 1:
-                self.update((w, self._alone(w)) for w in group)
-                continue
-            raw = ids.tobytes()
-            starts = [0, *(4 * ends + 4).tolist()]
-            self.update(zip(group, map(raw.__getitem__, map(slice, starts, [*(4 * ends).tolist(), len(raw)])), strict=True))
+        runs, others = [], []
+        for w in words:
+            if len(w) <= 64:
+                if len(self.last) and _RUN(w):
+                    runs.append(w)
+                elif _BETWEEN not in w:
+                    others.append(w)
+        for found, learn in ((runs, self._learn_runs), (others, self._learn_any)):
+            for first in range(0, len(found), 4096):
+                learn(found[first : first + 4096])
+
+    def texts(self, split: list[list[bytes]]) -> list[bytes]:
+        """The ids of each text; what is not known yet is learnt for all of them together."""
+        found = [[*map(self.get, words)] for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        self.learn({words[i] for words, gap in zip(split, gaps, strict=True) for i in gap})
+        for words, ids, gap in zip(split, found, gaps, strict=True):
+            for i in gap:
+                ids[i] = self[words[i]]
+        return [*map(b"".join, found)]
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -115,16 +152,13 @@ def _ids(path: str) -> _WordIds:
 def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _ids(path)
-        of_word = ids_of.__getitem__
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             row, piece, start, length, crc, parts = [], [], [], [], [], []
             texts = batch.column("bytes")
             for first_row, _, data, offsets in blocks(texts):
-                split = stems(data, offsets)
-                ids_of.learn(set(chain.from_iterable(split)))
-                for at, words in enumerate(split, first_row):
-                    ids = b"".join([*map(of_word, words), end])
+                for at, ids in enumerate(ids_of.texts(stems(data, offsets)), first_row):
+                    ids += end
                     for n, first in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[first : first + 4 * capacity]
                         row.append(at)
@@ -139,7 +173,6 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
             if keep_ids:
                 out, names = [*out, pa.array(parts, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
-        ids_of.clear()  # an idle worker keeps its memory otherwise
 
     return run
 
