@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.storage import shared_dir
@@ -20,6 +20,8 @@ from junctura.storage import shared_dir
 SPACE = r"[ \t-\r]"
 #: Bytes of text that the numpy kernels take at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Rows of some numbers each (a few MB) up to which a table is sent to all executors.
+BROADCAST_ROWS = 1 << 17
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -46,6 +48,24 @@ class Tables:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded(keys: DataFrame) -> DataFrame:
+    """The table (a written one), marked for a broadcast join if it has at most BROADCAST_ROWS rows; else joins shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def numbered(tables: Tables, name: str, rows: DataFrame, order: list, column: str) -> DataFrame:
+    """Adds `column`, the row's place from 0 under `order`: by range partitions, which are written and counted."""
+    n = max(1, int(tables.spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    written = tables.put(name, ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # a partition's rows are numbered from its number times 2**33
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = written.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
+    starts = F.broadcast(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    placed = written.join(starts, part == F.col("_part"))
+    return placed.withColumn(column, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
+
+
 def ended_bytes(text: Column) -> Column:
     """A text's bytes and a line feed, so that no word runs into the next text; null is empty."""
     return F.concat(F.coalesce(text, F.lit("")), F.lit("\n")).cast("binary")

@@ -6,7 +6,7 @@ OP1 = rf"""
 WITH d AS (
   SELECT doc_id, source, len({WORDS})::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS w, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS wt FROM d GROUP BY source
+  SELECT source, sum(size)::BIGINT AS w, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS wt FROM d GROUP BY source
 ), o AS (
   SELECT *, (sum(w) OVER ())::BIGINT AS total,
     coalesce(sum(3 * w) OVER (ORDER BY (3 * w)::DOUBLE / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS caps,
@@ -15,17 +15,23 @@ WITH d AS (
 ), c AS (
   SELECT *, 3 * w * open <= wt * (total - caps) AS capped FROM o
 ), t AS (
-  SELECT source, w, CASE WHEN capped THEN (3 * w)::DOUBLE
+  SELECT source, sid, w, CASE WHEN capped THEN (3 * w)::DOUBLE
     ELSE wt * ((SELECT any_value(total) - coalesce(sum(3 * w) FILTER (capped), 0)::BIGINT FROM c)::DOUBLE / (SELECT sum(wt) FILTER (NOT capped) FROM c)::DOUBLE) END AS target
   FROM c
 ), p AS (
-  SELECT d.*, w, target, floor(target + 0.5)::BIGINT AS take,
+  SELECT d.*, sid, w, target, floor(target + 0.5)::BIGINT AS take,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, start // 4096 AS block, CASE WHEN w = 0 THEN 0 ELSE take // w END AS passes, CASE WHEN w = 0 THEN 0 ELSE take % w END AS rest FROM p
+), b AS (
+  SELECT sid, block, sum(size)::BIGINT AS words, min(start) AS first, ('0x' || substr(md5('5-' || sid || '-' || block), 1, 8))::BIGINT AS bh FROM q WHERE size > 0 GROUP BY sid, block
+), r AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY sid ORDER BY bh, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b
 )
 SELECT doc_id, size, w AS source_size, target,
-  (greatest(0, least(size, take - start)) + greatest(0, least(size, take - w - start)) + greatest(0, least(size, take - 2 * w - start)))::BIGINT AS taken
-FROM p
+  (passes * size + CASE WHEN size = 0 THEN 0 ELSE greatest(0, least(size, least(words, rest - before) - (start - first))) END)::BIGINT AS taken
+FROM q LEFT JOIN r USING (sid, block)
 """
 
 

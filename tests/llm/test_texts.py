@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from conftest import CLEAN
 from tokenizers import Tokenizer
 
+from junctura.llm.common import Tables
 from junctura.llm import mixing, packing, quality_model, quality_rules, simhash, substring_dedup
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -172,11 +173,19 @@ def test_packing_takes_no_rows(spark, no_docs):
     assert packing.pack_documents(spark, no_docs, TOKENIZER).count() == 0
 
 
-def test_targets_share_the_excess():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
-    got = mixing.targets([1000, 10, 20], [1, 2, 3])
+def test_targets_share_the_excess(spark):
+    def targets(sizes, weights=(1, 2, 3)):
+        rows = spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+        return [r.target for r in mixing.with_targets(Tables(spark, "test"), rows, weights).orderBy("sid").collect()]
+
+    assert targets([100, 100, 100]) == [50, 100, 150]
+    got = targets([1000, 10, 20])
     assert got[1:] == [30, 60] and got[0] == 940
-    assert mixing.targets([0, 0], [1, 2]) == [0, 0] and mixing.targets([], []) == []
+    assert targets([0, 0]) == [0, 0] and targets([]) == []
+    sizes = [(i * 7919) % 997 * (i % 5 + 1) for i in range(300)]
+    got, weights = targets(sizes), [1 + i % 3 for i in range(300)]
+    level = max(g / w for g, w in zip(got, weights, strict=True))
+    assert all(abs(g - min(3 * n, w * level)) < 1e-6 for g, n, w in zip(got, sizes, weights, strict=True)) and abs(sum(got) - sum(sizes)) < 1e-6
 
 
 def test_blocks_are_drawn_once_each():
@@ -186,8 +195,24 @@ def test_blocks_are_drawn_once_each():
     assert sum(x[2] for x in leaves).tolist() == tree.quotas
     parts = [x for lo, hi in ((0, 4), (4, 5), (5, 11)) for x in tree.leaves(lo, hi)]
     assert repr(parts) == repr(leaves)
-    for n in (1, 2, 7, 64, 1000):
-        assert sorted(mixing.permuted(np.arange(n), n, 9).tolist()) == list(range(n))
+
+
+def test_large_hypergeometric_draws():
+    rng, good, bad, sample = np.random.default_rng(1), 3 * 10**9, 5 * 10**9, 10**9
+    found = np.array([mixing.hypergeometric(rng, good, bad, sample) for _ in range(4000)])
+    share = good / (good + bad)
+    sd = (sample * share * (1 - share) * (good + bad - sample) / (good + bad)) ** 0.5
+    assert abs(found.mean() - sample * share) < 5 * sd / 4000**0.5 and abs(found.std() / sd - 1) < 0.06
+    for g, b, n in ((10**9, 7, 10**9), (5, 10**10, 3), (10**9, 10**9, 2 * 10**9), (10**9, 0, 4)):
+        assert max(0, n - b) <= mixing.hypergeometric(rng, g, b, n) <= min(g, n)
+
+
+def test_the_seed_draws_the_blocks(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "abc"[i % 3]) for i in range(3000)], "doc_id long, text string, source string")
+    first, again, other = ({r.doc_id: (r.target, r.taken) for r in mixing.taken_words(spark, docs, block_words=100, shard_words=2000, seed=s).collect()} for s in (1, 1, 2))
+    assert first == again and first != other and {i: x[0] for i, x in first.items()} == {i: x[0] for i, x in other.items()}
+    shards = mixing.draws(spark, docs, block_words=100, shard_words=2000).where("shard is not null").groupBy("shard").agg(F.sum("n_words").alias("n")).collect()
+    assert len(shards) == 15 and max(r.n for r in shards) <= 2 * min(r.n for r in shards)
 
 
 def test_mix_comes_near_its_targets(spark, odd_docs, odd_rows):
