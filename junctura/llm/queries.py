@@ -62,13 +62,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages, audited against a replica in which two pages of 211 are damaged by rule."""
+    """The archive of all pages, audited against a replica in which two pages of 211 are damaged by rule.
+
+    The replica's records are made of its own pages and hashed whole; a lost one leaves a hole.
+    """
     tables = common.Tables(spark, "op9")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    primary = tables.put("primary", warc.archive(spark, pages, tables))
-    altered = pages.where("page_id % 211 = 7").select("page_id", F.sha2(warc.record(F.col("url"), F.concat(F.lit("~"), F.coalesce(F.substring("html", 2, 1 << 30), F.lit("")))).cast("binary"), 256).alias("other"))
-    copied = primary.where("page_id is null or page_id % 211 <> 11").join(altered, "page_id", "left")
-    replica = copied.select("file", "record_offset", "record_length", F.coalesce("other", "record_sha256").alias("record_sha256"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    primary = tables.put("primary", warc.archive(pages, tables))
+    altered = F.concat(F.lit("~"), F.coalesce(F.substring("html", 2, 1 << 30), F.lit("")))
+    damaged = pages.select("page_id", "url", F.when(F.col("page_id") % 211 == 7, altered).otherwise(F.col("html")).alias("html"), warc.identity(F.col("url"), F.col("html")).alias("record_id"))
+    replica = warc.archive(damaged, tables, "replica-records", F.col("record_id")).where("page_id is null or page_id % 211 <> 11")
     return warc.checked(spark, primary, tables.put("replica", replica))
 
 

@@ -1,24 +1,26 @@
 """WARC with a Merkle fixity audit: replicas of an archive are compared from their roots down.
 
 Pages become WARC/1.0 resource records, dealt to files by a hash, each with its offset in its
-file. A leaf hashes a record (SHA-256). Above the leaves, trees go by ordered offset ranges: RANGE bytes
+file; WARC files are read by read_warc() and inventory(). A leaf hashes all bytes of a record (SHA-256). Above the leaves, trees go by ordered offset ranges: RANGE bytes
 at the lowest level, FANOUT times as many at each further one, and the whole file at the top; a
 node hashes its children's places and hashes in order of offset. Two replicas are compared by file roots, and
-only the children of nodes that differ are looked at on the next level, down to records that are
-altered, lost or extra. All hashes are JVM functions; node tables have no page contents. A node has as many children as its range
+only the children of nodes that differ are looked at on the next level, down to the records of ranges that differ. These are compared by
+their record ids (and, where one repeats in a file, in order of offset), since a lost record moves those behind it.
+Node tables have no page contents. A node has as many children as its range
 has records, or FANOUT, so no group grows with the archive.
 
-Defined cases: a null url or page is an empty one; repeated rows are records of their own; empty archives have
-no nodes and no damage; extra columns are ignored.
+Defined cases: a null url or page is an empty one; repeated rows are records of their own, in one file if they have the same page_id; empty archives have
+no nodes and no damage; extra columns are ignored. Damaged files are read on from the next record or gzip member, and what lies between is a row of type "damage".
 """
 
 from __future__ import annotations
 
-import gzip
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,28 +30,37 @@ FILE_BYTES, RANGE, FANOUT, LEVELS = 4 << 20, 64 << 10, 16, 2
 _DATE = "2000-01-01T00:00:00Z"
 
 
-def record(url: Column, body: Column) -> Column:
+def identity(url: Column, body: Column) -> Column:
+    """A record id that follows from a page."""
+    digest = F.md5(F.concat(F.coalesce(url, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit(""))).cast("binary"))
+    return F.regexp_replace(digest, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+
+
+def record(url: Column, body: Column, record_id: Column | None = None) -> Column:
     """The bytes of a resource record, as a string (they are UTF-8)."""
+    record_id = identity(url, body) if record_id is None else record_id
     url, body = F.coalesce(url, F.lit("")), F.coalesce(body, F.lit(""))
-    identity = F.regexp_replace(F.md5(F.concat(url, F.lit("\n"), body).cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     return F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Record-ID: <urn:uuid:"), identity,
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Record-ID: <urn:uuid:"), record_id,
         F.lit(f">\r\nWARC-Date: {_DATE}\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
     )
 
 
-def archive(spark: SparkSession, pages: DataFrame, tables: Tables | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """page_id, file, record_offset, record_length and record_sha256 of each page's record."""
-    tables = tables or Tables(spark, "warc")
-    body = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), record(F.col("url"), F.col("html")).alias("record"))
+def archive(pages: DataFrame, tables: Tables, name: str = "records", record_id: Column | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """page_id, record_id, file, record_offset, record_length and record_sha256 of each page's record.
+
+    `record_id` (a column) stands for identity(), as in a replica whose pages are damaged.
+    """
+    record_id = identity(F.col("url"), F.col("html")) if record_id is None else record_id
+    body = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), record_id.alias("record_id"), record(F.col("url"), F.col("html"), record_id).alias("record"))
     h = F.conv(F.substring(F.md5(F.concat_ws("\n", F.col("page_id").cast("string"), "url").cast("binary")), 1, 8), 16, 10).cast("long")
-    leaves = tables.put("records", body.select("page_id", "url", h.alias("h"), F.octet_length("record").cast("long").alias("record_length"), F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256")))
+    leaves = tables.put(name, body.select("page_id", "url", "record_id", h.alias("h"), F.octet_length("record").cast("long").alias("record_length"), F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256")))
     total = leaves.agg(F.coalesce(F.sum("record_length"), F.lit(0))).first()[0]
     files = max(1, -(-total // file_bytes))
     order = Window.partitionBy("file").orderBy(F.asc_nulls_first("page_id"), "url", "record_sha256").rowsBetween(Window.unboundedPreceding, -1)
     dealt = leaves.withColumn("file", F.col("h") % files)
     offset = F.coalesce(F.sum("record_length").over(order), F.lit(0))
-    return dealt.select("page_id", "file", offset.alias("record_offset"), "record_length", "record_sha256")
+    return dealt.select("page_id", "record_id", "file", offset.alias("record_offset"), "record_length", "record_sha256")
 
 
 def _node(rows: DataFrame, keys: list[str], place: str, digest: str) -> DataFrame:
@@ -72,8 +83,8 @@ def tree(tables: Tables, name: str, records: DataFrame) -> list[DataFrame]:
 def audit(spark: SparkSession, primary: DataFrame, replica: DataFrame, tables: Tables | None = None) -> DataFrame:
     """file, record_offset and status (altered, lost or extra) of every record in which the replica differs.
 
-    Both have file, record_offset, record_length and record_sha256; an altered one has another
-    length or hash at its offset, a lost one is not in the replica, an extra one only there.
+    Both have file, record_id, record_offset, record_length and record_sha256; an altered one has another
+    length or hash under its id, a lost one is not in the replica, an extra one only there.
     """
     tables = tables or Tables(spark, "audit")
     ours, theirs = tree(tables, "ours", primary), tree(tables, "theirs", replica)
@@ -90,11 +101,12 @@ def audit(spark: SparkSession, primary: DataFrame, replica: DataFrame, tables: T
     def leaves(records: DataFrame, name: str) -> DataFrame:
         node = F.floor(F.col("record_offset") / RANGE).cast("long")
         found = records.withColumn("node", node).join(wrong, keys, "left_semi")
-        return found.select("file", "record_offset", F.concat_ws("/", "record_length", "record_sha256").alias(name))
+        nth = F.row_number().over(Window.partitionBy("file", "record_id").orderBy("record_offset"))
+        return found.select("file", "record_id", nth.alias("nth"), F.struct("record_offset", F.concat_ws("/", "record_length", "record_sha256").alias("leaf")).alias(name))
 
-    pairs = leaves(primary, "a").join(leaves(replica, "b"), ["file", "record_offset"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    pairs = leaves(primary, "a").join(leaves(replica, "b"), ["file", "record_id", "nth"], "full").where(~F.col("a.leaf").eqNullSafe(F.col("b.leaf")))
     status = F.when(F.col("b").isNull(), "lost").when(F.col("a").isNull(), "extra").otherwise("altered")
-    return pairs.select("file", "record_offset", status.alias("status"))
+    return pairs.select("file", F.coalesce("a.record_offset", "b.record_offset").alias("record_offset"), status.alias("status"))
 
 
 def checked(spark: SparkSession, primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -105,29 +117,78 @@ def checked(spark: SparkSession, primary: DataFrame, replica: DataFrame) -> Data
     return joined.select("page_id", "file", "record_offset", "record_length", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 
-_HEADER = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
+#: A record's header; one that does not end within 64 kB is damage.
+_HEADER = re.compile(rb"WARC/1\.[01]\r\n(.{0,65536}?)\r\n\r\n", re.S)
+_RECORD = "path string, record_id string, record_offset long, record_length long, record_sha256 string, type string, uri string, body binary"
+
+
+def unpacked(data: bytes) -> bytes:
+    """A file's bytes; gzip members are unpacked one by one, and a damaged one is left out from its damage on."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data[at:]))
+            end = len(data) - len(member.unused_data)
+        except zlib.error:
+            end = -1
+        if end <= at:
+            end = data.find(b"\x1f\x8b\x08", at + 1)
+        at = end if end > at else len(data)
+    return b"".join(out)
 
 
-def parsed(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
-    """(offset, length, type, target URI, body) of each record of a WARC file; gzip members are unpacked first."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def parsed(data: bytes) -> Iterator[tuple[str, int, int, str, str, str, bytes]]:
+    """(record id, offset, length, SHA-256, type, target URI, body) of each record of a WARC file's unpacked bytes.
+
+    Bytes that are no record, up to the next record, are one of type "damage".
+    """
     at = 0
-    while m := _HEADER.match(data, at):
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in m[1].split(b"\r\n"))}
-        end = m.end() + int(fields.get(b"content-length", b"0"))
-        yield at, end + 4 - at, fields.get(b"warc-type", b"").decode(), fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), data[m.end() : end]
-        at = end + 4
+    while at < len(data):
+        m, end = _HEADER.match(data, at), -1
+        if m:
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in m[1].split(b"\r\n"))}
+            size = fields.get(b"content-length", b"0")
+            if re.fullmatch(rb"\d{1,15}", size) and data[(end := m.end() + int(size)) : end + 4] != b"\r\n\r\n":
+                end = -1
+        if end >= 0:
+            text = lambda k: fields.get(k, b"").decode("utf-8", "replace")
+            yield text(b"warc-record-id"), at, end + 4 - at, hashlib.sha256(data[at : end + 4]).hexdigest(), text(b"warc-type"), text(b"warc-target-uri"), data[m.end() : end]
+            at = end + 4
+            continue
+        end = data.find(b"WARC/1.", at + 1)
+        end = end if end >= 0 else len(data)
+        yield "", at, end - at, hashlib.sha256(data[at:end]).hexdigest(), "damage", "", data[at:end]
+        at = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, record_offset, record_length, type, uri and body of the records of WARC files (a task reads a file)."""
+    """path, record_id, record_offset, record_length, record_sha256, type, uri and body of the records of WARC files (a task reads a file, and yields it in parts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split(" ")[0] for part in _RECORD.split(", ")]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(name, *r) for r in parsed(bytes(content))]
-                yield pd.DataFrame(rows, columns=["path", "record_offset", "record_length", "type", "uri", "body"])
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows, held = [], 0
+                for found in parsed(unpacked(content.as_py())):
+                    rows.append((name, *found))
+                    held += found[2]
+                    if held >= FILE_BYTES:
+                        yield table(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield table(rows)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, record_offset long, record_length long, type string, uri string, body binary")
+    return files.mapInArrow(run, _RECORD)
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """What audit() takes, of the WARC files in a folder; `file` is a file's name."""
+    return read_warc(spark, path).select(F.substring_index("path", "/", -1).alias("file"), "record_id", "record_offset", "record_length", "record_sha256")

@@ -7,6 +7,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
+from junctura.llm.common import Tables
 from junctura.llm import html_text, queries, topk, url_filter, warc
 
 PAGE = """<!doctype html><head><title>x</title><body><nav><ul><li>a<li>b<ul><li>c</ul></ul></nav><h1>Head &amp; x</h1>
@@ -124,13 +125,13 @@ def records(spark, n=400):
 
 def test_audit_finds_every_damage(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE", 1024)
-    primary = warc.archive(spark, records(spark), file_bytes=20_000).cache()
+    primary = warc.archive(records(spark), Tables(spark, "test"), file_bytes=20_000).cache()
     assert warc.audit(spark, primary, primary).count() == 0
     first = primary.orderBy("file", "record_offset").collect()
     for r, s in zip(first, first[1:], strict=False):
         assert s.record_offset == (r.record_offset + r.record_length if r.file == s.file else 0)
     changed = primary.withColumn("record_sha256", F.when(F.col("page_id") % 97 == 3, F.sha2(F.lit("x").cast("binary"), 256)).otherwise(F.col("record_sha256"))).where("page_id is null or page_id % 89 <> 4")
-    extra = changed.limit(1).withColumn("record_offset", F.lit(10_000_000).cast("long"))
+    extra = changed.limit(1).withColumns({"record_offset": F.lit(10_000_000).cast("long"), "record_id": F.lit("other")})
     found = warc.audit(spark, primary, changed.unionByName(extra)).groupBy("status").count().collect()
     assert {r.status: r["count"] for r in found} == {"altered": 5, "lost": 5, "extra": 1}
     status = {r.page_id: r.status for r in warc.checked(spark, primary, changed).collect()}
@@ -145,6 +146,37 @@ def test_records_are_read_back(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(b.encode()) for b in bodies))
     got = warc.read_warc(spark, str(tmp_path)).collect()
     assert len(got) == 2 * len(bodies) and {r.uri for r in got} == {f"http://h/{i}" for i in range(20)} | {""}
-    archived = {r.record_sha256 for r in warc.archive(spark, pages).collect()}
+    archived = {r.record_sha256 for r in warc.archive(pages, Tables(spark, "test")).collect()}
     content = "".join(bodies).encode()
     assert {hashlib.sha256(content[r.record_offset : r.record_offset + r.record_length]).hexdigest() for r in got} == archived
+
+
+def test_damaged_files_are_read_on(spark, tmp_path):
+    bodies = [r.b.encode() for r in records(spark, 30).orderBy("page_id", "html").select(warc.record(F.col("url"), F.col("html")).alias("b")).collect()]
+    whole = [x[1:] for x in warc.parsed(b"".join(bodies))]
+    assert len(whole) == len(bodies) and sum(x[1] for x in whole) == sum(map(len, bodies))
+    bad = [b"xx" + bodies[0], bodies[1].replace(b"Content-Length: ", b"Content-Length: -"), bodies[2][:-9], bodies[3].replace(b"resource", b"\xff\xfe"), *bodies[4:]]
+    found = list(warc.parsed(b"".join(bad)))
+    assert [f[4] for f in found].count("damage") == 3 and len({f[3] for f in found} & {x[2] for x in whole}) == len(bodies) - 3
+    assert b"".join(b"".join(bad)[f[1] : f[1] + f[2]] for f in found) == b"".join(bad)
+    packed = [gzip.compress(x) for x in bodies]
+    cut = b"".join([packed[0], packed[1][:20], *packed[2:-1], packed[-1][:-12]])
+    assert len(list(warc.parsed(warc.unpacked(cut)))) >= len(bodies) - 2
+    rng = np.random.default_rng(3)
+    for n in range(200):
+        junk = bytearray(b"".join(bodies[:4]) if n % 2 else b"".join(packed[:4]))
+        for at in rng.integers(0, len(junk), 5):
+            junk[at] = rng.integers(256)
+        list(warc.parsed(warc.unpacked(bytes(junk[: rng.integers(len(junk))]))))
+
+
+def test_files_are_audited(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 1024)
+    bodies = [r.b.encode() for r in records(spark, 60).orderBy("page_id", "html").select(warc.record(F.col("url"), F.col("html")).alias("b")).collect()]
+    for name, content in (("a", bodies), ("b", [*bodies[:20], *bodies[21:40], bodies[40].replace(b"<p>", b"<q>"), *bodies[41:]])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "0.warc.gz").write_bytes(b"".join(map(gzip.compress, bodies)))
+        (tmp_path / name / "1.warc").write_bytes(b"".join(content))
+    primary, replica = (warc.inventory(spark, str(tmp_path / name)).cache() for name in "ab")
+    at = [sum(map(len, bodies[:n])) for n in (20, 40)]
+    assert sorted(map(tuple, warc.audit(spark, primary, replica).collect())) == [("1.warc", at[0], "lost"), ("1.warc", at[1], "altered")]
