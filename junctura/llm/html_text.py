@@ -1,12 +1,15 @@
 """HTML extraction by layout-aware rendering: a tree builder, visibility rules, and a text layout.
 
 The tree builder supplies implied tags (a block closes an open paragraph, an item its predecessor, a cell
-its row's open cell) and closes what is left open. Hidden are the head, scripts, styles, templates,
+its row's open cell, text or a tag of the body the head) and closes what is left open. Hidden are the head, scripts, styles, templates,
 noscript, and elements with `hidden`, `display:none` or `visibility:hidden`. All other text is
 emitted, navigation included: blocks on lines of their own, paragraphs and headings with a blank line around
 them, list items with bullets or numbers and an indent by depth, table cells in aligned columns,
-preformatted text as it is; elsewhere white space collapses. Nothing recurses, and every pattern stops at the
-next "<", so long and broken pages take time in proportion to their length.
+preformatted text as it is; elsewhere white space collapses.
+
+Time and output grow in proportion to the page: nothing recurses, every pattern stops at the
+next "<", open elements are found by their name, indents end at INDENT levels, tables nested deeper than NESTED are plain blocks, columns are at most
+WIDE characters wide (wider cells take lines of their own), and a row that would need more than PADDING spaces for each character of it is not aligned.
 
 Defined cases: null and empty pages give an empty text; a repeated row is rendered again; unknown tags are inline. Extra columns are ignored.
 """
@@ -14,6 +17,8 @@ Defined cases: null and empty pages give an empty text; a repeated row is render
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,10 +28,13 @@ from pyspark.sql import functions as F
 
 # The names of HTML's elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title object iframe svg math audio video canvas datalist".split())
+HIDDEN = frozenset("head script style template noscript title object iframe audio video canvas datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset("html body div section article aside header footer nav main address fieldset form li dt dd tr caption thead tbody tfoot figcaption details summary legend center option optgroup dir menu".split())
+#: What may stand in a head.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+INDENT, NESTED, WIDE, PADDING = 32, 16, 60, 32
 #: A start tag closes open elements of these names, up to the nearest of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -73,24 +81,23 @@ def _element(tag: str, text: str) -> Node:
 def parse(html: str) -> Node:
     """The tree of a page; its text nodes are strings with entities resolved."""
     root = Node("html")
-    stack, n_open, at = [root], {"html": 1}, 0
+    stack, at = [root], 0
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
 
     def close(down_to: int) -> None:
         while len(stack) > down_to:
-            n_open[stack.pop().tag] -= 1
+            places[stack.pop().tag].pop()
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def close_first(names: set[str], scope: set[str]) -> None:
         """Closes the outermost open element of these names inside the nearest scope."""
-        if not any(n_open.get(n) for n in names):
-            return
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in scope:
-                break
-            if stack[i].tag in names:
-                found = i
-        if found:
-            close(found)
+        within, found = last(scope), len(stack)
+        for n in names:
+            if places.get(n) and (i := bisect_right(places[n], within)) < len(places[n]):
+                found = min(found, places[n][i])
+        close(found)
 
     size = len(html)
     while at < size:
@@ -99,31 +106,31 @@ def parse(html: str) -> Node:
         tag = m[2] or m[5]
         if tag is None:
             if token[0] != "<" or token == "<":
+                if stack[-1].tag == "head" and not token.isspace():
+                    close(len(stack) - 1)
                 stack[-1].children.append(unescape(token) if "&" in token else token)
             continue
         tag, ends, rest = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ends:
-            if tag == "p" and not n_open.get("p"):
+            if tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
-            elif tag != "html" and n_open.get(tag):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close(i)
-                        break
-                    if stack[i].tag in ("td", "th", "table") and tag not in BLOCKS:
-                        break  # an inline end tag does not reach out of a cell
+            elif tag != "html" and places.get(tag):
+                i = places[tag][-1]
+                if tag in BLOCKS or i > last(("td", "th", "table")):  # an inline end tag does not reach out of a cell
+                    close(i)
             continue
         if tag == "html":
             continue
         if tag in IMPLIED:
             close_first(*IMPLIED[tag])
-        if tag in BLOCKS and n_open.get("p"):
+        if tag in BLOCKS and places.get("p"):
             close_first({"p"}, {"td", "th", "table", "button", "object"})
-        if n_open.get("head") and stack[-1].tag == "head" and tag in BLOCKS:
+        if stack[-1].tag == "head" and tag not in HEAD:
             close(len(stack) - 1)
         node = _element(tag, rest)
+        node.hidden = node.hidden or (tag in ("desc", "metadata") and bool(places.get("svg")))
         stack[-1].children.append(node)
         if tag in RAW:
             end = _ENDS[tag].search(html, at)
@@ -131,8 +138,8 @@ def parse(html: str) -> Node:
                 node.children.append(unescape(html[at : end.start() if end else size]))
             at = end.end() if end else size
         elif tag not in VOID and not rest.endswith("/") or tag in BLOCKS and tag not in VOID:
+            places[tag].append(len(stack))
             stack.append(node)
-            n_open[tag] = n_open.get(tag, 0) + 1
     return root
 
 
@@ -156,7 +163,7 @@ class _Page:
         if not self.line:
             if self.lines and self.gap > 1:
                 self.lines.append("")
-            self.gap, depth = 0, max(0, len(self.lists) - 1)
+            self.gap, depth = 0, min(INDENT, max(0, len(self.lists) - 1))
             self.line.append("  " * depth + (self.bullet or ("  " if self.lists else "")))
             self.bullet = ""
         elif self.space:
@@ -193,15 +200,31 @@ def _aligned(rows: list[list[list[str]]]) -> Iterator[str]:
     widths: dict[int, int] = {}
     for row in rows:
         for i, cell in enumerate(row):
-            widths[i] = max(widths.get(i, 0), *map(len, cell), 0) if cell else widths.get(i, 0)
+            widths[i] = max(widths.get(i, 0), *(n for n in map(len, cell) if n <= WIDE), 0)
     for row in rows:
-        for n in range(max([len(cell) for cell in row], default=0)):
-            yield "  ".join((cell[n] if n < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip(" ")
+        high = max(map(len, row), default=0)
+        size = sum(len(line) for cell in row for line in cell)
+        if high * sum(widths[i] + 2 for i in range(len(row))) > PADDING * (size + 4 * len(row) + 16):
+            yield from (line for cell in row for line in cell)
+            continue
+        for n in range(high):
+            parts = []
+            for i, cell in enumerate(row):
+                line = cell[n] if n < len(cell) else ""
+                if len(line) <= WIDE:
+                    parts.append(line.ljust(widths[i]))
+                    continue
+                if any(p.strip(" ") for p in parts):
+                    yield "  ".join(parts).rstrip(" ")
+                yield line
+                parts = []
+            if any(p.strip(" ") for p in parts):
+                yield "  ".join(parts).rstrip(" ")
 
 
 def render(root: Node) -> str:
     """All visible text of a tree."""
-    pages, todo = [_Page()], [(root, False)]
+    pages, cells, todo = [_Page()], [], [(root, False)]
     while todo:
         node, leaving = todo.pop()
         page = pages[-1]
@@ -224,10 +247,13 @@ def render(root: Node) -> str:
                 page.rows = [page.rows]  # what an outer table has so far, then this one's rows
             elif tag == "tr" and page.rows is not None:
                 page.rows.append([])
-            elif tag in ("td", "th") and page.rows is not None:
+            elif tag in ("td", "th") and page.rows is not None and len(pages) <= NESTED:
                 if len(page.rows) == 1:
                     page.rows.append([])
                 pages.append(_Page())
+                cells.append(node)
+            elif tag in ("td", "th"):
+                page.close_line(1)
             elif tag in ("ul", "ol", "menu", "dir"):
                 page.close_line(2 if not page.lists else 1)
                 page.lists.append([tag == "ol", node.start])
@@ -244,9 +270,12 @@ def render(root: Node) -> str:
             todo.append((node, True))
             todo.extend((child, False) for child in reversed(node.children))
             continue
-        if tag in ("td", "th") and len(pages) > 1:
+        if cells and cells[-1] is node:
+            cells.pop()
             cell = pages.pop().done()
             pages[-1].rows[-1].append(cell)
+        elif tag in ("td", "th"):
+            page.close_line(1)
         elif tag == "table":
             rows, page.rows = page.rows[1:], page.rows[0]
             page.close_line(2)

@@ -2,9 +2,12 @@
 
 import gzip
 import hashlib
+import random
+import time
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from junctura.llm.common import Tables
@@ -54,9 +57,80 @@ def test_visibility_and_implied_tags():
     assert see(None) == see("") == see("<script>") == ""
 
 
-def test_long_and_broken_pages_take_linear_time():
-    for part in ("<div>", "<a href=\"", "<!--", "<p ", "</b>", "<b", "<table><tr><td>", "<ul><li>x"):
-        html_text.visible_text(part * 20_000)
+def seconds(page):
+    began = time.process_time()
+    text = html_text.visible_text(page)
+    assert len(text) <= 64 * len(page)
+    return time.process_time() - began
+
+
+BROKEN = ["<div>", '<a href="', "<!--", "<p ", "</b>", "<b", "<table><tr><td>", "<table><tr><td>x", "<ul><li>x", "<b><p>x", "<td>x<td>y<br>", "<select><option>", "<dl><dt>a<dd>b", "</p>", "<i></td>"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_long_and_broken_pages_take_linear_time(part):
+    for before in ("", "<p><button>", "<head><b>", "<table><tr><td>"):
+        assert seconds(before + part * 8000) < 0.2 + 8 * max(0.05, seconds(before + part * 2000))
+
+
+def test_wide_cells_do_not_widen_the_table():
+    wide = "<table><tr><td>" + "w" * 20_000 + "<td>a" + "<tr><td>x<td>y" * 2000 + "</table>"
+    text = html_text.visible_text(wide)
+    assert len(text) < 4 * len(wide) and text.split("\n")[:3] == ["w" * 20_000, "a", "x  y"]
+    tall = "<table><tr><td>" + "l<br>" * 3000 + "<td>c" * 3000 + "</table>"
+    assert len(html_text.visible_text(tall)) < 4 * len(tall)
+    assert html_text.visible_text("<table><tr><td>" + "w" * 61 + "<td>b<td>c<tr><td>d<td>e</table>") == "w" * 61 + "\nb  c\nd  e"
+
+
+def test_head_ends_and_drawings_have_text():
+    see = html_text.visible_text
+    assert see("<head><title>t</title> <a>one</a><p>two") == "one\n\ntwo" and see("<head>one<div>two") == "one\ntwo"
+    assert see("<head><meta><style>x</style><b>bold</b> text") == "bold text"
+    assert see("<svg><title>t</title><desc>no</desc><text>yes</text></svg><math><mi>x</mi></math>") == "yesx"
+
+
+def random_page(rng, depth=0):
+    """(html, visible words in order) of a random tree; end tags that are implied are left out at random."""
+    html, words = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["word", "word", "inline", "block", "list", "table", "hidden", "comment"])
+        if kind == "word" or depth > 3:
+            w = "".join(rng.choice("abcdefgh") for _ in range(6))
+            html.append(f" {w} ")
+            words.append(w)
+            continue
+        inner, own = random_page(rng, depth + 1)
+        if kind == "inline":
+            tag = rng.choice(["b", "span", "a", "em"])
+            inner, own = " ".join(own), own
+            html.append(f" <{tag}>{inner}</{tag}> ")
+        elif kind == "block":
+            tag = rng.choice(["div", "section", "blockquote", "pre"])
+            html.append(f"<{tag}>{inner}</{tag}>")
+        elif kind == "list":
+            more, other = random_page(rng, depth + 1)
+            end = rng.choice(["", "</li>"])
+            html.append(f"<ul><li>{inner}{end}<li>{more}{end}</ul>")
+            own = own + other
+        elif kind == "table":
+            cell = lambda: rng.choice(["ab", "cd", "ef"])
+            own = [cell() for _ in range(4)]
+            html.append("<table><tr><td>{}<td>{}{}<tr><td>{}<td>{}</table>".format(own[0], own[1], rng.choice(["", "</tr>"]), own[2], own[3]))
+        elif kind == "hidden":
+            html.append(rng.choice(["<div hidden>{}</div>", "<p style='display:none'>x {}</p>", "<template>{}</template>"]).format(" ".join(own)))
+            own = []
+        else:
+            html.append("<!-- " + " ".join(own) + " -->")
+            own = []
+        words += own
+    return "".join(html), words
+
+
+def test_visible_words_of_random_pages():
+    rng = random.Random(11)
+    for _ in range(400):
+        html, words = random_page(rng)
+        assert [w for w in html_text.visible_text(html).split() if w != "-"] == words, html
 
 
 def test_extraction_table(spark):
