@@ -175,20 +175,23 @@ def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = {int(i): rng.normal(size=6).round(1).tolist() for i in rng.permutation(700)}
     vectors |= {i: [0.5] * 6 for i in range(100, 160)} | {900: [0.0] * 6, 950: [1.0] * 6}
-    rows = [(i, v) for i, v in vectors.items()] + [(None, [0.0] * 6), (1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (1200, [1.0, 2.0]), (150, [0.5] * 6)]
+    rows = [(i, v) for i, v in vectors.items()] + [(None, [0.0] * 6), (1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (1200, [1.0, 2.0])]
+    repeated = [(1, [9.0] * 6), (1, [9.0] * 6), (7, [-9.0] * 6), (150, [0.5] * 6)]
+    rows += repeated
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     units = table.where(topk.usable(F.col("embedding"))).select("vec_id", topk.whole_units(F.col("embedding")).alias("v"))
     got = sorted(tuple(r) for r in topk.top_k(spark, units, units.where("vec_id % 50 = 0"), shard_rows=100).collect())
-    ids = np.array(sorted(vectors))
-    matrix = np.floor(256 * np.array([vectors[i] for i in ids], np.float32).astype(float))
+    kept = sorted([*vectors.items(), *repeated])
+    ids = np.array([i for i, _ in kept])
+    matrix = np.floor(256 * np.array([v for _, v in kept], np.float32).astype(float))
     expected = []
-    for i in ids[ids % 50 == 0]:
+    for i in np.unique(ids[ids % 50 == 0]):
         scores = matrix @ matrix[ids == i][0]
         best = [j for j in np.lexsort((ids, -scores)) if ids[j] != i][:5]
         expected += [(int(i), n, int(ids[j]), int(scores[j])) for n, j in enumerate(best, 1)]
     assert got == sorted(expected)
     assert topk.top_k(spark, units.limit(0), units.limit(0)).count() == 0
-    few = units.where("vec_id in (0, 1, 2)")
+    few = units.where("vec_id in (0, 2, 3)")
     assert topk.top_k(spark, few, few.where("vec_id = 0")).count() == 2
 
 
