@@ -1,10 +1,12 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join of the possible hits.
 
 A listed entry is a rule (action, host, path): it fits its host and all subdomains, if the URL's path starts with
-the rule's. Its canonical form is host || path. A URL's possible entries are, for each pair of lengths (host, path)
-that the list has, the end of its host and the start of its path. The list's Bloom filter is an array of
+the rule's. Its canonical form is host || path. A URL's possible hosts are the ends of its host at dots, at most as many labels
+as a listed host has; those in the list are looked up together with the lengths of their listed paths, and each gives the canonical URLs
+to test. The list's Bloom filter is an array of
 64-bit blocks; an entry sets four bits of one block. Keys whose bits are all set are joined to the list, and that hash join
-removes false positives; of several hits the longest wins. All of it is DataFrame functions.
+removes false positives; of several hits the longest wins. A filter of the listed hosts stands before their look-up, too. All of it is DataFrame functions,
+and its work does not grow with the number of different lengths in the list.
 
 The filter has at most MOST_BLOCKS blocks (8 MB), whatever the list; a list too long for it passes more keys to the
 join, which stays exact. The list itself is broadcast up to BROADCAST_RULES entries (counted), else hashed by key.
@@ -59,30 +61,31 @@ def bloom_filter(spark: SparkSession, keys: DataFrame, count: int) -> tuple[Data
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "mask"))), lambda x: x["mask"]).alias("filter")), blocks
 
 
+def _possible(keys: DataFrame, key: Column, filter_row: DataFrame, blocks: int) -> DataFrame:
+    mask = _mask(key)
+    return keys.where(F.get(filter_row.scalar(), _block(key, blocks)).bitwiseAND(mask) == mask)
+
+
 def judged(spark: SparkSession, pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (the longest that fits, else null) and verdict of every page."""
-    keyed = listed.select("action", F.concat("host", "path").alias("key"), F.length("host").alias("h"), F.length("path").alias("p")).where("key is not null")
-    # One row for each pair of lengths, not for each entry: as many as hosts and paths have lengths.
-    lengths = [(r["h"], r["p"]) for r in keyed.select("h", "p").distinct().collect()]
+    listed = listed.select("action", "host", "path").where("host is not null and path is not null")
+    hosts = listed.groupBy(F.col("host").alias("end")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    found = listed.agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    if not lengths:
+    if not found["n"]:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    count = keyed.count()
-    filter_row, blocks = bloom_filter(spark, keyed, count)
-    pairs = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in sorted(lengths)])
-
-    def key_of(pair: Column) -> Column:
-        extra = F.length("host") - pair["h"]
-        fits = (extra == 0) | ((extra > 0) & (F.substr(F.col("host"), extra, F.lit(1)) == "."))
-        return F.when(fits & (F.length("path") >= pair["p"]), F.concat(F.substr(F.col("host"), extra + 1), F.substr(F.col("path"), F.lit(1), pair["p"])))
-
-    keys = urls.select("page_id", "url", F.explode(F.array_compact(F.transform(pairs, key_of))).alias("key"))
-    mask = _mask(F.col("key"))
-    possible = keys.where(F.get(filter_row.scalar(), _block(F.col("key"), blocks)).bitwiseAND(mask) == mask)
-    entries = keyed.select("key", "action")
-    entries = F.broadcast(entries) if count <= BROADCAST_RULES else entries.hint("shuffle_hash")
-    best = F.min(F.struct((-F.length("key")).alias("length"), "key", "action")).alias("best")
-    hits = possible.join(entries, "key").groupBy(F.col("page_id").alias("hit_id"), F.col("url").alias("hit_url")).agg(best)
+    sized = lambda df, n: F.broadcast(df) if n <= BROADCAST_RULES else df.hint("shuffle_hash")
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - found["labels"] + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    by_end = urls.select("page_id", "url", "path", F.explode(ends).alias("end"))
+    by_end = _possible(by_end, F.col("end"), *bloom_filter(spark, hosts.select(F.col("end").alias("key")), found["hosts"]))
+    lengths = F.filter("lengths", lambda n: n <= F.length("path"))
+    keys = by_end.join(sized(hosts, found["hosts"]), "end").select("page_id", "url", "end", "path", F.explode(lengths).alias("n")).select("page_id", "url", "end", F.substr("path", F.lit(1), F.col("n")).alias("start"))
+    possible = _possible(keys, F.concat("end", "start"), *bloom_filter(spark, listed.select(F.concat("host", "path").alias("key")), found["n"]))
+    entries = sized(listed.select(F.col("host").alias("end"), F.col("path").alias("start"), "action"), found["n"])
+    rule = F.concat("end", "start")
+    best = F.min(F.struct((-F.length(rule)).alias("length"), rule.alias("rule"), "action")).alias("best")
+    hits = possible.join(entries, ["end", "start"]).groupBy(F.col("page_id").alias("hit_id"), F.col("url").alias("hit_url")).agg(best)
     joined = urls.join(hits, F.col("page_id").eqNullSafe(F.col("hit_id")) & (F.col("url") == F.col("hit_url")), "left")
-    return joined.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

@@ -171,6 +171,17 @@ def test_url_filter_without_rules_and_false_positives(spark, monkeypatch):
     assert got == {i: brute.op8(u, rules) for i, u in enumerate(urls)}
 
 
+def test_url_rules_of_all_lengths(spark):
+    rng = random.Random(2)
+    host = lambda: ".".join(rng.choice(["a", "bb", "c", "", "example"]) for _ in range(rng.randint(1, 4)))
+    path = lambda: rng.choice(["", "/"]) + "/".join(rng.choice(["x", "yy", "z", ""]) for _ in range(rng.randint(0, 4)))
+    rules = [(rng.choice(["allow", "block"]), host(), path()) for _ in range(150)]
+    urls = ["http://" + host() + "/" + path() + rng.choice(["", "?q", "#f"]) for _ in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judged(spark, pages, url_filter.rules(spark, rules)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(i, *brute.op8(u, rules)) for i, u in enumerate(urls)]))
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = {int(i): rng.normal(size=6).round(1).tolist() for i in rng.permutation(700)}
