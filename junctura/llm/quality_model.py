@@ -1,18 +1,19 @@
 """Quality classifier: supervised subword embeddings in the manner of fastText.
 
-A text's features are its words, the byte n-grams of each word (with marks for its ends) and, for each word that
-repeats the one before it, one word-pair feature, hashed to BUCKETS rows of an embedding table. A document is the mean of its features' vectors; a softmax layer gives
-the two classes' chances; plain stochastic gradient descent in numpy trains both. Training takes at most
-TRAIN_ROWS labelled documents (a bound on the driver's memory, whatever the corpus), chosen by a
-hash of doc_id among those that are not held out.
+A text's features are its words, the character n-grams of each word (with marks for its ends) and, of word bigrams, those of a
+word and the same word again (one feature for all words, since a mean of vectors cannot see order), hashed to BUCKETS rows of an embedding table. A document is the mean of its features' vectors; a softmax layer gives
+the two classes' chances; plain stochastic gradient descent on the log loss in numpy trains both, with a larger step for the
+vectors, since a feature's share of a mean is small. Training takes at most
+TRAIN_ROWS labelled documents with TRAIN_BYTES of text (whole texts; bounds on the driver's memory, whatever the corpus), chosen by a
+hash of doc_id among those that are not held out; if these rows have more bytes, the longest texts are passed over.
 
 For scoring, the mean and the linear layer are exchanged: each feature is one number, the difference
 of the two classes' logits of its vector, so the model that is broadcast has BUCKETS floats (1 MB),
-and a word's sum is remembered by the worker. Every whole text is scored in one scan without a shuffle.
+and a word's sum is remembered for the task. Every whole text is scored in one scan without a shuffle.
 
 Defined cases: null and empty texts score what the bias alone gives; null labels are not learnt;
 rows with a null doc_id count as not held out and are not learnt; repeated labels of a document count each; without
-labels of both classes every score is the share of label 1 (0.5 without any). Extra columns are ignored.
+labels of both classes every score is the share of label 1 (0.5 without any); texts longer than TRAIN_BYTES are scored, not learnt. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ from pyspark.sql import functions as F
 from junctura.storage import shared_dir
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4)
-TRAIN_ROWS, EPOCHS, RATE, SEED = 6000, 8, 1.0, 7
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, RATE, VECTOR_RATE, SEED = 6000, 24 << 20, 5, 0.5, 100.0, 7
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-_REMEMBERED = 500_000
+#: Words whose sums a task remembers.
+_REMEMBERED = 300_000
 
-
-#: The row of the pair "a word and the same word again", and how much one such pair weighs.
-_SAME, _SAME_WEIGHT = zlib.crc32(b"<same><same>", 2) % BUCKETS, 8
+#: The row of the bigram "a word and the same word again".
+_SAME = zlib.crc32(b"<same>", 2) % BUCKETS
 
 
 def repeats(words: list[bytes]) -> int:
@@ -49,8 +50,8 @@ def repeats(words: list[bytes]) -> int:
 
 def features(word: bytes) -> list[int]:
     """The rows of the embedding table that a word looks up."""
-    marked, crc, last = b"<" + word + b">", zlib.crc32, len(word) + 3
-    return [crc(word) % BUCKETS, *[crc(marked[i : i + n], 1) % BUCKETS for n in NGRAMS for i in range(last - n)]]
+    marked, crc = f"<{word.decode('utf-8', 'replace')}>", zlib.crc32
+    return [crc(word) % BUCKETS, *[crc(marked[i : i + n].encode(), 1) % BUCKETS for n in NGRAMS for i in range(len(marked) - n + 1)]]
 
 
 @dataclass
@@ -65,64 +66,96 @@ class Model:
         return 1 / (1 + exp(-min(700.0, max(-700.0, z))))
 
 
-def train(texts: list[bytes], labels: np.ndarray) -> Model:
-    """Trains on whole texts; the same rows in the same order give the same model."""
-    share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+@dataclass
+class Network:
+    """What is trained: the features' vectors, the softmax layer and its bias."""
+
+    table: np.ndarray
+    layer: np.ndarray
+    bias: np.ndarray
+
+    def model(self) -> Model:
+        return Model((self.table @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
+
+
+def gradients(rows: np.ndarray, weight: np.ndarray, layer: np.ndarray, bias: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one document's log loss, by its features' vectors, the layer and the bias."""
+    mean = weight @ rows
+    z = mean @ layer + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    return np.outer(weight, layer @ p), np.outer(mean, p), p
+
+
+def weighed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text and their shares of its mean."""
+    words = text.split()
+    counts: Counter[int] = Counter()
+    if same := repeats(words):
+        counts[_SAME] = same
+    for word, n in Counter(words).items():
+        for f in features(word):
+            counts[f] += n
+    ids, weight = np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
+    return ids, weight / max(1, weight.sum())
+
+
+def trained(texts: list[bytes], labels: np.ndarray) -> Network:
+    """Trains on whole texts; the same rows in the same order give the same network."""
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    known: dict[bytes, list[int]] = {}
-    documents = []
-    for text in texts:
-        counts: Counter[int] = Counter()
-        words = text.split()
-        if same := repeats(words):
-            counts[_SAME] += _SAME_WEIGHT * same
-        for word, n in Counter(words).items():
-            if word not in known:
-                if len(known) >= _REMEMBERED:
-                    known.clear()
-                known[word] = features(word)
-            for f in known[word]:
-                counts[f] += n
-        ids = np.fromiter(counts, np.int32, len(counts))
-        weight = np.fromiter(counts.values(), np.float32, len(counts))
-        documents.append((ids, weight / max(1, weight.sum())))
+    documents = [weighed(text) for text in texts]
     steps, done = EPOCHS * len(documents), 0
     for _ in range(EPOCHS):
         for at in rng.permutation(len(documents)):
             ids, weight = documents[at]
-            rate = RATE * (1 - done / steps)
+            left = 1 - done / steps
             done += 1
             rows = table[ids]
-            mean = weight @ rows
-            z = mean @ layer + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[int(labels[at])] -= 1
-            back = layer @ p
-            layer -= rate * np.outer(mean, p)
-            bias -= np.float32(0.1 * rate) * p
-            # The vectors' own step is not shared out over the words of the text, only weighed by them.
-            table[ids] = rows - rate * np.minimum(1, weight * 20)[:, None] * back
-    return Model((table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+            by_rows, by_layer, by_bias = gradients(rows, weight, layer, bias, int(labels[at]))
+            layer -= RATE * left * by_layer
+            bias -= np.float32(0.1 * RATE * left) * by_bias
+            table[ids] = rows - VECTOR_RATE * left * by_rows
+    return Network(table, layer, bias)
+
+
+def train(texts: list[bytes], labels: np.ndarray) -> Model:
+    share = float(labels.mean()) if len(labels) else 0.5
+    if not 0 < share < 1:
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    return trained(texts, labels).model()
 
 
 def _remainder(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns `labels.quality` from at most `rows` documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """At most `rows` documents that are not held out, with `size` bytes of text, and their labels."""
     chosen = (
-        labels.where(F.col("quality").isin(0, 1) & (_remainder() != HELD_OUT)).select("doc_id", "quality")
+        labels.where(F.col("quality").isin(0, 1) & (_remainder() != HELD_OUT)).select("doc_id", F.col("quality").cast("int"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text"), "quality").limit(rows).toPandas()
-    return train([bytes(t) for t in found["text"]], found["quality"].to_numpy())
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    order = [F.xxhash64("doc_id"), "doc_id", "h", "quality"]
+    keyed = texts.select("doc_id", "quality", "text", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    left, most = size, -1
+    sizes = [r["n"] for r in keyed.select("doc_id", "h", "quality", "n").orderBy(*order).limit(rows).collect()]
+    # The longest text that may come is that with which the bytes just suffice: all that are longer are passed over.
+    by_size = sorted(sizes)
+    while by_size and by_size[0] <= left:
+        most = by_size.pop(0)
+        left -= most
+    found = keyed.where(F.col("n") <= most).orderBy(*order).limit(rows).select("text", "quality").toPandas()
+    kept = np.cumsum(found["text"].map(len).to_numpy(np.int64)) <= size
+    return [bytes(t) for t in found["text"][kept]], found["quality"].to_numpy()[kept]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
+    """Learns `labels.quality` from training_rows()."""
+    return train(*training_rows(docs, labels, rows, size))
 
 
 def _scored(model):
@@ -134,7 +167,7 @@ def _scored(model):
             scores = []
             for text in batch.column("bytes"):
                 words = text.as_py().split()
-                n = _SAME_WEIGHT * repeats(words)
+                n = repeats(words)
                 total = n * weight(_SAME)
                 for word, count in Counter(words).items():
                     found = known.get(word)

@@ -256,6 +256,47 @@ def test_classifier_holds_out_and_scores(spark, odd_docs, odd_rows):
     assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
 
 
+def test_gradients_are_those_of_the_log_loss():
+    rng = np.random.default_rng(5)
+    rows, weight, layer, bias = rng.normal(size=(7, 4)), rng.random(7), rng.normal(size=(4, 2)), rng.normal(size=2)
+    parts = [rows, layer, bias]
+
+    def loss():
+        z = weight @ rows @ layer + bias
+        return np.log(np.exp(z).sum()) - z[1]
+
+    for part, found in zip(parts, quality_model.gradients(rows, weight, layer, bias, 1), strict=True):
+        for at in np.ndindex(part.shape):
+            part[at] += 1e-6
+            high = loss()
+            part[at] -= 2e-6
+            assert abs((high - loss()) / 2e-6 - found[at]) < 1e-6
+            part[at] += 1e-6
+
+
+def test_scores_match_the_whole_network(spark, odd_docs, odd_rows):
+    texts = [(t or "").encode() for _, t, _ in odd_rows]
+    network = quality_model.trained(texts, np.array([len(t) % 2 for t in texts]))
+    expected = []
+    for doc, text, _ in odd_rows:
+        w = brute.words(text)
+        ids = [f for x in w for f in [zlib.crc32(x.encode()) % quality_model.BUCKETS, *[zlib.crc32(f"<{x}>"[i : i + n].encode(), 1) % quality_model.BUCKETS for n in (3, 4) for i in range(len(x) + 3 - n)]]]
+        ids += [zlib.crc32(b"<same>", 2) % quality_model.BUCKETS for a, b in zip(w, w[1:], strict=False) if a == b]
+        z = (network.table[ids].astype(float).mean(axis=0) if ids else np.zeros(quality_model.DIM)) @ network.layer + network.bias
+        expected.append((str(doc), np.exp(z[1]) / np.exp(z).sum()))
+    got = [(str(r.doc_id), r.score) for r in quality_model.score(spark, odd_docs, network.model()).collect()]
+    for (a, x), (b, y) in zip(sorted(expected), sorted(got), strict=True):
+        assert a == b and abs(x - y) < 1e-4
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "w " * (10 if i % 4 else 5000)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    texts, marks = quality_model.training_rows(docs, labels, size=4000)
+    assert len(texts) == len(marks) > 100 and sum(map(len, texts)) <= 4000 and set(texts) == {b"w " * 10}
+    assert len(quality_model.training_rows(docs, labels, rows=9)[0]) == 9
+
+
 def test_classifier_without_labels(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_model.fit(odd_docs, none)
