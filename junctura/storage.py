@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -11,12 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 @cache
 def _temporary() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="junctura-")
+    folder = tempfile.mkdtemp(prefix="junctura-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one temporary folder of this process where that is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset and all runs on this machine, one temporary folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or _temporary()).rstrip("/")
 
 

@@ -1,5 +1,6 @@
 """The driver contract: queries agree with their SQL on the smallest tables."""
 
+import subprocess
 import sys
 from pathlib import Path
 
@@ -32,3 +33,8 @@ def test_contract(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(catalog.QUERIES) <= set(contract.queries())
+
+
+def test_graph_queries_stand_alone():
+    code = "import sys; sys.modules['xxhash'] = None; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 30"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])

@@ -2,13 +2,15 @@
 
 from types import SimpleNamespace
 
+import pytest
+
 from junctura import storage
 
 
-def session(of_session, of_context):
+def session(of_session, of_context, master="local[2]"):
     get = lambda found: lambda key, default=None: found or default
     conf = SimpleNamespace(get=get(of_context))
-    return SimpleNamespace(conf=SimpleNamespace(get=get(of_session)), sparkContext=SimpleNamespace(getConf=lambda: conf))
+    return SimpleNamespace(conf=SimpleNamespace(get=get(of_session)), sparkContext=SimpleNamespace(getConf=lambda: conf, master=master))
 
 
 def test_shared_dir():
@@ -18,6 +20,13 @@ def test_shared_dir():
     assert storage.shared_dir(session(None, None)).startswith("file:///")
 
 
+def test_a_cluster_names_its_folder():
+    assert storage.shared_dir(session(None, "file:///c", "yarn")) == "file:///c"
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            storage.shared_dir(session(None, None, master))
+
+
 def test_written(spark):
     df = storage.written(spark.range(5), "numbers")
     assert sorted(r.id for r in df.collect()) == list(range(5))
