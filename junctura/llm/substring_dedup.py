@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from junctura.llm.common import RollingHash, Tables, blocks, ended_bytes, word_bounds
 
 WINDOW, EDGE = 50, 20
+#: Spans are compared in pieces of so many words of their source, so that no row grows with a text.
+PIECE = 128
 _ROLLING = RollingHash(11)
 
 
@@ -115,6 +117,19 @@ def _edge_rows(window: int, edge: int, bits: int):
 _FOUND = "doc_id long, text_key long, start int, stop int, s_doc long, s_key long, s_start int, path int, words binary, digest binary"
 
 
+def _cut_at_pieces(ends: np.ndarray, s: np.ndarray, r: np.ndarray, start: np.ndarray, source: np.ndarray) -> list[np.ndarray]:
+    """Spans as pieces: none crosses a multiple of PIECE in its source."""
+    stop = start + ends - s
+    low = start // PIECE
+    n = (stop - 1) // PIECE - low + 1
+    which = np.repeat(np.arange(len(s)), n)
+    piece = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
+    begin = np.maximum(start[which], piece * PIECE)
+    end = np.minimum(stop[which], (piece + 1) * PIECE)
+    shift = (s - start)[which]
+    return [end + shift, begin + shift, r[which], begin, source[which]]
+
+
 def _digest(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
@@ -162,7 +177,7 @@ def _window_rows(window: int, edge: int, bits: int):
                         for x in (s_doc, s_key, path):
                             new[1:] |= x[source[1:]] != x[source[:-1]]
                         last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
-                        ends, s, r, start, source = ends[last], s[new], r[new], start[new], source[new]
+                        ends, s, r, start, source = _cut_at_pieces(ends[last], s[new], r[new], start[new], source[new])
                     words = b.joined(s, ends)
                     base, nothing = b.first[r], pa.nulls(len(s), pa.binary())
                     words, digests = (nothing, pa.array(map(_digest, words), pa.binary())) if digested else (pa.array(words, pa.binary()), nothing)
@@ -253,9 +268,9 @@ def _judged(tables: Tables, known: DataFrame, edges: DataFrame, paths: DataFrame
         )
         gathered = known.join(found, ["doc_id", "text_key"]).select("doc_id", "text_key", "bytes", "shared")
         rows = tables.put(f"windows{turn}", gathered.mapInArrow(_window_rows(window, edge, bits), _FOUND))
-        spans = rows.where("words is not null")
-        sources = spans.where("s_doc = doc_id and s_key = text_key").select(*at, F.col("start").alias("from"), F.col("words").alias("source_words")).dropDuplicates(at)
-        repeats = spans.where("s_doc < doc_id").join(sources, at, "left").select(*at, "words", "source_words", (F.col("s_start") - F.coalesce("from", F.lit(0))).alias("at"))
+        spans = rows.where("words is not null").withColumn("piece", F.floor(F.col("s_start") / PIECE))
+        sources = spans.where("s_doc = doc_id and s_key = text_key").select(*at, "piece", F.col("start").alias("from"), F.col("words").alias("source_words")).dropDuplicates([*at, "piece"])
+        repeats = spans.where("s_doc < doc_id").join(sources, [*at, "piece"], "left").select(*at, "words", "source_words", (F.col("s_start") - F.coalesce("from", F.lit(0))).alias("at"))
         wrong = tables.put(f"wrong{turn}", repeats.mapInArrow(_unequal, "s_doc long, s_key long, path int").distinct())
         if wrong.isEmpty():
             break
