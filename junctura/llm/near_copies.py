@@ -1,13 +1,16 @@
-"""Near-duplicates by similarity: texts whose sets of five-word shingles have a Jaccard index of 4/5 or more.
+"""Near-duplicates at a similarity: texts whose sets of five-word shingles have a Jaccard index of 4/5 or more.
 
-The search is an exact set-similarity join. Shingles are ordered by (common or not, hash). If two sets have an
-index of 4/5, the first of their shared shingles lies within the first fifth (and one) of each, so only
-these prefixes are shuffled; lengths and places in the prefixes drop most of the other pairs. Which shingles are
-common is estimated from SAMPLE_SHARE of the rows: the order may be any, only the work depends on it.
+At that index the fingerprints of whole texts differ in about ten of 64 bits, and at a radius that covers this no
+bound of a vantage-point tree over all texts rules anything out. So each text has BLOCKS further fingerprints, each the
+SimHash of the SAMPLE smallest shingle hashes of one part of its set (parts by hash). Two texts of index j have one of them
+in common with a chance of about j**SAMPLE: of pairs at 4/5, one in a hundred thousand shares none of sixteen. Texts of an
+equal block fingerprint are dealt into tiles of at most TILE texts; there, vantage-point trees over the
+whole texts' fingerprints find the pairs within RADIUS bits, nearest pairs first, and those not connected yet are
+verified by their shingles. Tiles emit links of a forest, never pairs.
 
-Equal sets are one row from the start. Then each set is compared with one set of each bucket (of a prefix's shingle), and
-only sets of a bucket that are not connected by then are compared with each other, so a dense
-group of near copies costs comparisons in proportion to its size. Links are joined by simhash.components.
+The first blocks (FIRST of them) are searched first. Buckets of the others whose texts are connected by then
+need no search, so that copies are not compared once per block. What lies in different tiles of a large bucket
+is connected through its HUBS, which are in all its tiles, and in the end tiles that are not connected are compared by twos.
 
 Defined cases: words are split and ASCII-lower-cased as for op6; fewer words than a shingle make one; texts
 without words (null texts, too) are equal; equal 64-bit hashes are taken as equal shingles. Of a group stays one
@@ -21,37 +24,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.llm import simhash
-from junctura.llm.common import RollingHash, Tables, blocks, ended_bytes, word_bounds
+from junctura.llm.common import RollingHash, Tables, blocks, bounded, ended_bytes, mixed, word_bounds
 
 SHINGLE = 5
-#: A shingle is common if it is in so many sampled rows; at most MOST of them (1 MB) are sent to the tasks.
-SAMPLE_SHARE, COMMON, MOST = 8, 8, 1 << 17
+BLOCKS, SAMPLE, FIRST, RADIUS = 16, 3, 2, 22
+#: Texts, and shingles of them, that a task compares at a time, and texts of a bucket that are in all its tiles.
+TILE, TILE_SHINGLES, HUBS = 256, 1 << 21, 8
 #: Rows whose shingles a task holds at a time.
 SLICE = 128
 
+_ROLLING = RollingHash(5)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row_id, sorted hashes of its different shingles) of each row."""
-    rolling = RollingHash(5)
+    """(place, sorted hashes of its different shingles) of each row of a batch."""
     for batch in batches:
-        ids = batch.column("row_id").to_pylist()
         for first, _, data, offsets in blocks(batch.column("bytes")):
             starts, ends, at = word_bounds(data, offsets)
             n = np.diff(at)
             count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
             bounds = np.concatenate(([0], np.cumsum(count)))
             begin = np.repeat(at[:-1] - bounds[:-1], count) + np.arange(bounds[-1])
-            words = rolling.words(_LOWER[data], starts, ends)
-            hashes = rolling.slices(words, begin, np.minimum(begin + shingle, np.repeat(at[1:], count)))
+            words = _ROLLING.words(_LOWER[data], starts, ends)
+            hashes = _ROLLING.slices(words, begin, np.minimum(begin + shingle, np.repeat(at[1:], count)))
             for i in range(len(n)):
-                yield ids[first + i], np.unique(hashes[bounds[i] : bounds[i + 1]])
+                yield first + i, np.unique(hashes[bounds[i] : bounds[i + 1]])
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,32 +69,27 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
 
 
-def _low_hashes(shingle: int):
-    """The lower half of the shingles: prefixes are of low hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            low = [found[: np.searchsorted(found, np.uint64(1 << 63))] for _, found in shingle_sets([batch], shingle)]
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(low).view(np.int64)})
-
-    return run
+def block_prints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set of sorted hashes a fingerprint of each part of it that is not empty, no two parts' alike."""
+    found = np.concatenate(sets)
+    part = np.repeat(np.arange(len(sets)) * BLOCKS, [len(x) for x in sets]) + (found & np.uint64(BLOCKS - 1)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(len(sets) * BLOCKS + 1))
+    count = np.minimum(np.diff(bounds), SAMPLE)
+    held = np.concatenate(([0], np.cumsum(count)))
+    sample = found[order[np.repeat(bounds[:-1] - held[:-1], count) + np.arange(held[-1])]]
+    full = np.flatnonzero(count)
+    prints = mixed(simhash.majority(mixed(sample), held)[full] + (full % BLOCKS).astype(np.uint64))
+    return np.split(prints, np.searchsorted(full, np.arange(1, len(sets)) * BLOCKS))
 
 
-def _prefixes(shingle: int, common):
+def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
         for batch in _sliced(batches):
-            ids, digests, sizes, keys = [], [], [], []
-            for row_id, found in shingle_sets([batch], shingle):
-                often = np.zeros(len(found), bool)
-                if len(known):
-                    often = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
-                n = len(found)
-                ids.append(row_id)
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                sizes.append(n)
-                keys.append(np.concatenate((found[~often], found[often]))[: n - (4 * n + 4) // 5 + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys)], ["row_id", "digest", "size", "prefix"])
+            sets = [found for _, found in shingle_sets([batch], shingle)]
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            own = [batch.column("doc_id"), batch.column("h"), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(block_prints(sets))]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "h", "digest", "size", "blocks"])
 
     return run
 
@@ -99,86 +97,164 @@ def _prefixes(shingle: int, common):
 def _whole(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            ids, sets = zip(*shingle_sets([batch], shingle), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets)], ["row_id", "hashes"])
+            sets = [found for _, found in shingle_sets([batch], shingle)]
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            prints = simhash.majority(mixed(np.concatenate(sets)), bounds)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(prints.view(np.int64)), _lists(sets)], ["node", "fp", "hashes"])
 
     return run
 
 
-def verified(tables: Tables, name: str, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """Those of pairs(a, b) of row_ids whose sets of shingles have an index of 4/5 or more."""
-    needed = tables.put(f"needed{name}", pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
-    texts = rows.join(needed, "row_id", "left_semi").select("row_id", ended_bytes(F.col("row.text")).alias("bytes"))
-    sets = tables.put(f"sets{name}", texts.mapInArrow(_whole(shingle), "row_id long, hashes array<long>"))
-    joined = pairs.join(sets.select(F.col("row_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row_id").alias("b"), F.col("hashes").alias("y")), "b")
-    alike = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    found = tables.put(f"similar{name}", joined.where(alike).select("a", "b"))
-    tables.drop(f"needed{name}", f"sets{name}")
-    return found
-
-
-def _possible(x: dict[str, Column], y: dict[str, Column]) -> Column:
-    """Sets with this shingle, their first shared one, at these places may have an index of 4/5."""
-    left = F.least(x["size"] - x["pos"], y["size"] - y["pos"])
-    return (9 * left >= 4 * (x["size"] + y["size"])) & (5 * F.least(x["size"], y["size"]) >= 4 * F.greatest(x["size"], y["size"]))
-
-
-def _columns(*names: str, of: str = "") -> dict[str, Column]:
-    return {n: F.col(of + n) for n in names}
-
-
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _freed(tables: Tables, *names: str) -> None:
-    """Deletes the tables; shuffled files go when the driver's JVM finds that no plan holds them."""
-    tables.drop(*names)
-    tables.spark._jvm.System.gc()
-
-
-def linked(spark: SparkSession, tables: Tables, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(row_id, root) of rows(row_id, row): equal roots for rows that are connected by pairs of similar texts."""
-    texts = rows.select("row_id", ended_bytes(F.col("row.text")).alias("bytes"))
-    sampled = texts.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLE_SHARE)) == 0).mapInArrow(_low_hashes(shingle), "key long")
-    often = sampled.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST).collect()
-    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
-    sets = tables.put("prefixes", texts.mapInArrow(_prefixes(shingle, common), "row_id long, digest binary, size long, prefix array<long>"))
-    digests = tables.put("digests", sets.select("row_id", "digest"))
-    equal = tables.put("equal", digests.groupBy("digest").agg(F.min("row_id").alias("node")))
-    one = sets.join(equal.select(F.col("node").alias("row_id")), "row_id", "left_semi")
-    keyed = one.select(F.col("row_id").alias("node"), "size", F.posexplode("prefix").alias("pos", "key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "size", "pos")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = tables.put("shared", keyed.join(tables.put("hubs", hubs), "key"))
-    _freed(tables, "prefixes", "hubs")
-    near = shared.where(F.col("node") != F.col("hub.node")).where(_possible(_columns("size", "pos"), _columns("size", "pos", of="hub.")))
-    first = tables.put("pairs1", near.select(*_pair(F.col("node"), F.col("hub.node"))).distinct())
-    links = verified(tables, "1", rows, first, shingle)
-    roots = tables.put("roots1", simhash.components(tables, links))
-    known = shared.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = tables.put("known", known)
-    _freed(tables, "shared")
-    apart = tables.put("apart", mixed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-    mixed = tables.put("mixed", mixed.join(apart, "key", "left_semi"))
-    _freed(tables, "known", "apart")
-    x, y = (mixed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "pos", "root")]) for side in "xy")
-    near = x.join(y, "key").where("x_node < y_node and x_root <> y_root").where(_possible(_columns("size", "pos", of="x_"), _columns("size", "pos", of="y_")))
-    second = tables.put("pairs2", near.select(*_pair(F.col("x_node"), F.col("y_node"))).distinct().join(first, ["a", "b"], "left_anti"))
-    _freed(tables, "mixed")
-    links = links.unionByName(verified(tables, "2", rows, second, shingle))
-    roots = tables.put("roots2", simhash.components(tables, links))
-    of = tables.put("of", equal.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
-    return digests.join(of, "digest").select("row_id", "root")
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have an index of 4/5."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 5 * len(small) < 4 * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return 9 * int((large[at] == small).sum()) >= 4 * (len(a) + len(b)) if len(large) else True
+
+
+def _tile_links(nodes: np.ndarray, roots: np.ndarray, fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the similar texts of a tile; equal roots are connected already."""
+    known, roots = np.unique(roots, return_inverse=True)
+    if len(known) == 1:
+        return []
+    parent, size, parts, links = list(range(len(known))), np.array([len(x) for x in sets]), [], []
+    for leaf, asking in simhash.leaves(fps, fps, RADIUS):
+        far = np.bitwise_count(fps[asking, None] ^ fps[leaf][None, :])
+        i, j = np.nonzero(far <= RADIUS)
+        d, i, j = far[i, j], asking[i], leaf[j]
+        new = (i < j) & (roots[i] != roots[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
+        parts.append(np.stack((d[new].astype(np.int64), i[new], j[new])))
+    pairs = np.concatenate(parts, axis=1)
+    for _, i, j in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
+        a, b = simhash.root_of(parent, roots[i]), simhash.root_of(parent, roots[j])
+        if a != b and similar(sets[i], sets[j]):
+            parent[a] = b
+            links.append((nodes[i], nodes[j]))
+    return links
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of all tiles of a partition, whose rows are in order of their tiles; one tile is held at a time."""
+
+    def held() -> Iterator[tuple]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            values, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            key, tile, node, root, fp = (batch.column(c).to_numpy() for c in ("key", "tile", "node", "root", "fp"))
+            new = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(tile, prepend=~tile[:1]) != 0)) if len(key) else []
+            for first, end in zip(new, [*new[1:], len(key)], strict=True):
+                yield (key[first], tile[first]), node[first:end], root[first:end], fp[first:end].view(np.uint64), [values[a:b].copy() for a, b in zip(at[first:end], at[first + 1 : end + 1], strict=True)]
+
+    def done(parts: list[tuple]) -> list[tuple[int, int]]:
+        nodes, roots, fps = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
+        return _tile_links(nodes, roots, fps, [x for part in parts for x in part[3]])
+
+    current, parts, links = None, [], []
+    for tile, *part in held():
+        if tile != current and parts:
+            links += done(parts)
+            parts = []
+        current = tile
+        parts.append(part)
+        if len(links) >= 10_000:
+            yield _pairs(links)
+            links = []
+    yield _pairs(links + (done(parts) if parts else []))
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.int64()) for n in range(2)], ["a", "b"])
+
+
+class _Search:
+    """The texts' sets, the links found so far, and what they connect."""
+
+    def __init__(self, tables: Tables, sets: DataFrame, nodes: DataFrame):
+        self.tables, self.sets, self.nodes, self.links, self.at = tables, sets, nodes, None, 0
+        self.roots = nodes.select("node", F.col("node").alias("root"))
+
+    def _tiles(self, keyed: DataFrame) -> DataFrame:
+        """keyed(key, node) of buckets that are not connected, with root and tile; hubs are in all tiles."""
+        rows = self.tables.put(f"keyed{self.at}", keyed.join(self.roots, "node"))
+        open_ = rows.join(self.nodes.select("node", "size"), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+        open_ = self.tables.put(f"open{self.at}", open_.select("key", tiles.alias("tiles")))
+        rows = rows.join(open_, "key")
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        hubs = rows.where("tiles > 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).drop("r")
+        everywhere = hubs.select("key", "node", "root", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+        own = rows.select("key", "node", "root", "tiles", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int").alias("tile"))
+        return self.tables.put(f"tiles{self.at}", own.unionByName(everywhere).distinct())
+
+    def _search(self, tiles: DataFrame) -> None:
+        """Adds the links of the tiles (key, tile, node, root)."""
+        dealt = tiles.join(self.sets, "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
+        found = dealt.mapInArrow(_linked, "a long, b long")
+        found = self.tables.put(f"found{self.at}", found)
+        self.links = found if self.links is None else self.links.unionByName(found)
+        roots = self.tables.put(f"roots{self.at}", simhash.components(self.tables, self.links))
+        self.roots = self.nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        self.roots = self.tables.put(f"all{self.at}", self.roots)
+        self.tables.drop(f"keyed{self.at}", f"open{self.at}")
+        self.at += 1
+
+    def buckets(self, keyed: DataFrame) -> DataFrame:
+        """Searches buckets tile by tile; returns the tiles of those with several."""
+        tiles = self._tiles(keyed)
+        self._search(tiles.select("key", "tile", "node", "root"))
+        return tiles.where("tiles > 1").select("key", "tile", "tiles", "node")
+
+    def across(self, tiled: DataFrame) -> None:
+        """Compares tiles of a bucket by twos, where what they hold is not connected."""
+        rows = self.tables.put(f"keyed{self.at}", tiled.join(self.roots, "node"))
+        open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        rows = rows.join(self.tables.put(f"open{self.at}", open_), "key")
+        each = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(o, F.col("tile")) * F.col("tiles") + F.greatest(o, F.col("tile")))
+        self._search(rows.select("key", "node", "root", F.explode(each).alias("tile")).distinct())
+
+
+def linked(tables: Tables, texts: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Of texts(doc_id, h, bytes): prints (doc_id, h, digest), and of each digest (node) its root and its first (none, doc_id, h)."""
+    prints = tables.put("prints", texts.mapInArrow(_prints(shingle), "doc_id long, h long, digest binary, size long, blocks array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    different = prints.groupBy("digest").agg(first, F.first("size").alias("size"), F.first("blocks").alias("blocks"))
+    different = tables.put("different", different.withColumn("node", F.monotonically_increasing_id()))
+    keyed = different.select("node", "size", F.posexplode("blocks").alias("block", "key"))
+    several = tables.put("several", keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    keyed = tables.put("keyed", keyed.join(several, "key"))
+    nodes = tables.put("nodes", different.select("node", "size", "first").join(keyed.select("node").distinct(), "node"))
+    needed = nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.h").alias("key"))
+    found = texts.join(bounded(needed), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key"))).select("node", "bytes")
+    sets = tables.put("sets", found.mapInArrow(_whole(shingle), "node long, fp long, hashes array<long>").dropDuplicates(["node"]))
+    search = _Search(tables, sets, nodes)
+    tiled = search.buckets(keyed.where(F.col("block") < FIRST).select("key", "node"))
+    tiled = tiled.unionByName(search.buckets(keyed.where(F.col("block") >= FIRST).select("key", "node")))
+    search.across(tiled)
+    roots = different.select("digest", "node", "first").join(search.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = tables.put("of", roots)
+    tables.drop("sets", "keyed", "several", "nodes", "different")
+    return prints.select("doc_id", "h", "digest"), roots
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of near-duplicates, that with the smallest doc_id, all columns kept."""
+    """One row of each group of near-duplicates, that with the smallest doc_id, all columns kept.
+
+    Rows are named by doc_id and a hash of all columns; what is left out is joined back by these, so no text is
+    moved where few rows are left out.
+    """
     tables = Tables(spark, "near-copies")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = tables.put("rows", docs.select(row).withColumn("row_id", F.monotonically_increasing_id()))
-    keyed = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row").alias("h"))
-    groups = linked(spark, tables, rows, shingle).join(keyed, "row_id")
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row_id")).alias("best"))
-    kept = tables.put("kept", best.select(F.col("best.row_id").alias("row_id")))
-    _freed(tables)
-    return rows.join(kept, "row_id", "left_semi").select([F.col("row").getField(c).alias(c) for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long"), F.xxhash64(*columns).alias("h"))
+    prints, roots = linked(tables, rows.select("doc_id", "h", ended_bytes(F.col("row.text")).alias("bytes")), shingle)
+    best = roots.groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.doc_id").alias("id"), F.col("best.h").alias("key"))
+    counted = prints.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key"))
+    judged = tables.put("judged", counted.join(best, same, "left").where("key is null or n > 1").select(F.col("doc_id").alias("id"), F.col("h").alias("key"), F.col("key").isNotNull().alias("kept")))
+    tables.drop("prints", "of")
+    out = rows.join(bounded(judged.select("id", "key")), same, "left_anti").select("row")
+    repeated = judged.where("kept").select("id", "key")
+    if not repeated.isEmpty():  # of rows that are equal in all columns one stays
+        out = out.unionByName(rows.join(bounded(repeated), same, "left_semi").dropDuplicates(["doc_id", "h"]).select("row"))
+    return out.select([F.col("row").getField(c).alias(c) for c in docs.columns])

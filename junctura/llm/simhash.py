@@ -2,7 +2,8 @@
 
 Fingerprints are computed in one scan. Distinct fingerprints (one row each, with the smallest doc_id)
 are then partitioned by Hamming distance: a tree of `levels` vantage points, each with the median
-distance of a bounded sample (SAMPLE fingerprints) as its radius, gives 2**levels shards. A
+distance of a sample as its radius, gives 2**levels shards. There are so many that a shard has about SHARD fingerprints
+at most, and the sample has SAMPLE fingerprints for each shard (256 bytes, 8192 at least, by a hash). A
 fingerprint is stored in one shard and asks all shards whose region may hold a fingerprint within
 the radius; the triangle bounds |d(q, v) - d(x, v)| <= d(q, x) tell which. Of two shards only the one
 with the larger number is asked. Every shard is searched by a local vantage-point tree with
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from junctura.llm.common import Tables, blocks, ended_bytes, word_bounds
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Levels of the tree over all shards (64 of them), fingerprints it is fitted to, and those in a leaf of a shard's tree.
-LEVELS, SAMPLE, LEAF = 6, 8192, 64
+#: Least levels of the tree over all shards, fingerprints of a shard that call for more, fingerprints for each shard that the tree
+#: is fitted to, and those in a leaf of a shard's tree.
+LEVELS, SHARD, SAMPLE, LEAF = 6, 1 << 16, 32, 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -135,7 +137,7 @@ def _routes(tree, radius: int):
     return run
 
 
-def _leaves(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leaves(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The leaves of a vantage-point tree over points, with the queries that reach each (both as places)."""
     todo = [(np.arange(len(points)), np.arange(len(queries)))]
     while todo:
@@ -158,7 +160,7 @@ def _leaves(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tu
         yield stored, asking
 
 
-def _root(parent: list[int], x: int) -> int:
+def root_of(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
         x = parent[x]
@@ -170,7 +172,7 @@ def links_within(stored: np.ndarray, asking: np.ndarray, radius: int) -> tuple[n
     stored = np.unique(stored)
     queries = np.concatenate((stored, np.setdiff1d(asking, stored)))
     parent, foreign = list(range(len(stored))), []
-    for leaf, ask in _leaves(stored, queries, radius):
+    for leaf, ask in leaves(stored, queries, radius):
         for part in range(0, len(ask), 4096):
             q = ask[part : part + 4096]
             i, j = np.nonzero(np.bitwise_count(queries[q, None] ^ stored[leaf][None, :]) <= radius)
@@ -179,12 +181,12 @@ def links_within(stored: np.ndarray, asking: np.ndarray, radius: int) -> tuple[n
             i, j = i[apart], j[apart]
             outside = i >= len(stored)
             for a, b in zip(i[~outside].tolist(), j[~outside].tolist(), strict=True):
-                a, b = _root(parent, a), _root(parent, b)
+                a, b = root_of(parent, a), root_of(parent, b)
                 parent[max(a, b)] = min(a, b)
             if outside.any():
-                roots = {b: _root(parent, b) for b in set(j[outside].tolist())}
+                roots = {b: root_of(parent, b) for b in set(j[outside].tolist())}
                 foreign.append(np.unique(np.stack((i[outside], [roots[b] for b in j[outside].tolist()])), axis=1))
-    roots = np.fromiter((_root(parent, x) for x in range(len(stored))), np.int64, len(stored))
+    roots = np.fromiter((root_of(parent, x) for x in range(len(stored))), np.int64, len(stored))
     own = np.flatnonzero(roots != np.arange(len(stored)))
     a, b = [stored[own]], [stored[roots[own]]]
     if foreign:
@@ -228,13 +230,15 @@ def components(tables: Tables, links: DataFrame) -> DataFrame:
         now, at = after, at + 1
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, levels: int = LEVELS) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), component_id (the smallest doc_id reachable) of each row."""
     tables = Tables(spark, "simhash")
     texts = docs.select(F.col("doc_id").cast("long"), ended_bytes(F.col("text")).alias("bytes"))
     prints = tables.put("prints", texts.mapInArrow(fingerprints(shingle), "doc_id long, fp long"))
     distinct = tables.put("distinct", prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    sample = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    if levels is None:
+        levels = max(LEVELS, (distinct.count() // SHARD).bit_length())
+    sample = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(8192, SAMPLE << levels)).collect()]
     tree = spark.sparkContext.broadcast(_Tree(np.array(sample, np.int64).view(np.uint64), levels))
     routed = distinct.select("fp").mapInArrow(_routes(tree, radius), "shard int, fp long, stored boolean")
     links = routed.groupBy("shard").applyInPandas(_searched(radius), "a long, b long")
@@ -244,18 +248,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     linked = tables.put("linked", known.join(smallest, "root").select("fp", "component_id"))
     of = tables.put("of", distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest doc_id of their component, all columns kept.
-
-    Rows with a null doc_id stay unless their component has a doc_id; of rows that repeat a
-    doc_id and a text, one stays.
-    """
-    found = near_duplicates(spark, docs, shingle, radius)
-    tables = Tables(spark, "one-of-each")
-    kept = tables.put("kept", found.where("doc_id <=> component_id").select("doc_id").distinct())
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"))
-    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
-    return joined.select([F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -58,9 +58,10 @@ def near_rows():
     return [(i, t, "a") for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("common", [8, 1])
-def test_near_dedup_matches_brute_force(spark, odd_rows, no_docs, monkeypatch, common):
-    monkeypatch.setattr(near_copies, "COMMON", common)
+@pytest.mark.parametrize("tile", [256, 5])
+def test_near_dedup_matches_brute_force(spark, odd_rows, no_docs, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "HUBS", 2)
     rows = near_rows()
     for found in (rows, odd_rows):
         kept = corpus_pipeline.near_dedup(spark, documents(spark, found).repartition(3), "").collect()
@@ -68,3 +69,10 @@ def test_near_dedup_matches_brute_force(spark, odd_rows, no_docs, monkeypatch, c
     assert set(expected(rows)) != {c for _, _, c in brute.op6([(i, t) for i, t, _ in rows])}
     assert corpus_pipeline.near_dedup(spark, no_docs, "").columns == no_docs.columns
     assert corpus_pipeline.near_dedup(spark, no_docs, "").count() == 0
+
+
+def test_rows_that_repeat_leave_one(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a, "s"), (7, a, "s"), (7, b, "s"), (3, b, "s"), (None, a, "s"), (None, c, "s")]
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("7", a), ("3", b), ("None", c)])
