@@ -20,6 +20,8 @@ from junctura.storage import shared_dir
 SPACE = r"[ \t-\r]"
 #: Bytes of text that the numpy kernels take at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Rows (texts among them) that a Python worker of an intermediate table is sent at a time.
+ARROW_ROWS = 1024
 #: Rows of some numbers each (a few MB) up to which a table is sent to all executors.
 BROADCAST_ROWS = 1 << 17
 
@@ -37,8 +39,13 @@ class Tables:
         self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.top}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path, conf, key = f"{self.top}/{name}", self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS)
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -24,6 +24,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from junctura.llm.common import Tables, blocks, ended_bytes
 
 CAPACITY, SLACK = 2048, 4
-#: Items (and bytes of them) that one task packs at a time, and words whose ids a worker remembers (about 200 MB).
-GROUP, HELD_BYTES, REMEMBERED = 100_000, 1 << 27, 1 << 20
+#: Items (and bytes of them) that one task packs at a time, and words whose ids a worker remembers (about 150 bytes each) during a task and after it.
+GROUP, HELD_BYTES, REMEMBERED, KEPT = 100_000, 1 << 27, 1 << 19, 1 << 18
 
 
 #: A control character; as a word it is one token, which tells where the words of a joined text end.
@@ -66,7 +67,7 @@ def stems(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
 
 
 class _WordIds(dict):
-    """A word's ids as little-endian 32-bit numbers; kept by the worker from task to task, REMEMBERED of them at most."""
+    """A word's ids as little-endian 32-bit numbers; kept by the worker from task to task."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -126,6 +127,13 @@ class _WordIds(dict):
             for first in range(0, len(found), 4096):
                 learn(found[first : first + 4096])
 
+    def trim(self) -> None:
+        """Forgets all but the words that were met first, most frequent ones among them: the worker's memory is others' too."""
+        if len(self) > KEPT:
+            first = list(islice(self.items(), KEPT))
+            self.clear()
+            self.update(first)
+
     def texts(self, split: list[list[bytes]]) -> list[bytes]:
         """The ids of each text; what is not known yet is learnt for all of them together."""
         found = [[*map(self.get, words)] for words in split]
@@ -173,6 +181,7 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
             if keep_ids:
                 out, names = [*out, pa.array(parts, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
+        ids_of.trim()
 
     return run
 
