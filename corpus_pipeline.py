@@ -1,7 +1,7 @@
 """From documents to packed sequences: each stage's rows are written and read again by the next.
 
 The stages take the operators' production parameters; near-duplicates are documents whose five-word shingles have a
-Jaccard index of 0.8 or more (op6's three words and two bits bind only its own query).
+Jaccard index of 0.8 or more, found by SimHash blocks (op6's three words and two bits bind only its own query).
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, docs, tokenizer_path(TOKENIZER))
 
 
-STAGES = [("quality rules", rules), ("near-dedup", near_dedup), ("substring dedup", span_dedup), ("mixing", mix), ("best-fit packing", pack)]
+STAGES = [("quality rules", rules), ("SimHash near-dedup", near_dedup), ("substring dedup", span_dedup), ("mixing", mix), ("best-fit packing", pack)]
 #: SQL has no tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
