@@ -5,7 +5,7 @@ turns its rows into one boolean column and the name of the first rule that fails
 and projections: no shuffle, no Python.
 
 The expensive statistic is the words in repeated three-word windows. Windows are compared by a 64-bit hash of
-their words; only texts in which some hash occurs twice sort them. A word is covered by the windows
+their words; only texts in which some hash occurs twice sort their windows, by the words themselves. A word is covered by the windows
 that start at it or up to two words before it, so the covered words follow from the sorted starts.
 
 Defined cases: a null text has no words and fails the base rules, as an empty one does; a text of one or two words has
@@ -61,9 +61,10 @@ def _lengths(text: Column, without: str) -> Column:
     return F.length(F.translate(text, without, "")).cast("long")
 
 
-def _repeated(windows: Column) -> Column:
-    """Words covered by the windows (an array of hashes, by start) that occur more than once."""
-    pairs = F.sort_array(F.transform(windows, lambda h, at: F.struct(h.alias("h"), at.alias("at"))))
+def _repeated(windows: Column, words: Column) -> Column:
+    """Words covered by the windows (an array of hashes, by start) that occur more than once; equal hashes are settled by the words."""
+    text = lambda at: F.concat_ws(" ", *[F.get(words, at + j) for j in range(WINDOW)])
+    pairs = F.sort_array(F.transform(windows, lambda h, at: F.struct(text(at).alias("h"), at.alias("at"))))
     starts = F.transform(
         F.array(pairs),
         lambda p: F.sort_array(F.transform(F.filter(p, lambda x, i: F.coalesce(F.get(p, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(p, i + 1)["h"] == x["h"], F.lit(False))), lambda x: x["at"])),
@@ -93,7 +94,7 @@ def with_features(docs: DataFrame, name: str = "features") -> DataFrame:
             _lengths(F.col("body"), " \t\n\x0b\x0c\r").alias("word_chars"),
             (F.length("body") - _lengths(F.col("body"), SYMBOLS)).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            _repeated(F.col("windows")).alias("n_repeat_words"),
+            _repeated(F.col("windows"), words).alias("n_repeat_words"),
             F.size("lines").cast("long").alias("n_lines"),
             F.size(F.filter(words, lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
         ).alias(name),

@@ -11,6 +11,8 @@ from junctura.operators.ranking import ranked
 
 #: The first id of a terminal that is no junction lies this far above the number of junctions.
 STUB_OFFSET = 42
+#: Junctions (some tens of bytes each) up to which they are sent to all tasks, and no k-mer is shuffled to find its junction.
+BROADCAST_ROWS = 1 << 18
 #: Letters of a key by which ranks are bucketed.
 PREFIX = 5
 
@@ -56,9 +58,14 @@ def junctions(found: DataFrame, abundance: int | None = None, backwards: bool =
     return ranked(found.where(is_junction(abundance)), F.substr(key, F.lit(1), F.lit(PREFIX)), [key], "id")
 
 
+def bounded(known: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Junctions (a written table), marked for a broadcast join if there are at most `most` of them; else joins shuffle."""
+    return F.broadcast(known) if known.count() <= most else known
+
+
 def signed(occurrences: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
     """Adds junction_id: the id if the k-mer as read is the key, its negative if its reverse complement is."""
-    joined = occurrences.join(known.select("ck", "id"), "ck", how)
+    joined = occurrences.join(known, "ck", how)
     return joined.withColumn("junction_id", F.when(F.col("forward"), F.col("id")).otherwise(-F.col("id"))).drop("id")
 
 
@@ -66,7 +73,7 @@ def lookup(spark_kmers: DataFrame, known: DataFrame) -> DataFrame:
     """kmer and its signed id (null if it is no junction) of a table of k-mers."""
     rc = dna.reverse_complement(F.col("kmer"))
     asked = spark_kmers.select("kmer", F.least(F.col("kmer"), rc).alias("ck"), (F.col("kmer") < rc).alias("forward"))
-    return signed(asked, known, "left").select("kmer", "junction_id")
+    return signed(asked, known.select("ck", "id"), "left").select("kmer", "junction_id")
 
 
 def positions(occurrences: DataFrame, terminals: DataFrame, known: DataFrame) -> DataFrame:
@@ -75,9 +82,9 @@ def positions(occurrences: DataFrame, terminals: DataFrame, known: DataFrame) ->
     A terminal that is no junction gets a stub id, counted in order of (seq_id, pos).
     """
     columns = ["seq_id", "pos", "junction_id", "prev", "next"]
-    real = signed(occurrences, known).select(*columns)
+    real = signed(occurrences, bounded(known.select("ck", "id"))).select(*columns)
     total = known.agg(F.count("*")).scalar()
-    ends = signed(windows.canonical(terminals), known, "left").where("junction_id is null").drop("junction_id")
+    ends = signed(windows.canonical(terminals), known.select("ck", "id"), "left").where("junction_id is null").drop("junction_id")
     stubs = ranked(ends, F.shiftright("seq_id", 16), ["seq_id", "pos"], "rank", STUB_OFFSET)
     return real.unionByName(stubs.withColumn("junction_id", F.col("rank") + total).select(*columns))
 
@@ -135,7 +142,7 @@ def junctions_in_rounds(found: DataFrame, bins: int, n_rounds: int) -> DataFrame
 
 def metrics(occurrences: DataFrame, found: DataFrame, placed: DataFrame) -> DataFrame:
     """One row: junctions and other vertices, table size, marks, positions, and vertices of both strands."""
-    marks = signed(occurrences, found.where(is_junction()).withColumn("id", F.lit(1))).agg(F.count("*")).scalar()
+    marks = signed(occurrences, found.where(is_junction()).select("ck", F.lit(1).alias("id"))).agg(F.count("*")).scalar()
     positions_ = placed.agg(F.count("*")).scalar()
     own = found.agg(F.count_if(is_junction()).alias("true_junctions"), F.count_if(~is_junction()).alias("false_junctions"), F.count("*").alias("table_size"))
     return own.select("*", marks.alias("marks"), positions_.alias("positions"), (2 * F.col("true_junctions")).alias("vertices"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from junctura.functions import dna
 from junctura.operators.ranking import ranked
+from junctura.storage import written
 
 #: Ids of segments that begin with an indefinite letter are counted from here, in order of emission.
 RESERVED = 1 << 34
@@ -40,7 +41,8 @@ def segment_number(b: Column, e: Column, p: Column, q: Column) -> Column:
 
 def pieces(positions: DataFrame) -> DataFrame:
     """seq_id, begin, end, b, e and segment_id in place of each pair of consecutive junctions."""
-    numbered = pairs(positions).withColumn("segment_id", segment_number(F.col("b"), F.col("e"), F.col("p"), F.col("q")))
+    # Written, since what has a number, what has none, and the counts of the latter are each read from it.
+    numbered = written(pairs(positions).withColumn("segment_id", segment_number(F.col("b"), F.col("e"), F.col("p"), F.col("q"))), "numbered")
     known = numbered.where("segment_id is not null").drop("p", "q")
     reserved = ranked(numbered.where("segment_id is null").drop("p", "q", "segment_id"), F.shiftright("seq_id", 16), ["seq_id", "begin"], "segment_id", RESERVED)
     return known.unionByName(reserved)
