@@ -36,6 +36,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Least levels of the tree over all shards, fingerprints of a shard that call for more, fingerprints for each shard that the tree
 #: is fitted to, and those in a leaf of a shard's tree.
 LEVELS, SHARD, SAMPLE, LEAF = 6, 1 << 16, 32, 64
+#: Links (16 bytes each) that one task joins into components.
+LAST_LINKS = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -205,18 +207,34 @@ def _searched(radius: int):
     return run
 
 
-def components(tables: Tables, links: DataFrame) -> DataFrame:
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """components() of the links of one task."""
+    ends = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*([b.column(c).to_numpy() for c in ("a", "b")] for b in batches), strict=True)]
+    if not ends:
+        return
+    nodes, at = np.unique(np.stack(ends), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for a, b in at.reshape(2, -1).T.tolist():
+        low, high = sorted((root_of(parent, a), root_of(parent, b)))
+        parent[high] = low
+    roots = [root_of(parent, i) for i in range(len(nodes))]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], ["node", "root"])
+
+
+def components(tables: Tables, links: DataFrame, last: int = LAST_LINKS) -> DataFrame:
     """(node, root) for each node of links(a, b): the smallest node that it reaches.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which end after O(log(n)**2)
     rounds, mostly three or four. Each step's minima are a table of their own, so the join's hot
-    keys can be split or broadcast.
+    keys can be split or broadcast. As soon as at most `last` links are left, one task ends the search.
     """
     now, at, seen = tables.put("links0", links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), 0, None
     while True:
         checked = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if checked[0] == 0 or checked == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if checked[0] <= last:
+            return now.coalesce(1).mapInArrow(_connected, "node long, root long")
         seen = checked
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = tables.put(f"large{at}", both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")))

@@ -12,7 +12,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from conftest import documents  # noqa: E402
-from junctura.llm import near_copies  # noqa: E402
+from junctura.llm import near_copies, simhash  # noqa: E402
+from junctura.llm.common import Tables  # noqa: E402
 
 
 def shingles(text, n=5):
@@ -76,3 +77,18 @@ def test_rows_that_repeat_leave_one(spark):
     rows = [(7, a, "s"), (7, a, "s"), (7, b, "s"), (3, b, "s"), (None, a, "s"), (None, c, "s")]
     kept = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("7", a), ("3", b), ("None", c)])
+
+
+@pytest.mark.parametrize("n", [0, 1, 60])
+def test_components_by_rounds_and_in_one_task(spark, n):
+    rng = random.Random(n)
+    links = [(rng.randrange(-50, 50), rng.randrange(-50, 50)) for _ in range(n)] + [(-1000 - i, -1001 - i) for i in range(n)]
+    expected = {}
+    for a, b in links:
+        if a != b:
+            both = expected.get(a, {a}) | expected.get(b, {b})
+            expected.update(dict.fromkeys(both, both))
+    expected = sorted((x, min(group)) for x, group in expected.items())
+    for last in (0, 40, simhash.LAST_LINKS):
+        found = simhash.components(Tables(spark, "test"), spark.createDataFrame(links, "a long, b long"), last)
+        assert sorted(map(tuple, found.collect())) == expected
