@@ -142,3 +142,100 @@ SELECT page_id, file, record_length, record_sha256,
   CASE WHEN page_id % 211 = 11 THEN 'lost' WHEN page_id % 211 = 7 THEN 'altered' ELSE 'intact' END AS status
 FROM f
 """
+
+
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), o AS (
+  SELECT r, lang, source, unnest(terms) AS term FROM d
+), k AS (
+  SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), n AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (total + v)::HUGEINT AS p
+  FROM n JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + 1000000000 * (sum(n) + 1)::HUGEINT // ((sum(sum(n)) OVER (PARTITION BY lang)) + any_value(v))::HUGEINT AS q FROM c JOIN v USING (lang) GROUP BY lang, term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), f AS (
+  SELECT 'pair' AS part, a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT 'term', lang, source, term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item) AS rank FROM f
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), w AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[i : i + 9], ' ') AS body FROM (SELECT *, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM b WHERE len(words) > 0)
+), s AS (
+  SELECT DISTINCT size FROM w
+), h AS (
+  SELECT r, i, size, body FROM (SELECT r, size, i, array_to_string(words[i : i + size - 1], ' ') AS body FROM (SELECT r, words, size, unnest(range(1, greatest(len(words) - size + 2, 1))) AS i FROM d, s))
+    SEMI JOIN w USING (size, body)
+), n AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + size)) AS j FROM h) GROUP BY r
+), t AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h JOIN w USING (size, body) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+
+_CRC32 = "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || range(8)::BIGINT[], lambda s, i: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)))"
+
+
+def _leaf(n_chars: str) -> str:
+    sized = lambda x: f"coalesce(strlen({x}) || ':' || {x}, '-')"
+    return f"sha256({' || '.join(sized(x) for x in ('doc_id::VARCHAR', 'source', 'lang', f'({n_chars})::VARCHAR', 'text'))})"
+
+
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS now FROM documents
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d
+), lows AS (
+  SELECT 0 AS level, g, i, leaf AS h, n FROM e
+  UNION ALL SELECT level + 1, g, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM lows WHERE n > 1 GROUP BY level, g, i // 2, n
+), sub AS (
+  SELECT g, level AS height, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n FROM lows WHERE n = 1
+), highs AS (
+  SELECT 0 AS level, k, subroot AS h, n FROM sub
+  UNION ALL SELECT level + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (n + 1) // 2 FROM highs WHERE n > 1 GROUP BY level, k // 2, n
+), ups AS (
+  SELECT g, i, e.doc_id, e.leaf, e.now, subroot, height, k FROM e JOIN sub USING (g)
+), steps AS (
+  SELECT u.g, u.i, l.level, u.i >> l.level AS own, (SELECT any_value(x.h) FROM lows x WHERE x.g = u.g AND x.level = l.level AND x.i = xor(u.i >> l.level, 1)) AS sibling
+  FROM ups u JOIN (SELECT DISTINCT g, level FROM lows WHERE n > 1) l USING (g)
+  UNION ALL SELECT u.g, u.i, height + l.level, u.k >> l.level, (SELECT any_value(x.h) FROM highs x WHERE x.level = l.level AND x.k = xor(u.k >> l.level, 1))
+  FROM ups u, (SELECT DISTINCT level FROM highs WHERE n > 1) l
+), proofs AS (
+  SELECT g, i, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY level)) AS proof_sha256, max(level) + 1 AS height FROM steps GROUP BY g, i
+), folds AS (
+  SELECT g, i, 0 AS level, now AS h FROM ups
+  UNION ALL SELECT f.g, f.i, f.level + 1, sha256(CASE WHEN own % 2 = 0 THEN f.h || coalesce(sibling, '') ELSE sibling || f.h END) FROM folds f JOIN steps s ON s.g = f.g AND s.i = f.i AND s.level = f.level
+), folded AS (
+  SELECT g, i, arg_max(h, level) AS folded_root FROM folds GROUP BY g, i
+), root AS (
+  SELECT h AS root FROM highs WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ups JOIN folded USING (g, i) LEFT JOIN proofs USING (g, i), root
+"""

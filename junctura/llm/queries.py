@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from junctura.llm import common, html_text, mixing, oracles, packing, quality_model, quality_rules, simhash, substring_dedup, topk, url_filter, warc
+from junctura.llm import common, decontamination, divergence, html_text, manifest, mixing, oracles, packing, quality_model, quality_rules, simhash, substring_dedup, topk, url_filter, warc
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -79,6 +79,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _documents(spark, sf_dir), tokenizer_path(TOKENIZER))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(spark, _documents(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judged(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, against which those with one number more in n_chars by rule are checked."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest.audited(spark, _documents(spark, sf_dir), {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -90,6 +104,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_decontamination": op12_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": oracles.OP1,
@@ -98,4 +115,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_kd_tree_top_k": oracles.OP7,
     "op8_url_filter": oracles.op8(URL_RULES),
     "op9_warc_fixity": oracles.OP9,
+    "op11_source_divergence": oracles.OP11,
+    "op12_decontamination": oracles.OP12,
+    "op13_merkle_manifest": oracles.OP13,
 }

@@ -61,9 +61,10 @@ def bloom_filter(spark: SparkSession, keys: DataFrame, count: int) -> tuple[Data
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "mask"))), lambda x: x["mask"]).alias("filter")), blocks
 
 
-def _possible(keys: DataFrame, key: Column, filter_row: DataFrame, blocks: int) -> DataFrame:
+def possible(key: Column, filter_row: DataFrame, blocks: int) -> Column:
+    """Whether a key's bits are all set in a filter of bloom_filter()."""
     mask = _mask(key)
-    return keys.where(F.get(filter_row.scalar(), _block(key, blocks)).bitwiseAND(mask) == mask)
+    return F.get(filter_row.scalar(), _block(key, blocks)).bitwiseAND(mask) == mask
 
 
 def judged(spark: SparkSession, pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
@@ -79,13 +80,13 @@ def judged(spark: SparkSession, pages: DataFrame, listed: DataFrame, default: st
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - found["labels"] + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     by_end = urls.select("page_id", "url", "path", F.explode(ends).alias("end"))
-    by_end = _possible(by_end, F.col("end"), *bloom_filter(spark, hosts.select(F.col("end").alias("key")), found["hosts"]))
+    by_end = by_end.where(possible(F.col("end"), *bloom_filter(spark, hosts.select(F.col("end").alias("key")), found["hosts"])))
     lengths = F.filter("lengths", lambda n: n <= F.length("path"))
     keys = by_end.join(sized(hosts, found["hosts"]), "end").select("page_id", "url", "end", "path", F.explode(lengths).alias("n")).select("page_id", "url", "end", F.substr("path", F.lit(1), F.col("n")).alias("start"))
-    possible = _possible(keys, F.concat("end", "start"), *bloom_filter(spark, listed.select(F.concat("host", "path").alias("key")), found["n"]))
+    passed = keys.where(possible(F.concat("end", "start"), *bloom_filter(spark, listed.select(F.concat("host", "path").alias("key")), found["n"])))
     entries = sized(listed.select(F.col("host").alias("end"), F.col("path").alias("start"), "action"), found["n"])
     rule = F.concat("end", "start")
     best = F.min(F.struct((-F.length(rule)).alias("length"), rule.alias("rule"), "action")).alias("best")
-    hits = possible.join(entries, ["end", "start"]).groupBy(F.col("page_id").alias("hit_id"), F.col("url").alias("hit_url")).agg(best)
+    hits = passed.join(entries, ["end", "start"]).groupBy(F.col("page_id").alias("hit_id"), F.col("url").alias("hit_url")).agg(best)
     joined = urls.join(hits, F.col("page_id").eqNullSafe(F.col("hit_id")) & (F.col("url") == F.col("hit_url")), "left")
     return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
