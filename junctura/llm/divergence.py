@@ -84,37 +84,40 @@ def _batches(found: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from found.combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(held_bytes: int, held_rows: int):
     """Counts of a partition's texts by lang, source and term; they are added up before they are returned."""
-    texts, size, held, rows, row = [], 0, [], 0, 0
-
-    def counted() -> pa.Table:
-        return _sql(_COUNT, texts=pa.Table.from_batches(texts))
-
-    for batch in batches:
-        first = 0
-        sizes = batch.column("size").to_pylist()
-        for end in range(1, batch.num_rows + 1):
-            size += sizes[end - 1]
-            if size < HELD_BYTES and end < batch.num_rows:
-                continue
-            part = batch.slice(first, end - first)
-            texts.append(part.append_column("row", pa.array(range(row, row + part.num_rows), pa.int64())))
-            row, first = row + part.num_rows, end
-            if size >= HELD_BYTES:
-                held.append(counted())
-                rows += held[-1].num_rows
-                texts, size = [], 0
-            if rows >= HELD_ROWS:
-                merged = _sql(_ADD, counts=pa.concat_tables(held))
-                held, rows = [merged], merged.num_rows
-                if rows >= HELD_ROWS // 2:
-                    yield from _batches(merged)
-                    held, rows = [], 0
-    if texts:
-        held.append(counted())
-    if held:
-        yield from _batches(_sql(_ADD, counts=pa.concat_tables(held)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, size, held, rows, row = [], 0, [], 0, 0
+
+        def count() -> pa.Table:
+            return _sql(_COUNT, texts=pa.Table.from_batches(texts))
+
+        for batch in batches:
+            first, sizes = 0, batch.column("size").to_pylist()
+            for end in range(1, batch.num_rows + 1):
+                size += sizes[end - 1]
+                if size < held_bytes and end < batch.num_rows:
+                    continue
+                part = batch.slice(first, end - first)
+                texts.append(part.append_column("row", pa.array(range(row, row + part.num_rows), pa.int64())))
+                row, first = row + part.num_rows, end
+                if size >= held_bytes:
+                    held.append(count())
+                    rows += held[-1].num_rows
+                    texts, size = [], 0
+                if rows >= held_rows:
+                    held = [_sql(_ADD, counts=pa.concat_tables(held))]
+                    rows = held[0].num_rows
+                    if rows >= held_rows // 2:
+                        yield from _batches(held[0])
+                        held, rows = [], 0
+        if texts:
+            held.append(count())
+        if held:
+            yield from _batches(_sql(_ADD, counts=pa.concat_tables(held)))
+
+    return run
 
 
 def _shard(*queries: str, name: str):
@@ -144,7 +147,7 @@ def kept_counts(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term and n of kept terms; lang and source of every group that has documents)."""
     full = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     texts = docs.select(full("lang"), full("source"), full("text"))
-    counts = tables.put("counts", texts.withColumn("size", F.octet_length("text")).mapInArrow(_counted, _COUNTS))
+    counts = tables.put("counts", texts.withColumn("size", F.octet_length("text")).mapInArrow(_counted(HELD_BYTES, HELD_ROWS), _COUNTS))
     kept = counts.repartition(_shards(counts), "lang", "term").mapInArrow(_shard(_KEEP, name="counts"), _KEPT)
     return tables.put("kept", kept), tables.put("groups", texts.select("lang", "source").distinct())
 

@@ -11,7 +11,7 @@ Time and output grow in proportion to the page: nothing recurses, every pattern
 next "<", open elements are found by their name, indents end at INDENT levels, tables nested deeper than NESTED are plain blocks, columns are at most
 WIDE characters wide (wider cells take lines of their own), and a row that would need more than PADDING spaces for each character of it is not aligned.
 
-Defined cases: null and empty pages give an empty text; a repeated row is rendered again; unknown tags are inline. Extra columns are ignored.
+Defined cases: null and empty pages give an empty text; a character reference beyond Unicode is U+FFFD; a repeated row is rendered again; unknown tags are inline. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,9 +53,20 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_LONG_NUMBER = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^<>]*>", re.I) for name in RAW}
 
 
+def resolved(text: str) -> str:
+    """A text with its character references resolved; numbers are cut to what Unicode can have first, however many digits they have."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "&#xFFFD;" if len(digits) > 7 else f"&#{'x' if m[2] else ''}{digits};"
+
+    return unescape(_LONG_NUMBER.sub(short, text)) if "&" in text else text
+
+
 class Node:
     __slots__ = ("tag", "hidden", "start", "children")
 
@@ -64,7 +75,7 @@ class Node:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in reversed(list(_ATTRIBUTE.finditer(text)))}
+    return {m[1].lower(): resolved((m[2] or "").strip("\"'")) for m in reversed(list(_ATTRIBUTE.finditer(text)))}
 
 
 def _element(tag: str, text: str) -> Node:
@@ -108,7 +119,7 @@ def parse(html: str) -> Node:
             if token[0] != "<" or token == "<":
                 if stack[-1].tag == "head" and not token.isspace():
                     close(len(stack) - 1)
-                stack[-1].children.append(unescape(token) if "&" in token else token)
+                stack[-1].children.append(resolved(token))
             continue
         tag, ends, rest = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ends:
@@ -135,7 +146,7 @@ def parse(html: str) -> Node:
         if tag in RAW:
             end = _ENDS[tag].search(html, at)
             if not node.hidden:
-                node.children.append(unescape(html[at : end.start() if end else size]))
+                node.children.append(resolved(html[at : end.start() if end else size]))
             at = end.end() if end else size
         elif tag not in VOID and not rest.endswith("/") or tag in BLOCKS and tag not in VOID:
             places[tag].append(len(stack))

@@ -13,7 +13,8 @@ need no search, so that copies are not compared once per block. What lies in dif
 is connected through its HUBS, which are in all its tiles, and in the end tiles that are not connected are compared by twos.
 
 Defined cases: words are split and ASCII-lower-cased as for op6; fewer words than a shingle make one; texts
-without words (null texts, too) are equal; equal 64-bit hashes are taken as equal shingles. Of a group stays one
+without words (null texts, too) are equal. A word is an XXH64 of its bytes, a shingle 64 bits of its words' hashes: unequal shingles
+are equal by chance alone, and a row goes only if four fifths of its shingles are another's. Of a group stays one
 row, that with the smallest doc_id (null is largest); of rows that repeat that, any one of equal rows.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,13 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tu
     """(place, sorted hashes of its different shingles) of each row of a batch."""
     for batch in batches:
         for first, _, data, offsets in blocks(batch.column("bytes")):
-            starts, ends, at = word_bounds(data, offsets)
+            at = word_bounds(data, offsets)[2]
             n = np.diff(at)
             count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
             bounds = np.concatenate(([0], np.cumsum(count)))
             begin = np.repeat(at[:-1] - bounds[:-1], count) + np.arange(bounds[-1])
-            words = _ROLLING.words(_LOWER[data], starts, ends)
+            lowered = _LOWER[data].tobytes().split()
+            words = np.fromiter(map(xxhash.xxh64_intdigest, lowered), np.uint64, len(lowered))
             hashes = _ROLLING.slices(words, begin, np.minimum(begin + shingle, np.repeat(at[1:], count)))
             for i in range(len(n)):
                 yield first + i, np.unique(hashes[bounds[i] : bounds[i + 1]])

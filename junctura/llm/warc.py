@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -117,8 +118,8 @@ def checked(spark: SparkSession, primary: DataFrame, replica: DataFrame) -> Data
     return joined.select("page_id", "file", "record_offset", "record_length", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 
-#: A record's header; one that does not end within 64 kB is damage.
-_HEADER = re.compile(rb"WARC/1\.[01]\r\n(.{0,65536}?)\r\n\r\n", re.S)
+#: A record's first line, and the bytes within which its header must end; one that does not is damage.
+_FIRST, HEADER_BYTES, PIECE_BYTES = re.compile(rb"WARC/1\.[01]\r\n"), 64 << 10, 16 << 10
 _RECORD = "path string, record_id string, record_offset long, record_length long, record_sha256 string, type string, uri string, body binary"
 
 
@@ -126,40 +127,59 @@ def unpacked(data: bytes) -> bytes:
     """A file's bytes; gzip members are unpacked one by one, and a damaged one is left out from its damage on."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out, at = [], 0
+    out, at, view = [], 0, memoryview(data)
     while at < len(data):
-        member = zlib.decompressobj(31)
+        member, end = zlib.decompressobj(31), at
         try:
-            out.append(member.decompress(data[at:]))
-            end = len(data) - len(member.unused_data)
+            while not member.eof and end < len(data):
+                out.append(member.decompress(view[end : end + PIECE_BYTES]))
+                end = min(len(data), end + PIECE_BYTES)
+            end -= len(member.unused_data)
         except zlib.error:
-            end = -1
-        if end <= at:
             end = data.find(b"\x1f\x8b\x08", at + 1)
         at = end if end > at else len(data)
     return b"".join(out)
 
 
+class _Marks:
+    """Ascending places of a mark in a file, of which those asked for only go up."""
+
+    def __init__(self, data: bytes, mark: bytes):
+        self.data, self.mark, self.place = data, mark, -1
+
+    def after(self, at: int) -> int:
+        """The first place from `at` on; the end of the file if there is none."""
+        if self.place < at:
+            found = self.data.find(self.mark, at)
+            self.place = found if found >= 0 else len(self.data)
+        return self.place
+
+
 def parsed(data: bytes) -> Iterator[tuple[str, int, int, str, str, str, bytes]]:
     """(record id, offset, length, SHA-256, type, target URI, body) of each record of a WARC file's unpacked bytes.
 
-    Bytes that are no record, up to the next record, are one of type "damage".
+    Bytes that are no record are one of type "damage", up to the next first line of a record; of several such
+    lines before an empty one the last counts, since a header has one. So a header is read once, and the file
+    in time in proportion to its length.
     """
-    at = 0
+    at, blanks = 0, _Marks(data, b"\r\n\r\n")
+    firsts = [m.start() for m in _FIRST.finditer(data)]
     while at < len(data):
-        m, end = _HEADER.match(data, at), -1
-        if m:
-            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in m[1].split(b"\r\n"))}
+        end, blank = -1, blanks.after(at)
+        if _FIRST.match(data, at) and blank < min(len(data), at + HEADER_BYTES):
+            lines = data[at:blank].split(b"\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}
             size = fields.get(b"content-length", b"0")
-            if re.fullmatch(rb"\d{1,15}", size) and data[(end := m.end() + int(size)) : end + 4] != b"\r\n\r\n":
+            if re.fullmatch(rb"\d{1,15}", size) and data[(end := blank + 4 + int(size)) : end + 4] != b"\r\n\r\n":
                 end = -1
         if end >= 0:
             text = lambda k: fields.get(k, b"").decode("utf-8", "replace")
-            yield text(b"warc-record-id"), at, end + 4 - at, hashlib.sha256(data[at : end + 4]).hexdigest(), text(b"warc-type"), text(b"warc-target-uri"), data[m.end() : end]
+            yield text(b"warc-record-id"), at, end + 4 - at, hashlib.sha256(data[at : end + 4]).hexdigest(), text(b"warc-type"), text(b"warc-target-uri"), data[blank + 4 : end]
             at = end + 4
             continue
-        end = data.find(b"WARC/1.", at + 1)
-        end = end if end >= 0 else len(data)
+        n, end = bisect_right(firsts, at), len(data)
+        if n < len(firsts):
+            end = firsts[bisect_left(firsts, blanks.after(firsts[n])) - 1]
         yield "", at, end - at, hashlib.sha256(data[at:end]).hexdigest(), "damage", "", data[at:end]
         at = end
 

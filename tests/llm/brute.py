@@ -2,11 +2,14 @@
 
 import hashlib
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+WORD_12 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def words(text):
@@ -76,3 +79,87 @@ def op8(url, rules):
     fits = [(-len(h + p), h + p, action) for action, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = min(fits, default=(0, None, "allow"))
     return host, path, best[1], best[2]
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def op11(rows, top):
+    counts, has = defaultdict(lambda: defaultdict(Counter)), defaultdict(Counter)
+    for text, lang, source in rows:
+        terms = Counter(TERM.findall(lower(text)))
+        counts[lang or ""][source or ""].update(terms)
+        has[lang or ""].update(terms.keys())
+    out = []
+    for lang, sources in counts.items():
+        kept = {t for t, n in has[lang].items() if n >= 3}
+        share = lambda c, t, total: 1 + 10**9 * (c[t] + 1) // (total + len(kept))
+        total = {s: sum(c[t] for t in kept) for s, c in sources.items()}
+        whole = Counter()
+        for c in sources.values():
+            whole.update({t: n for t, n in c.items() if t in kept})
+        p = {s: {t: share(c, t, total[s]) for t in kept} for s, c in sources.items()}
+        q = {t: share(whole, t, whole.total()) for t in kept}
+        for s in sources:
+            pairs = [(sum((p[s][t] - p[o][t]) ** 2 // p[o][t] for t in kept), o) for o in sources if o != s]
+            terms = [((p[s][t] - q[t]) ** 2 // q[t], t) for t in kept if sources[s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", pairs), ("term", terms)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, n) for n, (value, item) in enumerate(found, 1) if part == "pair" or n <= top]
+    return out
+
+
+def op12(docs, items):
+    windows = defaultdict(set)
+    for item, text in items:
+        w = WORD_12.findall(lower(text))
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[i : i + 10])].add(item)
+    sizes, out = {len(x) for x in windows}, []
+    for doc, text in docs:
+        w, hit, found = WORD_12.findall(lower(text)), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        ids = sorted(str(x) for x in found if x is not None)
+        out.append((doc, len(w), len(hit), len(ids), digest(",".join(ids)), bool(hit)))
+    return out
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def levels(nodes):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([digest("".join(out[-1][i : i + 2])) for i in range(0, len(out[-1]), 2)])
+    return out
+
+
+def op13(rows):
+    """rows: (doc_id, text, lang, source, n_chars)."""
+    field = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    leaf = lambda doc, text, lang, source, n: digest("".join(map(field, (doc, source, lang, n, text))))
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(r)
+    order = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for g in groups.values():
+        g.sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(*r)))
+    trees = {g: levels([leaf(*r) for r in groups[g]]) for g in order}
+    top, out = levels([trees[g][-1][0] for g in order]), []
+    for k, g in enumerate(order):
+        for i, r in enumerate(groups[g]):
+            changed = r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            own, siblings = leaf(*r[:4], r[4] + changed) if r[4] is not None else leaf(*r), ""
+            for tree, at in ((trees[g], i), (top, k)):
+                for level in tree[:-1]:
+                    left, right = "".join(level[at // 2 * 2 : at]), "".join(level[at + 1 : at // 2 * 2 + 2])
+                    own, siblings, at = digest(left + own + right), siblings + left + right, at // 2
+            root = top[-1][0]
+            out.append((r[0], leaf(*r), trees[g][-1][0], root, digest(siblings), own, own == root))
+    return out

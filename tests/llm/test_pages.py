@@ -57,6 +57,13 @@ def test_visibility_and_implied_tags():
     assert see(None) == see("") == see("<script>") == ""
 
 
+def test_references_of_any_length():
+    see = html_text.visible_text
+    for digits in ("9" * 5000, "0" * 5000 + "12345678", "x" + "f" * 9000):
+        assert see(f"a&#{digits};b<p title='&#{digits}'>c<textarea>&#{digits};d</textarea>") == "a\ufffdb\n\nc\ufffdd"
+    assert see("&#" + "0" * 5000 + "65;&#x" + "0" * 5000 + "42 &#00000038;amp; &#0000000000") == "AB &amp; \ufffd"
+
+
 def seconds(page):
     began = time.process_time()
     text = html_text.visible_text(page)
@@ -258,6 +265,15 @@ def test_damaged_files_are_read_on(spark, tmp_path):
         list(warc.parsed(warc.unpacked(bytes(junk[: rng.integers(len(junk))]))))
 
 
+def test_files_of_any_shape_are_read_in_linear_time():
+    member = gzip.compress(b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + bytes(range(256)) * 6)
+    for data in (member * 8000, b"WARC/1.0\r\n" * 100_000, b"WARC/1.0\r\n" * 100_000 + b"\r\n\r\n", b"X: WARC/1.1\r\n" * 80_000, b"WARC/1.0\r\nContent-Length: 9\r\n\r\n" * 30_000):
+        began = time.perf_counter()
+        whole = warc.unpacked(data)
+        found = list(warc.parsed(whole))
+        assert time.perf_counter() - began < 3 and sum(f[2] for f in found) == len(whole)
+
+
 def test_files_are_audited(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "RANGE", 1024)
     bodies = [r.b.encode() for r in records(spark, 60).orderBy("page_id", "html").select(warc.record(F.col("url"), F.col("html")).alias("b")).collect()]
