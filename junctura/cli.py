@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import sys
+import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from junctura.plans.formats import FORMATS
+from junctura.plans import writers
 from junctura.plans.graph import JunctionGraph
 from junctura.sources import junction_file
-from junctura.sources.sequences import read_fasta
+from junctura.sources.fasta import read_fasta
+
+log = logging.getLogger("junctura")
 
 
 def odd(text: str) -> int:
@@ -31,32 +37,47 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("files", nargs="+")
     dump = sub.add_parser("dump", help="write a graph as text")
     dump.add_argument("-k", "--kvalue", type=odd, required=True)
-    dump.add_argument("-f", "--format", choices=FORMATS, required=True)
+    dump.add_argument("-f", "--format", choices=writers.names(), required=True)
     dump.add_argument("-s", "--seqfilename", action="append", default=[])
     dump.add_argument("--prefix", action="store_true")
-    dump.add_argument("-o", "--outdir", required=True)
+    dump.add_argument("-o", "--outfile", help="the file to write (standard output if it is not given)")
     dump.add_argument("infile")
     return top
 
 
-def main(args: list[str] | None = None) -> None:
-    given = parser().parse_args(args)
-    spark = SparkSession.builder.appName("junctura").getOrCreate()
-    if given.command == "build":
-        graph = JunctionGraph(read_fasta(spark, *given.files), given.kvalue, given.abundance)
-        junction_file.write(graph.positions, given.outfile)
-        return
-    if not given.seqfilename and given.format in ("gfa1", "gfa2", "fasta"):
+def build(spark: SparkSession, given: argparse.Namespace) -> None:
+    """Writes the junction file, and logs what the build counts on its way, without a further pass."""
+    began = time.perf_counter()
+    log.info("k = %d, %d files", given.kvalue, len(given.files))
+    graph = JunctionGraph(read_fasta(spark, *given.files), given.kvalue, given.abundance)
+    counted, junctions = graph.counted, graph.junctions.count()
+    log.info("%d junctions among %d vertices, %d k-mers, %.1f s", junctions, counted["table_size"], counted["kmers"], time.perf_counter() - began)
+    size = junction_file.write(graph.positions, given.outfile)
+    log.info("%d marks, %d positions, %d bytes, %.1f s", counted["marks"], counted["positions"], size, time.perf_counter() - began)
+
+
+def dump(spark: SparkSession, given: argparse.Namespace) -> None:
+    if not given.seqfilename and writers.named(given.format).needs_sequences:
         raise SystemExit("this format needs the sequences (-s)")
     placed = junction_file.read(spark, given.infile)
     if given.seqfilename:
-        JunctionGraph(read_fasta(spark, *given.seqfilename), given.kvalue, placed=placed).write(given.format, given.outdir, given.prefix)
+        graph = JunctionGraph(read_fasta(spark, *given.seqfilename), given.kvalue, placed=placed)
     else:
-        from pyspark.sql import functions as F
-
         graph = JunctionGraph(spark.range(0).selectExpr("id as seq_id", "'' as header", "'' as seq", "id as length"), given.kvalue)
         graph.positions = placed.withColumns({"prev": F.lit("N"), "next": F.lit("N")})
-        graph.write(given.format, given.outdir)
+    if given.outfile:
+        graph.write(given.format, given.outfile, given.prefix)
+        return
+    rows = graph.lines(given.format, given.prefix).orderBy(*writers.ORDER).select("line", "open")
+    for row in rows.toLocalIterator(prefetchPartitions=True):
+        sys.stdout.write(row.line if row.open else row.line + "\n")
+
+
+def main(args: list[str] | None = None) -> None:
+    given = parser().parse_args(args)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+    spark = SparkSession.builder.appName("junctura").getOrCreate()
+    {"build": build, "dump": dump}[given.command](spark, given)
 
 
 if __name__ == "__main__":

@@ -13,8 +13,6 @@ from junctura.operators.ranking import ranked
 STUB_OFFSET = 42
 #: Junctions (some tens of bytes each) up to which they are sent to all tasks, and no k-mer is shuffled to find its junction.
 BROADCAST_ROWS = 1 << 18
-#: Letters of a key by which ranks are bucketed.
-PREFIX = 5
 
 
 def vertex_state(occurrences: DataFrame) -> DataFrame:
@@ -54,8 +52,7 @@ def junctions(found: DataFrame, abundance: int | None = None, backwards: bool =
 
     `backwards` ranks by the reversed key, the order of keys packed with the first letter least significant.
     """
-    key = F.reverse("ck") if backwards else F.col("ck")
-    return ranked(found.where(is_junction(abundance)), F.substr(key, F.lit(1), F.lit(PREFIX)), [key], "id")
+    return ranked(found.where(is_junction(abundance)), [F.reverse("ck") if backwards else F.col("ck")], "id")
 
 
 def bounded(known: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,9 +60,9 @@ def bounded(known: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(known) if known.count() <= most else known
 
 
-def signed(occurrences: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+def signed(occurrences: DataFrame, known: DataFrame, how: str = "inner", key: str = "ck") -> DataFrame:
     """Adds junction_id: the id if the k-mer as read is the key, its negative if its reverse complement is."""
-    joined = occurrences.join(known, "ck", how)
+    joined = occurrences.join(known, key, how)
     return joined.withColumn("junction_id", F.when(F.col("forward"), F.col("id")).otherwise(-F.col("id"))).drop("id")
 
 
@@ -79,16 +76,32 @@ def lookup(spark_kmers: DataFrame, known: DataFrame) -> DataFrame:
 def positions(occurrences: DataFrame, terminals: DataFrame, known: DataFrame) -> DataFrame:
     """seq_id, pos, junction_id, prev, next: all junction occurrences, and each sequence's first and last k-mer.
 
-    A terminal that is no junction gets a stub id, counted in order of (seq_id, pos).
+    A terminal that is no junction gets a stub id, counted in order of (seq_id, pos). Occurrences are those of
+    packed.occurrences() (keyed by a number) or of windows.canonical() (by letters).
     """
     columns = ["seq_id", "pos", "junction_id", "prev", "next"]
-    real = signed(occurrences, bounded(known.select("ck", "id"))).select(*columns)
+    if "code" in occurrences.columns:
+        keys = known.select(dna.packed(F.col("ck")).alias("code"), "id")
+        real = signed(occurrences, bounded(keys), key="code").withColumns({c: dna.letter_of(F.col(c)) for c in ("prev", "next")}).select(*columns)
+    else:
+        real = signed(occurrences, bounded(known.select("ck", "id"))).select(*columns)
     total = known.agg(F.count("*")).scalar()
     ends = signed(windows.canonical(terminals), known.select("ck", "id"), "left").where("junction_id is null").drop("junction_id")
-    stubs = ranked(ends, F.shiftright("seq_id", 16), ["seq_id", "pos"], "rank", STUB_OFFSET)
+    stubs = ranked(ends, ["seq_id", "pos"], "rank", STUB_OFFSET)
     return real.unionByName(stubs.withColumn("junction_id", F.col("rank") + total).select(*columns))
 
 
+def with_letters(placed: DataFrame, sequences: DataFrame, k: int) -> DataFrame:
+    """Adds prev and next, the letters around each position's k-mer (N at the ends), cut from the chunk that it lies in."""
+    step = windows.CHUNK
+    # Chunk i of N + seq + N has the k-mers from i * step up to (i + 1) * step, and the letters around them.
+    cut = windows.chunks(sequences, step + k + 1, k + 1, least=k).select("seq_id", F.col("chunk_no").alias("chunk"), F.col("letters").cast("binary").alias("letters"))
+    at = (F.col("pos") % step).cast("int")
+    letter = lambda place: F.substring("letters", place + 1, F.lit(1)).cast("string")
+    joined = placed.select("seq_id", "pos", "junction_id", F.floor(F.col("pos") / step).alias("chunk")).join(cut, ["seq_id", "chunk"])
+    return joined.select("seq_id", "pos", "junction_id", letter(at).alias("prev"), letter(at + k + 1).alias("next"))
+
+
 def edge_degrees(sequences: DataFrame, occurrences: DataFrame, k: int) -> DataFrame:
     """ck with how many of its eight possible neighbour edges are edges of the input: an exact membership test."""
     known = windows.edges(sequences, k).select("canonical").distinct()
@@ -140,13 +153,5 @@ def junctions_in_rounds(found: DataFrame, bins: int, n_rounds: int) -> DataFrame
     return found.where(is_junction()).withColumn("bin", bin_).join(F.broadcast(split), "bin").select("ck", "round")
 
 
-def metrics(occurrences: DataFrame, found: DataFrame, placed: DataFrame) -> DataFrame:
-    """One row: junctions and other vertices, table size, marks, positions, and vertices of both strands."""
-    marks = signed(occurrences, found.where(is_junction()).select("ck", F.lit(1).alias("id"))).agg(F.count("*")).scalar()
-    positions_ = placed.agg(F.count("*")).scalar()
-    own = found.agg(F.count_if(is_junction()).alias("true_junctions"), F.count_if(~is_junction()).alias("false_junctions"), F.count("*").alias("table_size"))
-    return own.select("*", marks.alias("marks"), positions_.alias("positions"), (2 * F.col("true_junctions")).alias("vertices"))
-
-
 def kmer_table(spark: SparkSession, values: list[str]) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{v}')" for v in values) + " AS t(kmer)")

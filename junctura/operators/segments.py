@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions import dna
+from junctura.operators import neighbours, windows
 from junctura.operators.ranking import ranked
 from junctura.storage import written
 
 #: Ids of segments that begin with an indefinite letter are counted from here, in order of emission.
 RESERVED = 1 << 34
 MOST_ID = 1 << 31
+#: Letters of a tile of a sequence, and of the part that it shares with the next one: a segment of up to so many lies in one tile.
+TILE, SHARED = 8192, 1024
 
 
 def pairs(positions: DataFrame) -> DataFrame:
-    """seq_id, begin, end, b, e (signed ids of consecutive junctions), p and q.
+    """seq_id, begin, end, b, e (signed ids of consecutive junctions), p and q. `positions` is read twice.
 
     p is the letter after the first k-mer; q the complement of the letter before the last one.
     """
-    order = Window.partitionBy("seq_id").orderBy("pos")
-    after = F.lead(F.struct("pos", "junction_id", "prev")).over(order)
-    both = positions.withColumn("after", after).where(F.col("after").isNotNull())
+    both = neighbours.with_next(positions, "pos", F.struct("pos", "junction_id", "prev"), "after").where(F.col("after").isNotNull())
     return both.select("seq_id", F.col("pos").alias("begin"), F.col("after.pos").alias("end"), F.col("junction_id").alias("b"), F.col("after.junction_id").alias("e"), F.col("next").alias("p"), dna.complement(F.col("after.prev")).alias("q"))
 
 
@@ -44,7 +45,7 @@ def pieces(positions: DataFrame) -> DataFrame:
     # Written, since what has a number, what has none, and the counts of the latter are each read from it.
     numbered = written(pairs(positions).withColumn("segment_id", segment_number(F.col("b"), F.col("e"), F.col("p"), F.col("q"))), "numbered")
     known = numbered.where("segment_id is not null").drop("p", "q")
-    reserved = ranked(numbered.where("segment_id is null").drop("p", "q", "segment_id"), F.shiftright("seq_id", 16), ["seq_id", "begin"], "segment_id", RESERVED)
+    reserved = ranked(numbered.where("segment_id is null").drop("p", "q", "segment_id"), ["seq_id", "begin"], "segment_id", RESERVED)
     return known.unionByName(reserved)
 
 
@@ -55,38 +56,56 @@ def first_seen(found: DataFrame) -> DataFrame:
 
 
 def bodies(firsts: DataFrame, sequences: DataFrame, k: int) -> DataFrame:
-    """Adds body (reverse-complemented for a negative id) and size of pieces."""
-    letters = sequences.select("seq_id", F.col("seq").cast("binary").alias("letters"))
-    joined = firsts.join(letters, "seq_id")
-    size = (F.col("end") + k - F.col("begin")).cast("int")
-    read = F.substring("letters", (F.col("begin") + 1).cast("int"), size).cast("string")
-    body = F.when(F.col("segment_id") > 0, read).otherwise(dna.reverse_complement(read))
-    return joined.select(*firsts.columns, size.cast("long").alias("size"), body.alias("body"))
+    """Adds body (reverse-complemented for a negative id) and size of pieces.
+
+    Bodies are cut from tiles of the sequences, found by sequence and place. One that is longer than tiles share is put together of several.
+    """
+    size = F.col("end") + k - F.col("begin")
+    own = firsts.withColumn("size", size.cast("long"))
+    letters = windows.tiles(sequences, TILE, SHARED).select("seq_id", "tile", F.col("letters").cast("binary").alias("letters"))
+    cut = lambda start, n: F.substring("letters", (start + 1).cast("int"), n.cast("int")).cast("string")
+    in_one = own.where(F.col("size") <= SHARED).withColumn("tile", F.floor(F.col("begin") / TILE))
+    one = in_one.join(letters, ["seq_id", "tile"]).select(*own.columns, cut(F.col("begin") - F.col("tile") * TILE, F.col("size")).alias("read"))
+    spread = own.where(F.col("size") > SHARED).withColumn("tile", F.explode(F.sequence(F.floor(F.col("begin") / TILE), F.floor((F.col("end") + k - 1) / TILE))))
+    low, high = F.greatest(F.col("begin"), F.col("tile") * TILE), F.least(F.col("end") + k, (F.col("tile") + 1) * TILE)
+    parts = spread.join(letters, ["seq_id", "tile"]).select(*own.columns, "tile", cut(low - F.col("tile") * TILE, high - low).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda x: x["part"]), "")
+    found = one.unionByName(parts.groupBy(*own.columns).agg(joined.alias("read")))
+    body = F.when(F.col("segment_id") > 0, F.col("read")).otherwise(dna.reverse_complement(F.col("read")))
+    return found.select(*own.columns, body.alias("body"))
 
 
 def links(found: DataFrame, k: int) -> DataFrame:
-    """seq_id, begin, a, a_size, b and b_size of consecutive segments of a sequence, repeats included."""
-    order = Window.partitionBy("seq_id").orderBy("begin")
+    """seq_id, begin, a, a_size, b and b_size of consecutive segments of a sequence, repeats included. `found` is read twice."""
     sized = found.select("seq_id", "begin", "segment_id", (F.col("end") + k - F.col("begin")).alias("size"))
-    before = sized.withColumn("before", F.lag(F.struct("segment_id", "size")).over(order)).where(F.col("before").isNotNull())
+    before = neighbours.with_previous(sized, "begin", F.struct("segment_id", "size"), "before").where(F.col("before").isNotNull())
     return before.select("seq_id", "begin", F.col("before.segment_id").alias("a"), F.col("before.size").alias("a_size"), F.col("segment_id").alias("b"), F.col("size").alias("b_size"))
 
 
 def paths(found: DataFrame) -> DataFrame:
-    """seq_id and path, the array of its signed segments in order."""
+    """seq_id, part and path: the signed segments of each range of positions in order; a sequence's parts, in order, are its path."""
     listed = F.array_sort(F.collect_list(F.struct("begin", "segment_id")))
-    return found.groupBy("seq_id").agg(F.transform(listed, lambda x: x["segment_id"]).alias("path"))
+    return found.groupBy("seq_id", neighbours.span("begin").alias("part")).agg(F.transform(listed, lambda x: x["segment_id"]).alias("path"))
 
 
 def respelled(path_table: DataFrame, segment_table: DataFrame, k: int) -> DataFrame:
-    """seq_id and spelled: each path's segments joined, overlapping by k letters."""
-    steps = path_table.select("seq_id", F.posexplode("path").alias("at", "segment"))
+    """seq_id, start, seq and length of the pieces that each path's segments give: all but the first without the k letters that they share with the one before.
+
+    A piece's start is the running sum of the lengths before it, so no row has a whole sequence. Paths are those of
+    paths(), or of GFA files (part 0 alone).
+    """
+    steps = path_table.select("seq_id", F.posexplode("path").alias("nth", "segment"), "part")
+    # Parts are ranges of positions: a part's steps have places of their own, since it has fewer than positions.
+    steps = steps.withColumn("at", F.shiftleft("part", neighbours.SPAN_BITS) + F.col("nth"))
     known = segment_table.select(F.abs("segment_id").alias("id"), "body")
     joined = steps.join(known, F.abs("segment") == F.col("id"))
     read = F.when(F.col("segment") > 0, F.col("body")).otherwise(dna.reverse_complement(F.col("body")))
-    part = F.when(F.col("at") == 0, read).otherwise(F.substr(read, F.lit(k + 1)))
-    listed = F.array_sort(F.collect_list(F.struct(F.col("at"), part.alias("part"))))
-    return joined.groupBy("seq_id").agg(F.array_join(F.transform(listed, lambda x: x["part"]), "").alias("spelled"))
+    rows = written(joined.select("seq_id", "at", read.alias("read"), (F.length("body") - k).cast("long").alias("n")), "steps")
+    placed = neighbours.running(rows, "at", "n", "start")
+    first = F.col("start") == 0
+    pieces = placed.select("seq_id", (F.col("start") + F.when(first, 0).otherwise(k)).cast("long").alias("start"), F.when(first, F.col("read")).otherwise(F.substr("read", F.lit(k + 1))).alias("seq"))
+    lengths = rows.groupBy("seq_id").agg((F.sum("n") + k).cast("long").alias("length"))
+    return pieces.join(lengths, "seq_id")
 
 
 def overlaps(link_table: DataFrame, segment_table: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions import dna
@@ -16,19 +16,52 @@ def check_k(k: int) -> None:
         raise ValueError("k must be odd, so that no k-mer is its own reverse complement")
 
 
+def pieces(sequences: DataFrame) -> DataFrame:
+    """seq_id, start, seq and length of the pieces of sequences; a table without `start` has a sequence in each row."""
+    n = F.col("length") if "length" in sequences.columns else F.length("seq").cast("long")
+    start = F.col("start") if "start" in sequences.columns else F.lit(0).cast("long")
+    return sequences.select("seq_id", start.alias("start"), "seq", n.alias("length"))
+
+
+def _cut(sequences: DataFrame, step: int, width: int, count: Column, least: int, pad: str = "") -> DataFrame:
+    """seq_id, chunk_no, n (length with pads), count and letters: chunk i has `width` letters from i * step of pad + sequence + pad.
+
+    Chunks that lie within one piece are cut there; of those that a border of pieces crosses, parts meet by (seq_id, chunk_no).
+    """
+    own, edge = pieces(sequences).where(F.col("length") >= least), len(pad)
+    first, last = F.col("start") == 0, F.col("start") + F.length("seq") == F.col("length")
+    text = F.concat(F.when(first, F.lit(pad)).otherwise(F.lit("")), "seq", F.when(last, F.lit(pad)).otherwise(F.lit(""))).cast("binary")
+    own = own.select("seq_id", text.alias("b"), F.when(first, F.lit(0)).otherwise(F.col("start") + edge).cast("long").alias("low"), (F.col("length") + 2 * edge).alias("n"))
+    own = own.select("*", (F.col("low") + F.length("b")).alias("high"), count.cast("long").alias("count"))
+    at, to = F.greatest(F.lit(0).cast("long"), F.floor((F.col("low") - width) / step) + 1), F.least(F.col("count") - 1, F.floor((F.col("high") - 1) / step))
+    numbers = F.when(at <= to, F.sequence(at, to)).otherwise(F.array().cast("array<bigint>"))
+    begin = lambda i: F.greatest(i * step, F.col("low"))
+    end = lambda i: F.least(i * step + width, F.col("high"))
+    whole = lambda i: (i * step >= F.col("low")) & (F.least(i * step + width, F.col("n")) <= F.col("high"))
+    # Binary substrings are cut by offset; of UTF-8 strings they would walk from the start.
+    part = lambda i: F.struct(i.alias("chunk_no"), begin(i).alias("at"), F.substring("b", (begin(i) - F.col("low") + 1).cast("int"), (end(i) - begin(i)).cast("int")).cast("string").alias("letters"))
+    rows = lambda chosen: own.select("seq_id", "n", "count", F.explode(F.transform(chosen, part)).alias("c"))
+    # Chunks are dealt out before they are exploded into many times as many bytes: a huge record, or input of few splits, is then work for all tasks.
+    spark = sequences.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = rows(F.filter(numbers, whole) if "start" in sequences.columns else numbers).repartition(parts, "seq_id", "c.chunk_no").select("seq_id", "c.chunk_no", "n", "count", "c.letters")
+    if "start" in sequences.columns:
+        across = rows(F.filter(numbers, lambda i: ~whole(i))).groupBy("seq_id", "c.chunk_no", "n", "count").agg(F.array_sort(F.collect_list(F.struct("c.at", "c.letters"))).alias("parts"))
+        found = found.unionByName(across.select("seq_id", "chunk_no", "n", "count", F.array_join(F.transform("parts", lambda x: x["letters"]), "").alias("letters")))
+    return found
+
+
 def chunks(sequences: DataFrame, size: int, overlap: int, least: int = 1) -> DataFrame:
     """seq_id, chunk_no, start, is_final, len and letters of overlapping chunks of N + seq + N."""
-    padded = sequences.where(F.length("seq") >= least).select("seq_id", F.concat(F.lit("N"), "seq", F.lit("N")).cast("binary").alias("b"), (F.length("seq") + 2).cast("long").alias("n"))
     step = size - overlap
     count = F.greatest(F.lit(1), F.ceil((F.col("n") - overlap) / step))
-    # Binary substrings are cut by offset; of UTF-8 strings they would walk from the start.
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.struct(i.alias("chunk_no"), (i * step).alias("start"), (i == count - 1).alias("is_final"), F.substring("b", (i * step + 1).cast("int"), F.lit(size)).cast("string").alias("letters")))
-    rows = padded.select("seq_id", F.explode(cut).alias("c"))
-    # Chunks are dealt out before they are exploded into k times as many bytes: a huge record, or input of
-    # few splits, is then work for all tasks.
-    spark = sequences.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "seq_id", "c.chunk_no").select("seq_id", "c.chunk_no", "c.start", "c.is_final", F.length("c.letters").cast("long").alias("len"), "c.letters")
+    rows = _cut(sequences, step, size, count, least, "N")
+    return rows.select("seq_id", "chunk_no", (F.col("chunk_no") * step).alias("start"), (F.col("chunk_no") == F.col("count") - 1).alias("is_final"), F.length("letters").cast("long").alias("len"), "letters")
+
+
+def tiles(sequences: DataFrame, size: int, extra: int) -> DataFrame:
+    """seq_id, tile and letters: `size` letters from tile * size, and up to `extra` more."""
+    return _cut(sequences, size, size + extra, F.ceil(F.col("n") / size), 1).select("seq_id", F.col("chunk_no").alias("tile"), "letters")
 
 
 def kmers(sequences: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
@@ -45,13 +78,23 @@ def kmers(sequences: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
 
 
 def terminals(sequences: DataFrame, k: int) -> DataFrame:
-    """The first and the last window of each sequence (one row if they are the same), as kmers() has them."""
-    n = F.length("seq").cast("long")
-    own = sequences.where(n >= k).select("seq_id", F.concat(F.lit("N"), "seq", F.lit("N")).cast("binary").alias("b"), (n - k).alias("last"))
-    rows = own.select("seq_id", "b", "last", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.col("last")))).alias("pos"))
+    """The first and the last window of each sequence (one row if they are the same), as kmers() has them.
+
+    Of sequences in pieces they are cut from the first and the last chunk.
+    """
+    if "start" in sequences.columns:
+        ends = chunks(sequences, CHUNK + k + 1, k + 1, least=k).where("chunk_no = 0 or is_final")
+        b, last = F.col("letters").cast("binary"), F.col("len") - (k + 2)
+        places = F.array_distinct(F.concat(F.when(F.col("chunk_no") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>")), F.when(F.col("is_final"), F.array(last)).otherwise(F.array().cast("array<bigint>"))))
+        rows = ends.select("seq_id", "start", b.alias("b"), "is_final", last.alias("last"), F.explode(places).alias("pos"))
+    else:
+        n = F.length("seq").cast("long")
+        own = sequences.where(n >= k).select("seq_id", F.concat(F.lit("N"), "seq", F.lit("N")).cast("binary").alias("b"), (n - k).alias("last"))
+        rows = own.select("seq_id", F.lit(0).alias("start"), "b", F.lit(True).alias("is_final"), "last", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.col("last")))).alias("pos"))
     at = F.col("pos").cast("int")
     cut = lambda start, size: F.substring("b", start, size).cast("string")
-    return rows.select("seq_id", "pos", cut(at + 2, F.lit(k)).alias("kmer"), cut(at + 1, F.lit(1)).alias("prev"), cut(at + k + 2, F.lit(1)).alias("next"), (F.col("pos") == F.col("last")).alias("is_last"))
+    is_last = F.col("is_final") & (F.col("pos") == F.col("last"))
+    return rows.select("seq_id", (F.col("start") + F.col("pos")).alias("pos"), cut(at + 2, F.lit(k)).alias("kmer"), cut(at + 1, F.lit(1)).alias("prev"), cut(at + k + 2, F.lit(1)).alias("next"), is_last.alias("is_last"))
 
 
 def definite(windows: DataFrame) -> DataFrame:

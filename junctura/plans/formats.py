@@ -1,12 +1,18 @@
-"""Text formats of the graph: tables of lines with a key that gives their order."""
+"""Text of the graph: tables of lines with a key that gives their order.
+
+A line may be put together of several rows, so that none grows with a sequence or with the places of a junction: all but its last row are `open`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FORMATS = ("seq", "group", "dot", "gfa1", "gfa2", "fasta")
+from junctura.operators.ranking import ranked
+
 TAB = "\t"
+#: Places of a junction in a row of its line, as a power of two.
+RUN_BITS = 12
 
 
 def _text(*parts) -> Column:
@@ -34,12 +40,31 @@ def seq_lines(positions: DataFrame) -> DataFrame:
     return positions.select("seq_id", "pos", F.concat_ws(" ", _str("seq_id"), _str("pos"), _str("junction_id")).alias("line"))
 
 
+def group_pieces(positions: DataFrame) -> DataFrame:
+    """Rows (seq_id and pos of the id's first place, n, line, open) of a line per signed id, with all its places in order.
+
+    Places are ranked over the whole table by id, so runs of ranks hold a bounded number of them, however many an id has.
+    """
+    placed = ranked(positions.select("junction_id", "seq_id", "pos"), ["junction_id", "seq_id", "pos"], "rank", 0)
+    places = F.array_sort(F.collect_list(F.struct("seq_id", "pos")))
+    runs = placed.groupBy("junction_id", F.shiftright("rank", RUN_BITS).alias("n")).agg(places.alias("places"))
+    text = F.array_join(F.transform("places", lambda x: F.concat_ws(" ", x["seq_id"].cast("string"), x["pos"].cast("string"))), "; ")
+    first = F.get("places", F.lit(0))
+    runs = runs.select("junction_id", "n", F.concat(text, F.lit("; ")).alias("line"), first.alias("first"))
+    order = Window.partitionBy("junction_id")
+    known = runs.withColumns({"begin": F.min("first").over(order), "last": F.max("n").over(order)})
+    return known.select(F.col("begin.seq_id").alias("seq_id"), F.col("begin.pos").alias("pos"), "n", "line", (F.col("n") < F.col("last")).alias("open"))
+
+
+def joined_lines(pieces: DataFrame, *keys: str) -> DataFrame:
+    """The whole lines of rows that make up lines, named by `keys`."""
+    parts = F.array_sort(F.collect_list(F.struct("n", "line")))
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "").alias("line"))
+
+
 def group_lines(positions: DataFrame) -> DataFrame:
     """A line per signed id, all its places, ordered by the first; seq_id and pos are those of the first."""
-    places = F.array_sort(F.collect_list(F.struct("seq_id", "pos")))
-    found = positions.groupBy("junction_id").agg(places.alias("places"))
-    line = F.concat(F.array_join(F.transform("places", lambda x: F.concat_ws(" ", x["seq_id"].cast("string"), x["pos"].cast("string"))), "; "), F.lit("; "))
-    return found.select(F.get("places", F.lit(0))["seq_id"].alias("seq_id"), F.get("places", F.lit(0))["pos"].alias("pos"), line.alias("line"))
+    return joined_lines(group_pieces(positions), "seq_id", "pos")
 
 
 def dot_lines(pairs: DataFrame) -> DataFrame:
@@ -80,14 +105,19 @@ def link_lines(links: DataFrame, k: int, version: int) -> DataFrame:
     return links.select("seq_id", F.col("begin").alias("pos"), line.alias("line"))
 
 
+def path_pieces(paths: DataFrame, names: DataFrame, version: int) -> DataFrame:
+    """Rows (seq_id, n, line, open) of each sequence's path, one for each of its parts."""
+    order = Window.partitionBy("seq_id")
+    joined = paths.join(names.select("seq_id", "name"), "seq_id").withColumns({"low": F.min("part").over(order), "high": F.max("part").over(order)})
+    first, last, between = F.col("part") == F.col("low"), F.col("part") == F.col("high"), "," if version == 1 else " "
+    head = _text("P\t", F.col("name"), TAB) if version == 1 else _text("O\t", F.col("name"), "p\t")
+    end = F.lit("\t*" if version == 1 else "")
+    line = F.concat(F.when(first, head).otherwise(F.lit(between)), F.array_join(F.transform("path", oriented), between), F.when(last, end).otherwise(F.lit("")))
+    return joined.select("seq_id", F.col("part").alias("n"), line.alias("line"), (~last).alias("open"))
+
+
 def path_lines(paths: DataFrame, names: DataFrame, version: int) -> DataFrame:
-    joined = paths.join(names.select("seq_id", "name"), "seq_id")
-    steps = F.transform("path", oriented)
-    if version == 1:
-        line = _text("P\t", F.col("name"), TAB, F.array_join(steps, ","), "\t*")
-    else:
-        line = _text("O\t", F.col("name"), "p\t", F.array_join(steps, " "))
-    return joined.select("seq_id", line.alias("line"))
+    return joined_lines(path_pieces(paths, names, version), "seq_id")
 
 
 def fasta_lines(bodies: DataFrame, width: int = 80) -> DataFrame:

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from junctura.operators import junctions, segments, windows
-from junctura.plans import formats
-from junctura.sources import sequences as sources
+from junctura.operators import junctions, packed, segments, windows
+from junctura.plans import writers
+from junctura.sources import positional
 from junctura.storage import written
 
 
 class JunctionGraph:
-    """Tables of the compacted de Bruijn graph of `sequences` (seq_id, header, seq, length).
+    """Tables of the compacted de Bruijn graph of `sequences`: seq_id, header, seq and length, or pieces of sequences with their `start`.
 
-    Junctions and pieces, which several other tables start from, are written to the shared folder when they
-    are first asked for; all else is lazy.
+    What several other tables start from is written to the shared folder when it is first asked for; all else is lazy. k-mers are
+    keyed by numbers where they fit one (k up to packed.MOST), else by their letters. Letters other than A, C, G and T are unknown ones.
 
     `placed` gives known positions (seq_id, pos, junction_id) instead, as read from a junction file.
     """
@@ -25,29 +25,64 @@ class JunctionGraph:
     def __init__(self, sequences: DataFrame, k: int = 25, abundance: int | None = None, placed: DataFrame | None = None):
         windows.check_k(k)
         self.sequences, self.k, self.abundance, self._placed = sequences, k, abundance, placed
+        self.definite = sequences.withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N"))
 
     @cached_property
     def windows(self) -> DataFrame:
-        return windows.kmers(self.sequences, self.k)
+        return windows.kmers(self.definite, self.k)
 
     @cached_property
     def occurrences(self) -> DataFrame:
         return windows.canonical(windows.definite(self.windows))
 
+    @cached_property
+    def codes(self) -> DataFrame:
+        """Occurrences keyed by numbers (packed.occurrences), for k up to packed.MOST."""
+        return packed.occurrences(self.sequences, self.k)
+
+    @cached_property
+    def _degrees(self) -> DataFrame:
+        return packed.degrees(self.sequences, self.k) if self.k <= packed.MOST else junctions.vertices(self.occurrences)
+
+    def _named(self, vertices: DataFrame) -> DataFrame:
+        return packed.named(vertices, self.k) if self.k <= packed.MOST else vertices
+
     @cached_property
     def vertices(self) -> DataFrame:
-        return junctions.vertices(self.occurrences)
+        return self._named(self._degrees)
+
+    @cached_property
+    def counted(self) -> dict[str, int]:
+        """What was counted while tables were written: of vertices (true_junctions, false_junctions, table_size, kmers, marks), and positions."""
+        return {}
+
+    def _observed(self, df: DataFrame, *counts) -> tuple[DataFrame, Observation]:
+        seen = Observation()
+        return df.observe(seen, *counts), seen
 
     @cached_property
     def junctions(self) -> DataFrame:
-        return written(junctions.junctions(self.vertices, self.abundance), "junctions")
+        real = junctions.is_junction(self.abundance)
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        rows, seen = self._observed(
+            self._degrees, F.count_if(real).alias("true_junctions"), F.count_if(~real).alias("false_junctions"), F.count(F.lit(1)).alias("table_size"),
+            total("n").alias("kmers"), total(F.when(real, F.col("n"))).alias("marks"),
+        )
+        # Written before they are ordered: a range's bounds are sampled, and the aggregation is not run twice for that.
+        found = written(self._named(rows.where(real)), "branching")
+        self.counted.update(seen.get)
+        return written(junctions.junctions(found, self.abundance), "junctions")
 
     @cached_property
     def positions(self) -> DataFrame:
         if self._placed is None:
-            return junctions.positions(self.occurrences, windows.terminals(self.sequences, self.k), self.junctions)
-        around = windows.kmers(self.sequences.withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N")), self.k).select("seq_id", "pos", "prev", "next")
-        return self._placed.select("seq_id", "pos", "junction_id").join(around, ["seq_id", "pos"])
+            found = junctions.positions(self.codes if self.k <= packed.MOST else self.occurrences, windows.terminals(self.definite, self.k), self.junctions)
+        else:
+            found = junctions.with_letters(self._placed, self.definite, self.k)
+        found, seen = self._observed(found, F.count(F.lit(1)).alias("positions"))
+        found = written(found, "positions")
+        self.counted.update(seen.get)
+        return found
 
     @cached_property
     def pieces(self) -> DataFrame:
@@ -55,7 +90,7 @@ class JunctionGraph:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return segments.bodies(segments.first_seen(self.pieces), self.sequences, self.k)
+        return segments.bodies(written(segments.first_seen(self.pieces), "firsts"), self.sequences, self.k)
 
     @cached_property
     def links(self) -> DataFrame:
@@ -66,42 +101,9 @@ class JunctionGraph:
         return segments.paths(self.pieces)
 
     def lines(self, fmt: str, prefix: bool = False) -> DataFrame:
-        """section, seq_id, pos, n and line of one of formats.FORMATS, to be ordered by the first four."""
-        names = sources.metadata(self.sequences, prefix)
-
-        def part(df: DataFrame, section: int, n: int = 0) -> DataFrame:
-            has = lambda c, other: F.col(c).cast("long") if c in df.columns else F.lit(other).cast("long")
-            return df.select(F.lit(section).alias("section"), has("seq_id", -1).alias("seq_id"), has("pos", 1 << 62).alias("pos"), has("n", n).alias("n"), "line")
-
-        def single(line: str) -> DataFrame:
-            return self.sequences.sparkSession.range(1).select(F.lit(line).alias("line"))
-
-        if fmt == "seq":
-            return part(formats.seq_lines(self.positions), 1)
-        if fmt == "group":
-            return part(formats.group_lines(self.positions), 1)
-        if fmt == "fasta":
-            return part(formats.fasta_lines(self.segments), 1)
-        if fmt == "dot":
-            rows = [part(single("digraph G\n{\n\trankdir = LR"), 0), part(formats.dot_lines(segments.pairs(self.positions)), 1), part(single("}"), 2)]
-        elif fmt in ("gfa1", "gfa2"):
-            v = int(fmt[-1])
-            rows = [
-                part(single(f"H\tVN:Z:{v}.0"), 0),
-                part(formats.segment_lines(self.segments, v), 2, 0),
-                part(formats.occurrence_lines(self.pieces, names, self.k, v), 2, 1),
-                part(formats.link_lines(self.links, self.k, v), 2, 2),
-                part(formats.path_lines(self.paths, names, v), 2, 3),
-            ]
-            if v == 1:
-                rows.append(part(formats.gfa1_inputs(names), 1))
-        else:
-            raise ValueError(f"the formats are {', '.join(formats.FORMATS)}")
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return out
-
-    def write(self, fmt: str, path: str, prefix: bool = False) -> None:
-        """Writes text files whose parts, in order of name, are the format's lines in order."""
-        self.lines(fmt, prefix).orderBy("section", "seq_id", "pos", "n").select("line").write.text(path)
+        """section, seq_id, pos, n, part, line and open of a format, to be ordered by the first five; what is `open` goes on in the next row."""
+        return writers.named(fmt).lines(self, prefix)
+
+    def write(self, fmt: str, path: str, prefix: bool = False) -> int:
+        """Writes one text file, by all tasks at their places in it; returns its bytes."""
+        return positional.write(self.lines(fmt, prefix), writers.ORDER, positional.text_lines, path)

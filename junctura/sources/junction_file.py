@@ -1,79 +1,103 @@
-"""The binary junction file: 12-byte records (uint32 position, int64 id), and separators between sequences."""
+"""The binary junction file: 12-byte records (uint32 position, int64 id), and separators between sequences.
+
+It is read by ranges of records and written by offsets. A separator opens the next sequence; a range counts its own, and
+sums over ranges tell how many stand before it.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
+
+from junctura.operators.ranking import starts
+from junctura.sources import positional, ranges
 
 # The record's layout, and the record that opens the next sequence.
 RECORD = np.dtype([("pos", "<u4"), ("id", "<i8")])
 SEPARATOR_POS, SEPARATOR_ID = 4294967295, 9223372036854775807
+#: Records of a range, and of a batch of it.
+RANGE, BATCH = 1 << 21, 1 << 16
 
 
 def with_separators(positions: DataFrame) -> DataFrame:
-    """ord (by sequence, then position), pos and junction_id of the file's records: a separator for each sequence skipped.
+    """seq_id, at (their order), pos and junction_id of the file's records: a separator stands before each sequence's place but the first's.
 
-    A sequence's separators stand before its first record: one for each step from the previous
-    sequence that has records (from sequence 0 at the start).
+    The last separator opens the last sequence that has records.
     """
-    previous = F.lag("seq_id").over(Window.orderBy("seq_id"))
-    # One row per sequence, not per junction.
-    steps = positions.select("seq_id").distinct().select("seq_id", (F.col("seq_id") - F.coalesce(previous, F.lit(0))).alias("steps"))
-    opening = steps.where("steps > 0").select("seq_id", F.explode(F.sequence(-F.col("steps"), F.lit(-1).cast("long"))).alias("at"), F.lit(SEPARATOR_POS).alias("pos"), F.lit(SEPARATOR_ID).alias("junction_id"))
-    rows = positions.select("seq_id", F.col("pos").alias("at"), F.col("pos").cast("long"), F.col("junction_id").cast("long"))
-    return opening.unionByName(rows)
+    last = positions.agg(F.max("seq_id")).first()[0] or 0
+    separators = positions.sparkSession.range(1, last + 1).select(F.col("id").alias("seq_id"), F.lit(-1).cast("long").alias("at"), F.lit(SEPARATOR_POS).alias("pos"), F.lit(SEPARATOR_ID).alias("junction_id"))
+    return separators.unionByName(positions.select("seq_id", F.col("pos").cast("long").alias("at"), F.col("pos").cast("long"), F.col("junction_id").cast("long")))
 
 
-def decoded(records: DataFrame) -> DataFrame:
-    """seq_id, pos and junction_id from records (block, at, pos, junction_id) in the order of block and at.
+def _records(batch: pa.RecordBatch) -> bytes:
+    out = np.empty(batch.num_rows, RECORD)
+    out["pos"], out["id"] = batch.column("pos").to_numpy(), batch.column("junction_id").to_numpy()
+    return out.tobytes()
 
-    Separators are counted within each block, and the blocks' counts summed up before: so no task
-    orders the whole file.
-    """
-    is_separator = ((F.col("pos") == SEPARATOR_POS) & (F.col("junction_id") == SEPARATOR_ID)).cast("long")
-    marked = records.withColumn("separator", is_separator)
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = marked.groupBy("block").agg(F.sum("separator").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.withColumn("step", F.sum("separator").over(within)).join(counts, "block")
-    return placed.where("separator = 0").select((F.col("first") + F.col("step")).alias("seq_id"), "pos", "junction_id")
-
-
-def write(positions: DataFrame, path: str) -> None:
-    """One file in the records' order, written by the driver from sorted partitions (the format is one file)."""
-    ordered = with_separators(positions).orderBy("seq_id", "at").select("pos", "junction_id")
-    with open(path, "wb") as out:
-        batch = []
-        for row in ordered.toLocalIterator(prefetchPartitions=True):
-            batch.append((row[0], row[1]))
-            if len(batch) == 100_000:
-                out.write(np.array(batch, RECORD).tobytes())
-                batch = []
-        out.write(np.array(batch, RECORD).tobytes())
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """seq_id, pos and junction_id of a junction file."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                found = np.frombuffer(content, RECORD)
-                step = 1 << 16
-                for block, first in enumerate(range(0, len(found), step)):
-                    part = found[first : first + step]
-                    yield pd.DataFrame({"block": block, "at": np.arange(len(part)), "pos": part["pos"].astype(np.int64), "junction_id": part["id"]})
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "block long, at long, pos long, junction_id long")
-    return decoded(rows)
+
+def write(positions: DataFrame, path: str) -> int:
+    """One file in the records' order, written by all tasks at their offsets; returns its bytes."""
+    return positional.write(with_separators(positions), ["seq_id", "at"], _records, path)
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options):
+        self.files, self.size = json.loads(options["files"]), int(options["range"])
+
+    def partitions(self) -> list[ranges.ByteRange]:
+        if any(length % RECORD.itemsize for _, length in self.files):
+            raise ValueError("a junction file has whole records")
+        found = ranges.split(self.files, self.size * RECORD.itemsize)
+        for n, part in enumerate(found):
+            part.number = n  # blocks are counted over all files
+        return found
+
+    def read(self, partition: ranges.ByteRange) -> Iterator[pa.RecordBatch]:
+        step, names = 0, ["block", "step", "pos", "junction_id"]
+        with ranges.opened(partition.path) as file:
+            file.seek(partition.first)
+            for at in range(partition.first, partition.end, BATCH * RECORD.itemsize):
+                found = np.frombuffer(file.read(min(BATCH * RECORD.itemsize, partition.end - at)), RECORD)
+                separator = (found["pos"] == SEPARATOR_POS) & (found["id"] == SEPARATOR_ID)
+                steps, kept = step + np.cumsum(separator), ~separator
+                step += int(separator.sum())
+                rows = [np.full(kept.sum(), partition.number), steps[kept], found["pos"][kept].astype(np.int64), found["id"][kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (partition.number, step, None, None)], names)
+
+
+class JunctionRanges(DataSource):
+    """block, step (separators up to the record in its block), pos and junction_id; without pos, a block's number of separators."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "junctura-junctions"
+
+    def schema(self) -> str:
+        return "block long, step long, pos long, junction_id long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options)
+
+
+def read(spark: SparkSession, *paths: str, range_records: int = RANGE) -> DataFrame:
+    """seq_id, pos and junction_id of a junction file; several files (or a folder's, by name) are one that goes on."""
+    spark.dataSource.register(JunctionRanges)
+    rows = spark.read.format(JunctionRanges.name()).option("files", json.dumps(ranges.files(spark, *paths))).option("range", str(range_records)).load()
+    counts = rows.where("pos is null").select(F.col("block").alias("_block"), F.col("step").alias("_n"))
+    placed = rows.where("pos is not null").join(starts(counts, "_block", "_n", "_start"), F.col("block") == F.col("_block"))
+    return placed.select((F.col("_start") + F.col("step")).cast("long").alias("seq_id"), "pos", "junction_id")
 
 
 def marks(positions: DataFrame, sequences: DataFrame) -> DataFrame:
     """seq_id, length and the sorted positions that are marked in each sequence (none: an empty array)."""
     found = positions.groupBy("seq_id").agg(F.sort_array(F.collect_set("pos")).alias("marks"))
     none = F.array().cast("array<long>")
-    return sequences.select("seq_id", "length").join(found, "seq_id", "left").select("seq_id", "length", F.coalesce("marks", none).alias("marks"))
+    own = sequences.where("start = 0") if "start" in sequences.columns else sequences
+    return own.select("seq_id", "length").join(found, "seq_id", "left").select("seq_id", "length", F.coalesce("marks", none).alias("marks"))

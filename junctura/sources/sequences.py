@@ -1,8 +1,8 @@
-"""Sequences from FASTA files or from any table with an id and a text."""
+"""Sequences from any table with an id and a text, and what is known of sequences besides their letters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions import dna
@@ -25,45 +25,6 @@ def from_documents(docs: DataFrame, variant: str = "clean") -> DataFrame:
     return rows.select("seq_id", F.concat(F.lit("doc"), F.col("seq_id").cast("string")).alias("header"), "seq", F.length("seq").cast("long").alias("length"))
 
 
-def fasta_records(text: Column) -> Column:
-    """The records of one FASTA text as an array of (header, seq).
-
-    A record opens with ">", its header is the first word of that line, and its bases go to the next ">", wherever
-    that is; white space is skipped, letters are upper-cased. Anything else than a valid letter, or text before the
-    first ">", is an error.
-    """
-    parts = F.split(text, ">")
-    bad = F.raise_error(F.lit("a FASTA record opens with '>'"))
-    head = F.when(F.get(parts, F.lit(0)).rlike(r"\S"), bad.cast("string")).otherwise(F.lit(""))
-    checked = F.when(head.isNotNull(), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
-
-    def record(part: Column) -> Column:
-        header = F.regexp_extract(part, r"^[^\S\n]*(\S*)", 1)
-        seq = dna.ascii_upper(F.regexp_replace(F.regexp_replace(part, r"^[^\n]*\n?", ""), r"\s+", ""))
-        wrong = F.raise_error(F.concat(F.lit("invalid letter in the record "), header)).cast("string")
-        return F.struct(header.alias("header"), F.when(dna.is_valid(seq), seq).otherwise(wrong).alias("seq"))
-
-    return F.transform(checked, record)
-
-
-def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
-    """seq_id, file, header, seq and length; seq_id counts the records in order of the paths and within each file.
-
-    A file is one row until it is split into records; an uncompressed file of many genomes is best split beforehand.
-    """
-    found = None
-    for n, path in enumerate(paths):
-        rows = spark.read.text(path, wholetext=True).select(F.lit(n).alias("n"), F.input_file_name().alias("file"), F.col("value"))
-        found = rows if found is None else found.unionByName(rows)
-    records = found.select("n", "file", F.posexplode(fasta_records(F.col("value"))).alias("record_no", "r"))
-    files = records.groupBy("n", "file").agg(F.count("*").alias("records"))
-    # One row per file, not per record.
-    before = Window.orderBy("n", "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("n", "file", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("first"))
-    joined = records.join(starts, ["n", "file"])
-    return joined.select((F.col("first") + F.col("record_no")).alias("seq_id"), F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "r.header", "r.seq", F.length("r.seq").cast("long").alias("length"))
-
-
 def to_fasta(sequences: DataFrame, width: int = 70) -> DataFrame:
     """seq_id and the record's text, wrapped."""
     body = F.regexp_replace("seq", f"(.{{{width}}})", "$1\n")
@@ -74,4 +35,6 @@ def metadata(sequences: DataFrame, prefix: bool = False, file: str = "documents"
     """seq_id, name (with `prefix` s<seq_id>_ before it), length and file."""
     name = F.concat(F.lit("s"), F.col("seq_id").cast("string"), F.lit("_"), F.col("header")) if prefix else F.col("header")
     own = F.col("file") if "file" in sequences.columns else F.lit(file)
+    if "start" in sequences.columns:
+        sequences = sequences.where("start = 0")
     return sequences.select("seq_id", name.alias("name"), "length", own.alias("file"))

@@ -27,8 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _temporary()).rstrip("/")
 
 
+_made: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; clean() deletes what was put there."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written and read again: what follows starts from files that survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this process has written to the shared folder; results that still read them can't be read again."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(conf).delete(at, True)

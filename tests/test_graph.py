@@ -1,5 +1,6 @@
 """The junction graph against a plain Python model, over seeded random genomes and edge cases."""
 
+import gzip
 import random
 from collections import Counter, defaultdict
 
@@ -7,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from junctura.functions import dna
-from junctura.operators import junctions, segments, windows
+from junctura.operators import junctions, neighbours, packed, ranking, segments, windows
+from junctura.plans import formats, writers
 from junctura.plans.graph import JunctionGraph
-from junctura.sources import junction_file, sequences
+from junctura.sources import fasta, junction_file
 
 PAIR = {"A": "T", "C": "G", "G": "C", "T": "A"}
 
@@ -114,7 +116,7 @@ def test_short_chunks_give_the_same_windows(spark):
 def test_paths_spell_their_sequences(spark):
     for seqs, k in ((genomes(7, gaps=0), 7), (genomes(9, gaps=0), 9)):
         graph = JunctionGraph(table(spark, seqs), k)
-        spelled = {r.seq_id: r.spelled for r in segments.respelled(graph.paths, graph.segments, k).collect()}
+        spelled = {r.seq_id: r.seq for r in fasta.whole(segments.respelled(graph.paths, graph.segments, k)).collect()}
         assert spelled == {i: s for i, s in enumerate(seqs) if len(s) > k}
         assert segments.overlaps(graph.links, graph.segments, k).first().violations == 0
         bodies = [r.body for r in graph.segments.collect()]
@@ -130,7 +132,7 @@ def test_reserved_segments_are_unique(spark):
 def test_formats(spark):
     seqs = ["ACGTACCATTGACGTAGG", "TTACCATTGACCA"]
     graph = JunctionGraph(table(spark, seqs), 5)
-    lines = lambda fmt, **x: [r.line for r in graph.lines(fmt, **x).orderBy("section", "seq_id", "pos", "n").collect()]
+    lines = lambda fmt, **x: [r.line for r in graph.lines(fmt, **x).orderBy(*writers.ORDER).collect()]
     one, two = lines("gfa1"), lines("gfa2", prefix=True)
     assert one[0] == "H\tVN:Z:1.0" and one[1] == "S\th0\t*\tUR:Z:documents" and two[0] == "H\tVN:Z:2.0"
     kinds = lambda x: Counter(line[0] for line in x)
@@ -146,46 +148,202 @@ def test_formats(spark):
         graph.lines("bam")
 
 
+def key(df):
+    return sorted(tuple(r) for r in df.select("seq_id", "pos", "junction_id").collect())
+
+
 def test_junction_file(spark, tmp_path):
     seqs = ["AC", *genomes(3)[:2], "G", "", genomes(3)[2]]
     placed = JunctionGraph(table(spark, seqs), 5).positions
-    path = str(tmp_path / "out.bin")
-    junction_file.write(placed, path)
-    back = junction_file.read(spark, path)
-    key = lambda df: sorted(tuple(r) for r in df.select("seq_id", "pos", "junction_id").collect())
-    assert key(back) == key(placed)
-    marked = {r.seq_id: r.marks for r in junction_file.marks(back, table(spark, seqs)).collect()}
+    path = tmp_path / "out.bin"
+    size = junction_file.write(placed, str(path))
+    expected, at = [], 0
+    for seq_id, pos, junction in key(placed):
+        expected += [(junction_file.SEPARATOR_POS, junction_file.SEPARATOR_ID)] * (seq_id - at) + [(pos, junction)]
+        at = seq_id
+    assert path.read_bytes() == b"".join(pos.to_bytes(4, "little") + junction.to_bytes(8, "little", signed=True) for pos, junction in expected) and size == 12 * len(expected)
+    assert [x.name for x in tmp_path.iterdir() if x.name.endswith(".part")] == []
+    for records in (1, 7, 1000):
+        assert key(junction_file.read(spark, str(path), range_records=records)) == key(placed)
+    marked = {r.seq_id: r.marks for r in junction_file.marks(junction_file.read(spark, str(path)), table(spark, seqs)).collect()}
     assert [marked[i] for i in range(len(seqs))] == model(seqs, 5)[1]
+    path.write_bytes(path.read_bytes()[:-1])
+    with pytest.raises(Exception, match="whole records"):
+        junction_file.read(spark, str(path)).collect()
+
+
+def test_empty_junction_file(spark, tmp_path):
+    path = str(tmp_path / "none.bin")
+    assert junction_file.write(JunctionGraph(table(spark, ["AC"]), 5).positions, path) == 0
+    assert junction_file.read(spark, path).count() == 0
 
 
 def test_fasta(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">one two\nacgt\nNNRY\n\n>two\nAC GT>three\r\nTT\r\n")
+    (tmp_path / "a.fa").write_text(">one two > three\nacgt\nNNRY\n\n>two\nAC GT>three\r\nTT\r\n")
     (tmp_path / "b.fa").write_text(">four\n")
-    got = sequences.read_fasta(spark, str(tmp_path / "a.fa"), str(tmp_path / "b.fa")).orderBy("seq_id").collect()
-    assert [(r.seq_id, r.file, r.header, r.seq) for r in got] == [(0, "a.fa", "one", "ACGTNNRY"), (1, "a.fa", "two", "ACGT"), (2, "a.fa", "three", "TT"), (3, "b.fa", "four", "")]
-    for bad in (">x\nAC1T\n", "ACGT\n>x\nA\n"):
-        (tmp_path / "bad.fa").write_text(bad)
-        with pytest.raises(Exception, match="(?s)invalid letter|opens with"):
-            sequences.read_fasta(spark, str(tmp_path / "bad.fa")).collect()
+    (tmp_path / "c.fa.gz").write_bytes(gzip.compress(b">five\nAC\nGT\n>\nTT"))
+    expected = [(0, "a.fa", "one", "ACGTNNRY"), (1, "a.fa", "two", "ACGT"), (2, "a.fa", "three", "TT"), (3, "b.fa", "four", ""), (4, "c.fa.gz", "five", "ACGT"), (5, "c.fa.gz", "", "TT")]
+    for size in (3, 1 << 20):
+        got = fasta.whole(fasta.read_fasta(spark, *(str(tmp_path / x) for x in ("a.fa", "b.fa", "c.fa.gz")), range_bytes=size)).orderBy("seq_id").collect()
+        assert [(r.seq_id, r.file, r.header, r.seq) for r in got] == expected and all(r.length == len(r.seq) for r in got)
+        for bad in (">x\nAC1T\n", "ACGT\n>x\nA\n"):
+            (tmp_path / "bad.fa").write_text(bad)
+            with pytest.raises(Exception, match="(?s)invalid letter|opens with"):
+                fasta.read_fasta(spark, str(tmp_path / "bad.fa"), range_bytes=size).collect()
+    with pytest.raises(FileNotFoundError):
+        fasta.read_fasta(spark, str(tmp_path / "none.fa"))
+
+
+def test_ranges_of_any_size_give_the_same_records(spark, tmp_path):
+    rng, records = random.Random(4), []
+    for i in range(12):
+        letters = "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 5, 60, 400])))
+        records.append((f"r{i}" + "x" * rng.randrange(30), letters))
+    text = "".join(f">{h} some > words {i}\n" + (s + "\n" if i % 3 else "\n".join(s[j : j + 17] for j in range(0, len(s), 17)) + ">mid\n" * (i == 6) + "\n") for i, (h, s) in enumerate(records))
+    (tmp_path / "a.fa").write_text(text)
+    records.insert(7, ("mid", ""))
+    for size in (1, 2, 3, 7, 16, 50, 333, 5000):
+        pieces = fasta.read_fasta(spark, str(tmp_path / "a.fa"), range_bytes=size).collect()
+        by_record = defaultdict(list)
+        for r in pieces:
+            by_record[r.seq_id].append((r.start, r.seq, r.length, r.header))
+        assert len(by_record) == len(records)
+        for n, (header, letters) in enumerate(records):
+            parts = sorted(by_record[n])
+            assert "".join(p[1] for p in parts) == letters and {p[2:] for p in parts} == {(len(letters), header)}
+            assert [p[0] for p in parts] == [sum(len(x[1]) for x in parts[:i]) for i in range(len(parts))]
+
+
+@pytest.mark.parametrize("line", [70, 0])
+def test_a_large_record_is_work_for_many_tasks(spark, tmp_path, line):
+    """A record on short lines, or on a single one: no row has more than a piece of it, no range all of it."""
+    letters = "".join(random.Random(1).choices("ACGT", k=3_000_000))
+    (tmp_path / "large.fa").write_text(">large\n" + ("\n".join(letters[i : i + line] for i in range(0, len(letters), line)) if line else letters) + "\n")
+    pieces = fasta.read_fasta(spark, str(tmp_path / "large.fa"), range_bytes=1 << 18).cache()
+    found = pieces.agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("most"), F.max("length").alias("length"), F.count_if(F.length("seq") == 0).alias("empty")).first()
+    assert found.n >= 46 and found.most <= fasta.PIECE and found.length == len(letters) and not found.empty
+    assert "".join(r.seq for r in pieces.orderBy("start").collect()) == letters
+    placed = JunctionGraph(pieces, 13).positions.groupBy().agg(F.count("*").alias("n"), F.sum("pos").alias("s")).first()
+    assert tuple(placed) == tuple(JunctionGraph(table(spark, [letters]), 13).positions.agg(F.count("*"), F.sum("pos")).first())
+
+
+def in_pieces(spark, seqs, size):
+    rows = [(i, f"h{i}", at, s[at : at + size], len(s)) for i, s in enumerate(seqs) for at in range(0, max(1, len(s)), size)]
+    return spark.createDataFrame(rows, "seq_id long, header string, start long, seq string, length long")
+
+
+@pytest.mark.parametrize(("size", "span"), [(7, 3), (50, 6)])
+def test_pieces_and_ranges_of_positions_change_nothing(spark, monkeypatch, size, span):
+    """All formats of sequences in short pieces, with windows over short ranges, tiles and runs, are those of whole ones."""
+    seqs = [*genomes(6, gaps=0.01), "ACGT", "", "ACGTACGTAAC", genomes(11, n=1, length=40, gaps=0)[0] * 30]
+    for k in (5, 11):
+        whole = JunctionGraph(table(spark, seqs), k)
+        expected = {fmt: text(whole, fmt) for fmt in writers.names()}
+        with monkeypatch.context() as m:
+            m.setattr(neighbours, "SPAN_BITS", span)
+            m.setattr(segments, "TILE", 32)
+            m.setattr(segments, "SHARED", 8)
+            m.setattr(windows, "CHUNK", 16)
+            m.setattr(formats, "RUN_BITS", 1)
+            parts = JunctionGraph(in_pieces(spark, seqs, size), k)
+            assert {fmt: text(parts, fmt) for fmt in writers.names()} == expected
+            assert parts.paths.count() > whole.paths.count()
+            gapless = [i for i, s in enumerate(seqs) if "N" not in s and len(s) > k]
+            spelled = segments.respelled(parts.paths, parts.segments, k)
+            assert spelled.agg(F.max(F.length("seq"))).first()[0] < 1200
+            assert {r.seq_id: r.seq for r in fasta.whole(spelled).collect() if r.seq_id in gapless} == {i: seqs[i] for i in gapless}
+
+
+def text(graph, fmt):
+    rows = graph.lines(fmt).orderBy(*writers.ORDER).collect()
+    return "".join(r.line if r.open else r.line + "\n" for r in rows)
+
+
+def test_ranks_of_equal_prefixes(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("AAAAAAAAAAAAAAAAAAAA"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("key"), "id")
+    found = ranking.ranked(rows, ["key"], "rank")
+    assert found.where("rank <> id + 1").count() == 0 and found.count() == 5000
+    counts = [r["count"] for r in ranking.ordered(rows, ["key"]).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) > 1 and max(counts) < 2 * sum(counts) / len(counts)
+
+
+@pytest.mark.parametrize("k", [1, 3, 11, 25, 31])
+def test_numbers_of_windows(spark, k):
+    seqs = [*genomes(k, gaps=0.01), "", "ACG", "A" * 60, "RYACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTK"]
+    own = table(spark, seqs)
+    graph = JunctionGraph(own, k)
+    strings = graph.occurrences.select("seq_id", "pos", dna.packed(F.col("ck")).alias("code"), "forward", *[dna.letter_code(F.col(c)).alias(c) for c in ("prev", "next")])
+    numbers = packed.occurrences(own, k).select("seq_id", "pos", "code", "forward", *[F.when(F.col(c) == packed.UNKNOWN, -1).otherwise(F.col(c)).cast("long").alias(c) for c in ("prev", "next")])
+    assert sorted(map(tuple, numbers.collect())) == sorted(map(tuple, strings.collect()))
+    assert sorted(map(tuple, graph.vertices.collect())) == sorted(map(tuple, junctions.vertices(graph.occurrences).collect()))
+
+
+def test_long_kmers_are_keyed_by_letters(spark):
+    seqs = genomes(4, gaps=0.001)
+    graph = JunctionGraph(table(spark, seqs), 33)
+    found, marks, _ = model(seqs, 33)
+    assert {r.ck for r in graph.junctions.collect()} == found
+    with pytest.raises(ValueError):
+        packed.occurrences(graph.sequences, 33)
+
+
+def test_what_is_counted_while_tables_are_written(spark):
+    seqs = genomes(5)
+    graph = JunctionGraph(table(spark, seqs), 5)
+    found, marks, count = model(seqs, 5)
+    assert graph.positions.count() == sum(map(len, marks))
+    real = sum(count[x] for x in found)
+    assert graph.counted == {"true_junctions": len(found), "false_junctions": len(count) - len(found), "table_size": len(count), "kmers": sum(count.values()), "marks": real, "positions": sum(map(len, marks))}
 
 
-def test_command_line(spark, tmp_path):
+def test_a_format_can_be_added(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "_FORMATS", dict(writers._FORMATS))
+
+    @writers.register
+    class Bed(writers.Format):
+        name = "bed"
+
+        def lines(self, graph, prefix=False):
+            rows = graph.positions.select("seq_id", "pos", F.concat_ws("\t", "seq_id", "pos", F.col("pos") + graph.k).alias("line"))
+            return writers.part(rows, 1)
+
+    graph = JunctionGraph(table(spark, genomes(1)), 5)
+    assert graph.write("bed", str(tmp_path / "x.bed")) == (tmp_path / "x.bed").stat().st_size
+    assert (tmp_path / "x.bed").read_text() == "".join(f"{i}\t{p}\t{p + 5}\n" for i, found in enumerate(model(genomes(1), 5)[1]) for p in found)
+    with pytest.raises(ValueError):
+        writers.register(type("Nameless", (writers.Format,), {}))
+
+
+def test_ids_are_bounded(spark):
+    rows = spark.createDataFrame([(1, segments.MOST_ID - 1), (2, segments.MOST_ID)], "n int, id long")
+    number = segments.segment_number(F.col("id"), F.lit(3).cast("long"), F.lit("A"), F.lit("C"))
+    assert rows.where("n = 1").select(number).first()[0] is not None
+    with pytest.raises(Exception, match="too large"):
+        rows.select(number).collect()
+
+
+def test_command_line(spark, tmp_path, capsys, caplog):
     from junctura import cli
 
-    fasta, binary = tmp_path / "g.fa", tmp_path / "g.bin"
-    fasta.write_text("".join(f">s{i}\n{s}\n" for i, s in enumerate(genomes(4, gaps=0))))
-    cli.main(["build", "-k", "7", "-f", "20", "-o", str(binary), str(fasta)])
-    direct = JunctionGraph(sequences.read_fasta(spark, str(fasta)), 7)
+    genome, binary = tmp_path / "g.fa", tmp_path / "g.bin"
+    genome.write_text("".join(f">s{i}\n{s}\n" for i, s in enumerate(genomes(4, gaps=0))))
+    with caplog.at_level("INFO", "junctura"):
+        cli.main(["build", "-k", "7", "-f", "20", "-o", str(binary), str(genome)])
+    assert "junctions among" in caplog.text and f"{binary.stat().st_size} bytes" in caplog.text
+    direct = JunctionGraph(fasta.read_fasta(spark, str(genome)), 7)
     for fmt in ("seq", "gfa1", "group"):
-        extra = ["-s", str(fasta)] if fmt == "gfa1" else []
+        extra = ["-s", str(genome)] if fmt == "gfa1" else []
         cli.main(["dump", "-k", "7", "-f", fmt, *extra, "-o", str(tmp_path / fmt), str(binary)])
-        text = [line for p in sorted((tmp_path / fmt).glob("part-*")) for line in p.read_text().splitlines()]
-        expected = [r.line for r in direct.lines(fmt).orderBy("section", "seq_id", "pos", "n").collect()]
-        assert text == [x.replace("UR:Z:documents", "UR:Z:g.fa") for x in expected]
+        assert (tmp_path / fmt).read_text() == text(direct, fmt)
+    capsys.readouterr()
+    cli.main(["dump", "-k", "7", "-f", "seq", str(binary)])
+    assert capsys.readouterr().out == (tmp_path / "seq").read_text()
     with pytest.raises(SystemExit):
-        cli.main(["build", "-k", "4", str(fasta)])
+        cli.main(["build", "-k", "4", str(genome)])
     with pytest.raises(SystemExit):
         cli.main(["dump", "-k", "7", "-f", "gfa2", "-o", "x", str(binary)])
+    with pytest.raises(SystemExit):
+        cli.main(["dump", "-k", "7", "-f", "bam", str(binary)])
 
 
 def test_functions(spark):
