@@ -1,4 +1,4 @@
-"""Command line: `build` finds the junctions of genomes, `dump` writes a graph as text."""
+"""Command line: `build` finds the junctions of genomes, `dump` writes a graph as text, `spell` genomes from a GFA file."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from junctura.plans import writers
 from junctura.plans.graph import JunctionGraph
-from junctura.sources import junction_file
+from junctura.sources import gfa, junction_file, positional
 from junctura.sources.fasta import read_fasta
 
 log = logging.getLogger("junctura")
@@ -42,6 +42,9 @@ def parser() -> argparse.ArgumentParser:
     dump.add_argument("--prefix", action="store_true")
     dump.add_argument("-o", "--outfile", help="the file to write (standard output if it is not given)")
     dump.add_argument("infile")
+    spell = sub.add_parser("spell", help="write the sequences of a GFA file's paths as FASTA, after a check of its links")
+    spell.add_argument("-o", "--outfile", required=True)
+    spell.add_argument("infile")
     return top
 
 
@@ -73,11 +76,20 @@ def dump(spark: SparkSession, given: argparse.Namespace) -> None:
         sys.stdout.write(row.line if row.open else row.line + "\n")
 
 
+def spell(spark: SparkSession, given: argparse.Namespace) -> None:
+    graph = gfa.read(spark, given.infile)
+    found = gfa.overlaps(graph).first()
+    if found.violations:
+        raise SystemExit(f"{found.violations} of {found.links} links join segments that differ in their overlap")
+    size = positional.write(gfa.fasta_lines(gfa.spelled(graph)), writers.ORDER, positional.text_lines, given.outfile)
+    log.info("%d links, %d bytes", found.links, size)
+
+
 def main(args: list[str] | None = None) -> None:
     given = parser().parse_args(args)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
     spark = SparkSession.builder.appName("junctura").getOrCreate()
-    {"build": build, "dump": dump}[given.command](spark, given)
+    {"build": build, "dump": dump, "spell": spell}[given.command](spark, given)
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ from junctura.functions import dna
 from junctura.operators import junctions, neighbours, packed, ranking, segments, windows
 from junctura.plans import formats, writers
 from junctura.plans.graph import JunctionGraph
-from junctura.sources import fasta, junction_file
+from junctura.sources import fasta, gfa, junction_file
 
 PAIR = {"A": "T", "C": "G", "G": "C", "T": "A"}
 
@@ -259,6 +259,35 @@ def text(graph, fmt):
     return "".join(r.line if r.open else r.line + "\n" for r in rows)
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_gfa_files_are_read_back(spark, tmp_path, version):
+    from junctura import cli
+
+    seqs = [*genomes(7, gaps=0), "ACGTACGTAACCAGT", genomes(3, n=1, gaps=0)[0]]
+    graph, path = JunctionGraph(table(spark, seqs), 7), tmp_path / "x.gfa"
+    graph.write(f"gfa{version}", str(path), prefix=True)
+    back = gfa.read(spark, str(path))
+    assert (back.version, back.k) == (version, 7) and back.segments.count() == graph.segments.count()
+    links = graph.links.count()
+    assert tuple(gfa.overlaps(back).first()) == (links, 0)
+    assert {r.header: r.seq for r in fasta.whole(gfa.spelled(back)).collect()} == {f"s{i}_h{i}": s for i, s in enumerate(seqs)}
+    cli.main(["spell", "-o", str(tmp_path / "x.fa"), str(path)])
+    again = {r.header: r.seq for r in fasta.whole(fasta.read_fasta(spark, str(tmp_path / "x.fa"))).collect()}
+    assert again == {f"s{i}_h{i}": s for i, s in enumerate(seqs)}
+    # A changed letter at either end of a body: one of them is shared by a link.
+    lines = path.read_text().split("\n")
+    n = next(i for i, x in enumerate(lines) if x.startswith("S\t") and "*" not in x)
+    head, _, body = lines[n].rpartition("\t")
+    lines[n] = f"{head}\t{PAIR[body[0]]}{body[1:-1]}{PAIR[body[-1]]}"
+    path.write_text("\n".join(lines))
+    assert gfa.overlaps(gfa.read(spark, str(path))).first().violations > 0
+    with pytest.raises(SystemExit, match="differ"):
+        cli.main(["spell", "-o", str(tmp_path / "y.fa"), str(path)])
+    path.write_text("\n".join([*lines, lines[n]]))
+    with pytest.raises(Exception, match="twice"):
+        gfa.read(spark, str(path)).segments.collect()
+
+
 def test_ranks_of_equal_prefixes(spark):
     rows = spark.range(5000).select(F.concat(F.lit("AAAAAAAAAAAAAAAAAAAA"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("key"), "id")
     found = ranking.ranked(rows, ["key"], "rank")
