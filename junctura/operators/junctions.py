@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from junctura.functions import dna
 from junctura.operators import windows
 from junctura.operators.ranking import ranked
+from junctura.storage import written
 
 #: The first id of a terminal that is no junction lies this far above the number of junctions.
 STUB_OFFSET = 42
@@ -87,7 +88,8 @@ def positions(occurrences: DataFrame, terminals: DataFrame, known: DataFrame) ->
         real = signed(occurrences, bounded(known.select("ck", "id"))).select(*columns)
     total = known.agg(F.count("*")).scalar()
     ends = signed(windows.canonical(terminals), known.select("ck", "id"), "left").where("junction_id is null").drop("junction_id")
-    stubs = ranked(ends, ["seq_id", "pos"], "rank", STUB_OFFSET)
+    # Written, since bounds of ranges are sampled: the sequences' ends are found once.
+    stubs = ranked(written(ends, "ends"), ["seq_id", "pos"], "rank", STUB_OFFSET)
     return real.unionByName(stubs.withColumn("junction_id", F.col("rank") + total).select(*columns))
 
 

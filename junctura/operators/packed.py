@@ -1,10 +1,17 @@
 """k-mers as numbers: two bits a letter, computed for a whole chunk at once by shifts, so that keys of joins and aggregations are 8 bytes.
 
 A number's order is that of the letters (the first letter is the most significant). For up to MOST letters.
+
+k-mers that follow each other share k - 1 letters, and mostly their minimizer, too: the M-mer of them (of either strand) with the smallest
+hash. So from LEAST letters on, k-mers are not shuffled one by one: runs with one minimizer go to the partition that
+its hash names, as letters (compressed, and equal runs of a slice once, with their number), and are cut into k-mers and aggregated there. Equal
+k-mers have equal minimizers, so each partition has all of its k-mers. It holds its different k-mers' states alone, some 40 bytes each.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +23,10 @@ from junctura.functions import dna
 from junctura.operators import windows
 
 MOST = 31
+#: Letters of a minimizer, and of the shortest k-mer that is shuffled by it.
+M, LEAST = 11, 17
+#: k-mers whose states a partition merges at a time.
+MERGED = 1 << 21
 #: Chunks that a task packs at a time.
 SLICE = 1024
 #: Number of an indefinite letter.
@@ -42,42 +53,122 @@ def rolled(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return forward, back
 
 
-def _windows(batch: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
-    """Row, place, code, forward, prev and next of all definite windows of a slice of chunks."""
-    text = batch.column("letters")
-    offsets = np.frombuffer(text.buffers()[1], np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-    numbers = _NUMBERS[np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]] if len(text) else np.zeros(0, np.uint8)
-    bounds = offsets - offsets[0]
+def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string column's bytes, and where each row begins in them."""
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if not len(column) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _windows(letters: np.ndarray, bounds: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """Row, place in it, code, forward, prev and next of all definite windows of texts; a window has a letter before and after it in its text."""
+    numbers = _NUMBERS[letters]
     if len(numbers) < k + 2:
-        return {x: np.zeros(0, np.int64) for x in ("row", "at", "code", "forward", "prev", "next")}
+        return {x: np.zeros(0, np.int64) for x in ("row", "at", "place", "code", "forward", "prev", "next")}
     forward, back = rolled(np.where(numbers < UNKNOWN, numbers, 0), k)
     unknown = np.concatenate(([0], np.cumsum(numbers == UNKNOWN)))
     definite = unknown[k:] == unknown[:-k]
-    # A window has a letter before and after it in its chunk.
     counts = np.maximum(np.diff(bounds) - (k + 1), 0)
     row = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     place = bounds[row] + at + 1
     chosen = definite[place]
     row, at, place = row[chosen], at[chosen], place[chosen]
-    return {"row": row, "at": at, "code": np.minimum(forward[place], back[place]), "forward": forward[place] < back[place], "prev": numbers[place - 1], "next": numbers[place + k]}
+    return {"row": row, "at": at, "place": place, "code": np.minimum(forward[place], back[place]), "forward": forward[place] < back[place], "prev": numbers[place - 1], "next": numbers[place + k]}
 
 
 def _slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
     for batch in batches:
         for first in range(0, batch.num_rows, SLICE):
             part = batch.slice(first, SLICE)
-            yield part, _windows(part, k)
+            yield part, _windows(*_text(part.column("letters")), k)
+
+
+def _bits(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The letters before and after each canonical k-mer, as sets of one of five each."""
+    other = np.array([3, 2, 1, 0, UNKNOWN])
+    cin = np.where(w["forward"], w["prev"], other[w["next"]])
+    cout = np.where(w["forward"], w["next"], other[w["prev"]])
+    return 1 << cin.astype(np.int32) | 32 << cout.astype(np.int32)
 
 
 def _sides(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = np.array([3, 2, 1, 0, UNKNOWN])
         for _, w in _slices(batches, k):
-            cin = np.where(w["forward"], w["prev"], other[w["next"]])
-            cout = np.where(w["forward"], w["next"], other[w["prev"]])
-            bits = 1 << cin.astype(np.int32) | 32 << cout.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(w["code"], pa.int64()), pa.array(bits, pa.int32())], ["code", "sides"])
+            yield pa.RecordBatch.from_arrays([pa.array(w["code"], pa.int64()), pa.array(_bits(w), pa.int32())], ["code", "sides"])
+
+    return run
+
+
+def minimizers(letters: np.ndarray, k: int) -> np.ndarray:
+    """For each window of k letters the smallest hash of its M-mers, which is that of its reverse complement, too."""
+    numbers = _NUMBERS[letters]
+    least = np.minimum(*rolled(np.where(numbers < UNKNOWN, numbers, 0), M)).astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values: a mix of 64 bits
+        least = (least ^ (least >> np.uint64(shift))) * np.uint64(factor)
+    least, have, width = least ^ (least >> np.uint64(31)), 1, k - M + 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least
+
+
+def _runs(k: int, parts: int):
+    """part and runs: lines of a number and of the letters of a run of k-mers of one minimizer, with the letters around."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                letters, bounds = _text(batch.slice(first, SLICE).column("letters"))
+                place = _windows(letters, bounds, k)["place"]
+                if not len(place):
+                    continue
+                least = minimizers(letters, k)[place]
+                new = np.flatnonzero((np.diff(place, prepend=-1) != 1) | (np.diff(least, prepend=~least[:1]) != 0))
+                ends = np.append(new[1:], len(place)) - 1
+                raw = letters.tobytes()
+                texts = map(raw.__getitem__, map(slice, (place[new] - 1).tolist(), (place[ends] + k + 1).tolist()))
+                found = defaultdict(list)
+                for (part, text), n in Counter(zip((least[new] % np.uint64(parts)).tolist(), texts, strict=True)).items():
+                    found[part].append(b"%d %s" % (n, text))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([zlib.compress(b"\n".join(x), 1) for x in found.values()], pa.binary())], ["part", "runs"])
+
+    return run
+
+
+_STATE = ("code", "n", "sets", "in_n", "out_n")
+
+
+def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """States by code: counts are added up, sets united."""
+    code, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    new = np.flatnonzero(np.diff(code, prepend=~code[:1]))
+    return [code[new], *[(np.bitwise_or if name == "sets" else np.add).reduceat(x[order], new) for name, x in zip(_STATE[1:], rest, strict=True)]]
+
+
+def _aggregated(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for runs in batch.column("runs"):
+                lines = [line.partition(b" ") for line in zlib.decompress(runs.as_py()).split(b"\n")]
+                texts = [text for _, _, text in lines]
+                w = _windows(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts]))), k)
+                n, sets = np.array([int(n) for n, _, _ in lines])[w["row"]], _bits(w).astype(np.int64)
+                held.append([w["code"], n, sets, n * (sets >> UNKNOWN & 1), n * (sets >> 5 + UNKNOWN & 1)])
+                size += len(n)
+                if size >= MERGED:
+                    held = [_merged(held)]
+                    size = len(held[0][0]) // 2  # so that merging stays in proportion to what comes
+        if held:
+            state = _merged(held)
+            for first in range(0, len(state[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[first : first + (1 << 16)], pa.int64()) for x in state], list(_STATE))
 
     return run
 
@@ -99,15 +190,21 @@ def _chunks(sequences: DataFrame, k: int) -> DataFrame:
     return windows.chunks(sequences, windows.CHUNK + k + 1, k + 1, least=k).select("seq_id", "start", "letters")
 
 
+def _states(sequences: DataFrame, k: int) -> DataFrame:
+    """code, n, sets (letters before and after, and whether an unknown one was there), in_n and out_n (the unknown ones) of each canonical k-mer."""
+    rows = _chunks(sequences, k)
+    if k >= LEAST:
+        parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.mapInArrow(_runs(k, parts), "part int, runs binary").repartitionById(parts, "part").mapInArrow(_aggregated(k), "code long, n long, sets long, in_n long, out_n long")
+    unknown = lambda shift: F.sum(F.shiftright("sides", shift).bitwiseAND(F.lit(1)))
+    sides = rows.mapInArrow(_sides(k), "code long, sides int")
+    return sides.groupBy("code").agg(F.count("*").alias("n"), F.bit_or("sides").alias("sets"), unknown(UNKNOWN).alias("in_n"), unknown(5 + UNKNOWN).alias("out_n"))
+
+
 def degrees(sequences: DataFrame, k: int) -> DataFrame:
     """code, n, in_degree and out_degree of each canonical k-mer; see operators.junctions.degrees()."""
-    rows = _chunks(sequences, k).mapInArrow(_sides(k), "code long, sides int")
-    state = rows.groupBy("code").agg(
-        F.count("*").alias("n"), F.bit_or("sides").alias("sets"),
-        F.sum(F.shiftright("sides", UNKNOWN).bitwiseAND(F.lit(1))).alias("in_n"), F.sum(F.shiftright("sides", 5 + UNKNOWN).bitwiseAND(F.lit(1))).alias("out_n"),
-    )
     degree = lambda shift, n: (F.bit_count(F.shiftright("sets", shift).bitwiseAND(F.lit(15))) + F.col(n)).cast("long")
-    return state.select("code", "n", degree(0, "in_n").alias("in_degree"), degree(5, "out_n").alias("out_degree"))
+    return _states(sequences, k).select("code", "n", degree(0, "in_n").alias("in_degree"), degree(5, "out_n").alias("out_degree"))
 
 
 def named(vertices: DataFrame, k: int) -> DataFrame:

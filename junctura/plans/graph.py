@@ -24,8 +24,16 @@ class JunctionGraph:
 
     def __init__(self, sequences: DataFrame, k: int = 25, abundance: int | None = None, placed: DataFrame | None = None):
         windows.check_k(k)
-        self.sequences, self.k, self.abundance, self._placed = sequences, k, abundance, placed
-        self.definite = sequences.withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N"))
+        self.sequences, self.k, self.abundance, self._placed, self._kept = sequences, k, abundance, placed, False
+
+    def _keep(self) -> None:
+        """Writes the sequences, before the first of several passes over them: what they are made of is not read again."""
+        if not self._kept:
+            self.sequences, self._kept = written(self.sequences, "sequences"), True
+
+    @property
+    def definite(self) -> DataFrame:
+        return self.sequences.withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N"))
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -75,6 +83,7 @@ class JunctionGraph:
 
     @cached_property
     def positions(self) -> DataFrame:
+        self._keep()
         if self._placed is None:
             found = junctions.positions(self.codes if self.k <= packed.MOST else self.occurrences, windows.terminals(self.definite, self.k), self.junctions)
         else:

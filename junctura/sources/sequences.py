@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from junctura.functions import dna
 
-#: What becomes of a text's letters; N marks what is indefinite.
+#: The letters of a text that stay (in either case), and what of them becomes N, which marks what is indefinite.
 VARIANTS = {
-    "clean": ("[^ACGT]", "", ""),
-    "gapped": ("[^ACGTKXY]", "KXY", "NNN"),
-    "iupac": (f"[^{dna.VALID}]", "URYKMSWBDHXV", "N" * 12),
+    "clean": ("ACGT", ""),
+    "gapped": ("ACGTKXY", "KXY"),
+    "iupac": (dna.VALID, "URYKMSWBDHXV"),
 }
 
 
 def from_documents(docs: DataFrame, variant: str = "clean") -> DataFrame:
     """seq_id, header, seq and length of each document, under one of VARIANTS."""
-    drop, letters, to = VARIANTS[variant]
-    seq = F.regexp_replace(dna.ascii_upper(F.coalesce("text", F.lit(""))), drop, "")
+    kept, letters = VARIANTS[variant]
+    # What is dropped goes first: upper() then sees ASCII letters alone.
+    seq = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), f"[^{kept}{kept.lower()}]+", ""))
     if letters:
-        seq = F.translate(seq, letters, to)
+        seq = F.translate(seq, letters, "N" * len(letters))
     rows = docs.select(F.col("doc_id").cast("long").alias("seq_id"), seq.alias("seq"))
     return rows.select("seq_id", F.concat(F.lit("doc"), F.col("seq_id").cast("string")).alias("header"), "seq", F.length("seq").cast("long").alias("length"))
 
