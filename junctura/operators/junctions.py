@@ -114,6 +114,14 @@ def edge_degrees(sequences: DataFrame, occurrences: DataFrame, k: int) -> DataFr
     return vertex.join(found, "ck", "left").select("ck", F.coalesce("in_edges", F.lit(0)).alias("in_edges"), F.coalesce("out_edges", F.lit(0)).alias("out_edges"))
 
 
+def by_extended_kmers(occurrences: DataFrame) -> DataFrame:
+    """The vertices by another way: distinct k-mers with the letters on both sides, (k + 2)-mers, are counted first, and then what each k-mer has of them."""
+    extended = occurrences.groupBy("ck", "cin", "cout").agg(F.count("*").alias("n"))
+    known = lambda c: F.count_distinct(F.when(F.col(c) != "N", F.col(c)))
+    unknown = lambda c: F.sum(F.when(F.col(c) == "N", F.col("n")).otherwise(0))
+    return extended.groupBy("ck").agg(F.sum("n").alias("n"), (known("cin") + unknown("cin")).cast("long").alias("in_degree"), (known("cout") + unknown("cout")).cast("long").alias("out_degree"))
+
+
 def both_strands(occurrences: DataFrame) -> DataFrame:
     """Junctions by a plainer rule: each strand's k-mers with the distinct letters (and all N) on their sides."""
     strands = F.array(

@@ -219,5 +219,9 @@ def q37_packing(spark, sf_dir):
     return found.select("ck", number.alias("packed"), dna.packed_backwards(F.col("ck")).alias("packed_backwards"), dna.unpacked(number, 11).alias("unpacked"))
 
 
+def q38_extended_kmers(spark, sf_dir):
+    return junctions.by_extended_kmers(_graph(spark, sf_dir, "gapped").occurrences).where(junctions.is_junction())
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
 ORACLE_SQL = oracle.statements(CHUNK_LETTERS, LOOKED_UP, BINS, ROUNDS, ABUNDANCE)

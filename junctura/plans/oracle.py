@@ -174,6 +174,10 @@ SELECT kmer, in_degree, out_degree FROM d WHERE in_degree > 1 OR out_degree > 1"
         "q34_reserved_segments": upto("pieces", "gapped") + 'SELECT seq_id, "begin", "end", b, e, segment_id FROM pieces WHERE segment_id >= 17179869184',
         "q35_reverse_complement": upto("seqs") + f"SELECT seq_id, md5({rc_seq}) AS rc_md5, seq < {rc_seq} AS less FROM seqs",
         "q36_canonical": upto("wins") + "SELECT seq_id, pos, ck, forward, cin, cout FROM occ",
+        "q38_extended_kmers": upto("wins", "gapped") + """, extended AS (SELECT ck, cin, cout, count(*) AS n FROM occ GROUP BY ALL), d AS (
+  SELECT ck, sum(n)::BIGINT AS n, (count(DISTINCT cin) FILTER (cin <> 'N') + coalesce(sum(n) FILTER (cin = 'N'), 0))::BIGINT AS in_degree,
+    (count(DISTINCT cout) FILTER (cout <> 'N') + coalesce(sum(n) FILTER (cout = 'N'), 0))::BIGINT AS out_degree FROM extended GROUP BY ck
+) SELECT * FROM d WHERE in_degree > 1 OR out_degree > 1""",
         "q37_packing": upto("verts") + f"""SELECT ck, list_sum([({code} << (2 * (10 - i))::BIGINT) FOR i IN range(0, 11)])::BIGINT AS packed,
   list_sum([({code} << (2 * i)::BIGINT) FOR i IN range(0, 11)])::BIGINT AS packed_backwards, ck AS unpacked FROM verts""",
     }

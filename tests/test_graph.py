@@ -93,6 +93,31 @@ def test_junctions_and_positions(spark, seqs, k):
     assert got == marks and stubs == list(range(len(found) + 42, len(found) + 42 + len(stubs)))
 
 
+@pytest.mark.parametrize("k", [3, 9])
+def test_large_random_genomes(spark, k):
+    """Six genomes of some 9,000 letters, unknown ones among them, of which five are changed copies of the first."""
+    rng = random.Random(k)
+    seqs = ["".join("N" if rng.random() < 1 / 500 else rng.choice("ACGT") for _ in range(9000))]
+    for _ in range(5):
+        copy = []
+        for c in seqs[0]:
+            if rng.random() >= 0.05:
+                copy.append(c)
+            elif rng.random() < 0.1:
+                copy.append(rng.choice("ACGT"))
+            elif rng.random() < 0.5:
+                copy += [c, rng.choice("ACGT")]
+        seqs.append("".join(copy))
+    graph = JunctionGraph(table(spark, seqs), k)
+    found, marks, _ = model(seqs, k)
+    placed = defaultdict(list)
+    for r in graph.positions.collect():
+        placed[r.seq_id].append(r.pos)
+    assert {r.ck for r in graph.junctions.collect()} == found and [sorted(placed[i]) for i in range(6)] == marks
+    again = junctions.by_extended_kmers(graph.occurrences).where(junctions.is_junction())
+    assert {r.ck for r in again.collect()} == found
+
+
 def test_strands_and_order_do_not_matter(spark):
     seqs = genomes(8)
     keys = {r.ck for r in JunctionGraph(table(spark, seqs), 7).junctions.collect()}
