@@ -16,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from junctura.functions import dna
 from junctura.operators import windows
+from junctura.storage import written
 
 MOST = 31
 #: Letters of a minimizer, and of the shortest k-mer that is shuffled by it.
 M, LEAST = 11, 17
+#: A prime larger than any number of bins, and a factor that deals small numbers over all of them.
+PRIME, SPREAD = 1_000_003, 48_271
 #: k-mers whose states a partition merges at a time.
 MERGED = 1 << 21
 #: Chunks that a task packs at a time.
@@ -190,15 +193,57 @@ def _chunks(sequences: DataFrame, k: int) -> DataFrame:
     return windows.chunks(sequences, windows.CHUNK + k + 1, k + 1, least=k).select("seq_id", "start", "letters")
 
 
+def _by_letters(sides: DataFrame) -> DataFrame:
+    unknown = lambda shift: F.sum(F.shiftright("sides", shift).bitwiseAND(F.lit(1)))
+    return sides.groupBy("code").agg(F.count("*").alias("n"), F.bit_or("sides").alias("sets"), unknown(UNKNOWN).alias("in_n"), unknown(5 + UNKNOWN).alias("out_n"))
+
+
 def _states(sequences: DataFrame, k: int) -> DataFrame:
     """code, n, sets (letters before and after, and whether an unknown one was there), in_n and out_n (the unknown ones) of each canonical k-mer."""
     rows = _chunks(sequences, k)
     if k >= LEAST:
         parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return rows.mapInArrow(_runs(k, parts), "part int, runs binary").repartitionById(parts, "part").mapInArrow(_aggregated(k), "code long, n long, sets long, in_n long, out_n long")
-    unknown = lambda shift: F.sum(F.shiftright("sides", shift).bitwiseAND(F.lit(1)))
-    sides = rows.mapInArrow(_sides(k), "code long, sides int")
-    return sides.groupBy("code").agg(F.count("*").alias("n"), F.bit_or("sides").alias("sets"), unknown(UNKNOWN).alias("in_n"), unknown(5 + UNKNOWN).alias("out_n"))
+    return _by_letters(rows.mapInArrow(_sides(k), "code long, sides int"))
+
+
+def _degrees(states: DataFrame) -> DataFrame:
+    degree = lambda shift, n: (F.bit_count(F.shiftright("sets", shift).bitwiseAND(F.lit(15))) + F.col(n)).cast("long")
+    return states.select("code", "n", degree(0, "in_n").alias("in_degree"), degree(5, "out_n").alias("out_degree"))
+
+
+def degrees(sequences: DataFrame, k: int) -> DataFrame:
+    """code, n, in_degree and out_degree of each canonical k-mer; see operators.junctions.degrees()."""
+    return _degrees(_states(sequences, k))
+
+
+def hash_bin(code: Column, bins: int) -> Column:
+    """One of `bins` bins by remainders of a prime: cheap, and the same in other engines."""
+    return F.call_function("div", (code % PRIME * SPREAD % PRIME) * bins, F.lit(PRIME))
+
+
+def degrees_in_rounds(sequences: DataFrame, k: int, bins: int, n_rounds: int) -> tuple[DataFrame, list[int]]:
+    """degrees() with `round`, and the number of vertices of each round: an aggregation per round, of which only one is under way at a time.
+
+    A round has a range of bins, about as many occurrences as any other; occurrences are counted by bin first, and each round
+    reads the sequences again and aggregates what falls into its range. So a round's state is that of a share of the
+    keys, at the price of reading more often: for clusters whose disks can't hold the shuffle of all.
+    """
+    sides = _chunks(sequences, k).mapInArrow(_sides(k), "code long, sides int").withColumn("bin", hash_bin(F.col("code"), bins))
+    counts = sides.groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").collect()  # `bins` rows at most
+    total, before, bounds = sum(r["n"] for r in counts), 0, {}
+    for r in counts:
+        low, _ = bounds.setdefault(before * n_rounds // total, (r["bin"], 0))
+        bounds[before * n_rounds // total] = (low, r["bin"])
+        before += r["n"]
+    found, sizes = None, []
+    for n, (low, high) in sorted(bounds.items()):
+        seen = Observation()
+        own = _degrees(_by_letters(sides.where(F.col("bin").between(low, high)))).observe(seen, F.count(F.lit(1)).alias("n"))
+        part = written(own.withColumn("round", F.lit(n).cast("long")), f"round{n}")
+        sizes.append(seen.get["n"])
+        found = part if found is None else found.unionByName(part)
+    return (found if found is not None else degrees(sequences, k).withColumn("round", F.lit(0).cast("long"))), sizes
 
 
 def degrees(sequences: DataFrame, k: int) -> DataFrame:

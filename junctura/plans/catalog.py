@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.functions import dna
-from junctura.operators import junctions, segments, windows
+from junctura.operators import junctions, packed, segments, windows
 from junctura.plans import formats, oracle
 from junctura.plans.graph import JunctionGraph
 from junctura.sources import fasta, junction_file, sequences
@@ -223,5 +223,11 @@ def q38_extended_kmers(spark, sf_dir):
     return junctions.by_extended_kmers(_graph(spark, sf_dir, "gapped").occurrences).where(junctions.is_junction())
 
 
+def q39_bounded_rounds(spark, sf_dir):
+    """Junctions by an aggregation for each round of hash ranges, chosen by counts of occurrences before."""
+    found, _ = packed.degrees_in_rounds(written(_seqs(spark, sf_dir, "clean"), "sequences"), 11, BINS, ROUNDS)
+    return packed.named(found, 11).where(junctions.is_junction())
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
 ORACLE_SQL = oracle.statements(CHUNK_LETTERS, LOOKED_UP, BINS, ROUNDS, ABUNDANCE)

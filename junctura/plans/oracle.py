@@ -178,6 +178,11 @@ SELECT kmer, in_degree, out_degree FROM d WHERE in_degree > 1 OR out_degree > 1"
   SELECT ck, sum(n)::BIGINT AS n, (count(DISTINCT cin) FILTER (cin <> 'N') + coalesce(sum(n) FILTER (cin = 'N'), 0))::BIGINT AS in_degree,
     (count(DISTINCT cout) FILTER (cout <> 'N') + coalesce(sum(n) FILTER (cout = 'N'), 0))::BIGINT AS out_degree FROM extended GROUP BY ck
 ) SELECT * FROM d WHERE in_degree > 1 OR out_degree > 1""",
+        "q39_bounded_rounds": upto("verts") + f""", h AS (
+  SELECT *, list_sum([({code} << (2 * (10 - i))::BIGINT) FOR i IN range(0, 11)])::BIGINT % 1000003 * 48271 % 1000003 * {bins} // 1000003 AS bin FROM verts
+), c AS (
+  SELECT bin, coalesce(sum(sum(n)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, (sum(sum(n)) OVER ())::BIGINT AS total FROM h GROUP BY bin
+) SELECT ck, n, in_degree, out_degree, (before * {n_rounds} // total)::BIGINT AS round FROM h JOIN c USING (bin) WHERE in_degree > 1 OR out_degree > 1""",
         "q37_packing": upto("verts") + f"""SELECT ck, list_sum([({code} << (2 * (10 - i))::BIGINT) FOR i IN range(0, 11)])::BIGINT AS packed,
   list_sum([({code} << (2 * i)::BIGINT) FOR i IN range(0, 11)])::BIGINT AS packed_backwards, ck AS unpacked FROM verts""",
     }

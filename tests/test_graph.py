@@ -341,6 +341,15 @@ def test_runs_of_a_minimizer_count_each_kmer_once(spark, monkeypatch, merged):
     assert (packed.minimizers(letters, 25) == packed.minimizers(other, 25)[::-1]).all()
 
 
+def test_rounds_bound_what_is_aggregated_at_a_time(spark):
+    own = table(spark, genomes(5, length=3000))
+    found, sizes = packed.degrees_in_rounds(own, 7, 64, 4)
+    whole = sorted(map(tuple, packed.degrees(own, 7).collect()))
+    assert sorted(tuple(r)[:4] for r in found.collect()) == whole
+    assert sum(sizes) == len(whole) and len(sizes) == 4 and max(sizes) < 1.5 * len(whole) / 4
+    assert packed.degrees_in_rounds(own.limit(0), 7, 64, 4)[0].count() == 0
+
+
 def test_long_kmers_are_keyed_by_letters(spark):
     seqs = genomes(4, gaps=0.001)
     graph = JunctionGraph(table(spark, seqs), 33)
