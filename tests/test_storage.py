@@ -1,5 +1,6 @@
 """The shared folder is the session's; a temporary one only where that is unset."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -30,3 +31,12 @@ def test_a_cluster_names_its_folder():
 def test_written(spark):
     df = storage.written(spark.range(5), "numbers")
     assert sorted(r.id for r in df.collect()) == list(range(5))
+
+
+def test_clean_deletes_what_was_written(spark):
+    path = storage.written(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    kept, storage._made[:] = storage._made[:-1], storage._made[-1:]
+    assert Path(path).exists()
+    storage.clean(spark)
+    assert not Path(path).exists() and not storage._made
+    storage._made[:] = kept
