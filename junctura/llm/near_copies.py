@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.llm import simhash
@@ -185,9 +185,10 @@ class _Search:
         tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
         open_ = self.tables.put(f"open{self.at}", open_.select("key", tiles.alias("tiles")))
         rows = rows.join(open_, "key")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        hubs = rows.where("tiles > 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).drop("r")
-        everywhere = hubs.select("key", "node", "root", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+        # A hub for each of HUBS classes of a bucket's texts: an aggregation, so no task orders a bucket.
+        least = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "root", "tiles")).alias("hub")
+        hubs = rows.where("tiles > 1").groupBy("key", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(HUBS)).alias("class")).agg(least)
+        everywhere = hubs.select("key", "hub.*").select("key", "node", "root", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
         own = rows.select("key", "node", "root", "tiles", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int").alias("tile"))
         return self.tables.put(f"tiles{self.at}", own.unionByName(everywhere).distinct())
 
