@@ -2,16 +2,16 @@
 
 Each source's documents are put in an order given by a hash of doc_id and laid end to end on an axis of words; a block is
 the documents that start in the same BLOCK_WORDS words of it. A target is a number of whole passes over the source (at most MOST
-of them) and a rest. Each whole pass takes all blocks; for the rest, a keyed permutation (an MD5 under the seed) puts the source's blocks in an
-order, and as many are drawn from its front as the rest needs, exactly: of the last one its first documents, and of
-the last of these its first words. That gives a quota of drawn blocks for each source. A binary tree over the output shards splits the vector
+of them) and a rest. One keyed permutation (an MD5 under the seed) puts all blocks of a source in an order; a rank is a place in it, and each
+pass goes through it once more. A source's quota is its number of ranks: all blocks for each whole pass, and as many from the front as the rest needs,
+exactly (of the last one its first documents, and of the last of these its first words). A binary tree over the output shards splits the vector
 of quotas: each node draws its left child's share from the multivariate hypergeometric distribution, so that all
-splits together are one uniform draw without replacement. A shard's share of a source is a run of
-ranks, and a second permutation of the drawn blocks says which blocks these are: disjoint between shards, and together all that are drawn.
-Documents are shuffled within their shard by a hash.
+splits together are one uniform draw without replacement. A shard takes the run of ranks that the tree gives it of each source: runs are disjoint between shards,
+and what a document has in the mix is the sum over the shards. Documents are shuffled within their shard by a hash.
 
 Sources are rows of a table, whatever their number: their order comes from range partitions, targets from one aggregation per
-round of sharing, and the tree's vector has a colour per source or, beyond COLOURS sources, per group of them. Running sums
+round of sharing, and the tree's vector has a colour per source or, beyond COLOURS sources, per group of them, whose permutations are
+laid over one another, each from 0 to 1, so that every run has all of them in proportion. Running sums
 go by hash buckets (BUCKETS of them in a source), so no task orders a whole source. A task of the tree yields TASK_SHARDS shards and
 draws the nodes above them again from their seeds, so blocks are never listed in one place, and reruns agree.
 
@@ -180,9 +180,11 @@ def draws(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, block_words: in
         F.sequence(F.lit(0).cast("long"), F.col("passes")),
         lambda c: F.struct(c.alias("copy"), F.when(c < F.col("passes"), F.col("words")).otherwise(F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("start")))).alias("taken")),
     )
-    drawn = blocks.join(bounded(sources.select("sid", "passes", "rest")), "sid").select("sid", "block", "first", F.explode(F.filter(copies, lambda c: c["taken"] > 0)).alias("c"))
-    drawn = drawn.select("sid", "block", "first", "c.*", (F.col("sid") % COLOURS).alias("colour"), _hash(F.lit(seed), F.lit("shard"), F.col("sid"), F.col("block"), F.col("c.copy")).alias("draw"))
-    drawn = numbered(tables, "drawn", drawn, ["colour", "draw", "sid", "block", "copy"], "rank")
+    drawn = blocks.join(bounded(sources.select("sid", "passes", "rest")), "sid")
+    drawn = drawn.select("sid", "block", "first", "h", "passes", F.explode(F.filter(copies, lambda c: c["taken"] > 0)).alias("c"))
+    along = (F.col("c.copy") + F.col("h") / (1 << 32)) / (F.col("passes") + 1)
+    drawn = drawn.select("sid", "block", "first", "h", "c.*", (F.col("sid") % COLOURS).alias("colour"), along.alias("along"))
+    drawn = numbered(tables, "drawn", drawn, ["colour", "along", "sid", "copy", "h", "block"], "rank")
     colours = {r["colour"]: (r["n"], r["low"]) for r in drawn.groupBy("colour").agg(F.count("*").alias("n"), F.min("rank").alias("low")).collect()}  # COLOURS rows at most
     quotas = [colours.get(c, (0, 0))[0] for c in range(max(colours, default=-1) + 1)]
     tree = SplittingTree(quotas, max(1, -(-sum(quotas) * block_words // shard_words)), seed)
@@ -204,11 +206,17 @@ def row_keys(docs: DataFrame) -> list[Column]:
 
 
 def taken_words(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken (the words that the shards of the mix have of it) of each row."""
-    found = draws(spark, docs, **options)
-    taken = F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("n_words"))), F.lit(0)).cast("long")
-    sums = found.groupBy("place", "doc_id", "size", "source_size", "target").agg(taken.alias("taken"))
-    return sums.select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken (the words that the shards of the mix have of it) and shards of each row.
+
+    shards lists them as `shard:words`, comma-joined, in order of the shards' numbers; it is empty where nothing is taken.
+    """
+    row = ["place", "doc_id", "size", "source_size", "target"]
+    by_shard = draws(spark, docs, **options).groupBy(*row, "shard").agg(F.sum("n_words").alias("n"))
+    part = F.when(F.col("shard").isNotNull(), F.struct("shard", "n"))
+    found = by_shard.groupBy(*row).agg(F.array_sort(F.collect_list(part)).alias("parts"))  # a row's copies, MOST + 1 at most
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"]).alias("taken")
+    listed = F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["shard"], x["n"])), ",").alias("shards")
+    return found.select("doc_id", "size", "source_size", "target", taken, listed)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, with_shard: bool = False, **options) -> DataFrame:

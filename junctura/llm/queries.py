@@ -109,7 +109,6 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op1_mixing": oracles.OP1,
     "op2_quality_rules": oracles.op2(list(dict.fromkeys(quality_rules.STOP_WORDS))),
     "op4_substring_dedup": oracles.OP4,
     "op7_kd_tree_top_k": oracles.OP7,

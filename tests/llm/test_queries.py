@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import brute  # noqa: E402
 from test_near_copies import groups  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from junctura.llm import queries  # noqa: E402
+from junctura.llm import oracles, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -34,6 +34,15 @@ def test_query_agrees_with_sql(spark, name):
     assert rows(df.columns, df.collect()) == rows([d[0] for d in cursor.description], cursor.fetchall())
 
 
+def test_op1_agrees_with_sql_and_its_shards_add_up(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    cursor = con.cursor().execute(oracles.OP1)
+    found = queries.op1_mixing(spark, SF)
+    assert rows(found.columns[:5], [r[:5] for r in found.collect()]) == rows([d[0] for d in cursor.description], cursor.fetchall())
+    assert all(sum(int(x.split(":")[1]) for x in r.shards.split(",") if x) == r.taken for r in found.collect())
+
+
 def test_other_queries_match_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     found = queries.op6_simhash(spark, SF).collect()

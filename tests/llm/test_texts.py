@@ -215,6 +215,48 @@ def test_the_seed_draws_the_blocks(spark):
     assert len(shards) == 15 and max(r.n for r in shards) <= 2 * min(r.n for r in shards)
 
 
+def greedy(tree):
+    """Shards that take each source's ranks in turn, in place of the tree's draws."""
+    sizes, leaves, at = [x[2].sum() for x in tree.leaves(0, tree.shards)], [], 0
+    colours = np.repeat(np.arange(len(tree.quotas)), tree.quotas)
+    ranks = np.concatenate([np.arange(q) for q in tree.quotas])
+    for shard, n in enumerate(sizes):
+        leaves.append((shard, colours[at : at + n].tolist(), ranks[at : at + n].tolist()))
+        at += n
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for task in batch["id"]:
+                for shard, colour, rank in leaves[16 * task : 16 * task + 16]:
+                    yield pd.DataFrame({"colour": colour, "rank": rank, "shard": shard})
+
+    return run
+
+
+def test_the_tree_decides_what_a_shard_has(spark, monkeypatch):
+    rows = [(i, "w " * 10, "aab"[i % 3]) for i in range(3000)]
+    docs, options = spark.createDataFrame(rows, "doc_id long, text string, source string"), {"block_words": 100, "shard_words": 2000}
+    held = lambda: {r.doc_id: r for r in mixing.taken_words(spark, docs, **options).collect()}
+    drawn = held()
+    monkeypatch.setattr(mixing, "_rank_rows", greedy)
+    other = held()
+    assert sum(drawn[i].shards != other[i].shards for i in drawn) > 1000 and all(drawn[i].taken == other[i].taken for i in drawn)
+    # The tree gives nearly every shard words of both sources; the other split gives them to one shard of all at most.
+    shares = [Counter((x.split(":")[0], rows[i][2]) for i, r in found.items() for x in r.shards.split(",") if x) for found in (drawn, other)]
+    both = [sum(f[s, "a"] > 0 and f[s, "b"] > 0 for s in {k[0] for k in f}) for f in shares]
+    assert both[0] >= 12 and both[1] <= 1
+
+
+def test_a_shard_takes_a_run_of_one_permutation(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 10 == 0]) for i in range(2000)], "doc_id long, text string, source string")
+    found = mixing.draws(spark, docs, block_words=100, shard_words=1000).where("shard is not null")
+    # Of a source that is taken several times over no shard has a row twice before it has had a whole pass.
+    again = found.groupBy("shard", "place").count().where("count > 1").count()
+    assert found.select("copy").distinct().count() > 1 and again == 0
+
+
 def test_mix_comes_near_its_targets(spark, odd_docs, odd_rows):
     options = {"block_words": 16, "shard_words": 200}
     found = mixing.taken_words(spark, odd_docs, **options).collect()
@@ -256,6 +298,11 @@ def test_classifier_holds_out_and_scores(spark, odd_docs, odd_rows):
     assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
 
 
+def test_bigrams_are_hashed():
+    a, b, c, d = quality_model.bigrams(b"one two one one".split()).tolist() + quality_model.bigrams([b"x", b"x"]).tolist()
+    assert a != b and c == d and (a + b) % quality_model.BUCKETS == 0 and len(quality_model.bigrams([])) == len(quality_model.bigrams([b"x"])) == 0
+
+
 def test_gradients_are_those_of_the_log_loss():
     rng = np.random.default_rng(5)
     rows, weight, layer, bias = rng.normal(size=(7, 4)), rng.random(7), rng.normal(size=(4, 2)), rng.normal(size=2)
