@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from junctura.functions import dna
-from junctura.operators import neighbours, windows
+from junctura.operators import neighbours, packed, windows
 from junctura.operators.ranking import ranked
 from junctura.storage import written
 
 #: Ids of segments that begin with an indefinite letter are counted from here, in order of emission.
 RESERVED = 1 << 34
-MOST_ID = 1 << 31
+MOST_ID = packed.MOST_ID
 #: Letters of a tile of a sequence, and of the part that it shares with the next one: a segment of up to so many lies in one tile.
 TILE, SHARED = 8192, 1024
 
 
-def pairs(positions: DataFrame) -> DataFrame:
-    """seq_id, begin, end, b, e (signed ids of consecutive junctions), p and q. `positions` is read twice.
+def steps(runs: DataFrame) -> DataFrame:
+    """packed.RUNS of two positions or more each: those of `runs`, and one for each two runs that follow each other, of the last and the first position.
 
-    p is the letter after the first k-mer; q the complement of the letter before the last one.
+    Their starts differ within a sequence, and are in order. `runs` is read twice: once for the ends of runs.
     """
-    both = neighbours.with_next(positions, "pos", F.struct("pos", "junction_id", "prev"), "after").where(F.col("after").isNotNull())
-    return both.select("seq_id", F.col("pos").alias("begin"), F.col("after.pos").alias("end"), F.col("junction_id").alias("b"), F.col("after.junction_id").alias("e"), F.col("next").alias("p"), dna.complement(F.col("after.prev")).alias("q"))
+    end = lambda i: F.struct((F.col("start") + F.get("at", i)).alias("pos"), F.get("id", i).alias("id"), F.get("sides", i).alias("sides"))
+    ends = runs.select("seq_id", end(F.lit(0)).alias("head"), end(F.size("id") - 1).alias("tail")).withColumn("pos", F.col("head.pos"))
+    both = neighbours.with_next(ends, "pos", F.col("head"), "after").where("after is not null")
+    gap = (F.col("after.pos") - F.col("tail.pos")).cast("int")
+    across = both.select("seq_id", F.col("tail.pos").alias("start"), F.array(F.lit(0), gap).alias("at"), *[F.array(f"tail.{c}", f"after.{c}").alias(c) for c in ("id", "sides")])
+    return runs.where(F.size("id") > 1).unionByName(across)
+
+
+def _zipped(found: DataFrame, n: Column, **columns: tuple[str, int]) -> DataFrame:
+    """seq_id, start and a row for each of `n` places of each run: a column is an array's elements from a place on."""
+    parts = [F.slice(c, F.lit(first + 1), n).alias(name) for name, (c, first) in columns.items()]
+    each = found.select("seq_id", "start", *parts)
+    return each.select("seq_id", "start", F.inline(F.arrays_zip(*columns)))
+
+
+def pairs(runs: DataFrame) -> DataFrame:
+    """seq_id, begin, end, b and e (signed ids) of consecutive junctions."""
+    rows = _zipped(steps(runs), F.size("id") - 1, begin=("at", 0), end=("at", 1), b=("id", 0), e=("id", 1))
+    return rows.select("seq_id", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"), "b", "e")
 
 
 def segment_number(b: Column, e: Column, p: Column, q: Column) -> Column:
@@ -40,19 +57,36 @@ def segment_number(b: Column, e: Column, p: Column, q: Column) -> Column:
     return F.when(letter != "N", F.when(start == b, number).otherwise(-number))
 
 
-def pieces(positions: DataFrame) -> DataFrame:
-    """seq_id, begin, end, b, e and segment_id in place of each pair of consecutive junctions."""
-    # Written, since what has a number, what has none, and the counts of the latter are each read from it.
-    numbered = written(pairs(positions).withColumn("segment_id", segment_number(F.col("b"), F.col("e"), F.col("p"), F.col("q"))), "numbered")
-    known = numbered.where("segment_id is not null").drop("p", "q")
-    reserved = ranked(numbered.where("segment_id is null").drop("p", "q", "segment_id"), ["seq_id", "begin"], "segment_id", RESERVED)
-    return known.unionByName(reserved)
+def reserved(found: DataFrame) -> DataFrame:
+    """seq_id, start, nth, begin, end, b, e and segment_id of the pieces without a number, of packed.numbered() runs."""
+    each = found.where(F.exists("segment", lambda x: x.isNull())).select("seq_id", "start", "at", "id", F.posexplode("segment").alias("nth", "segment_id")).where("segment_id is null")
+    place = lambda i: (F.col("start") + F.get("at", i)).alias("begin" if i is nth else "end")
+    nth = F.col("nth")
+    return ranked(each.select("seq_id", "start", "nth", place(nth), place(nth + 1), F.get("id", nth).alias("b"), F.get("id", nth + 1).alias("e")), ["seq_id", "begin"], "segment_id", RESERVED)
+
+
+def filled(found: DataFrame, rest: DataFrame) -> DataFrame:
+    """packed.numbered() runs with the reserved ids `rest` where a number is missing."""
+    if rest.isEmpty():
+        return found
+    lacks = F.exists("segment", lambda x: x.isNull())
+    known = rest.groupBy("seq_id", "start").agg(F.map_from_entries(F.collect_list(F.struct("nth", "segment_id"))).alias("ids"))
+    one = F.transform("segment", lambda x, i: F.coalesce(x, F.try_element_at("ids", i)))
+    return found.where(~lacks).unionByName(found.where(lacks).join(known, ["seq_id", "start"]).withColumn("segment", one).select(*found.columns))
+
+
+def pieces(found: DataFrame, *kept: str) -> DataFrame:
+    """seq_id, begin, end, b, e and segment_id of each two consecutive junctions, a row for each segment of runs (filled()), and the columns `kept` of runs."""
+    n = F.size("segment")
+    each = found.select("seq_id", "start", *kept, *[F.slice(c, F.lit(at), n).alias(name) for name, c, at in (("begin", "at", 1), ("end", "at", 2), ("b", "id", 1), ("e", "id", 2))], F.col("segment").alias("segment_id"))
+    rows = each.select("seq_id", "start", *kept, F.inline(F.arrays_zip("begin", "end", "b", "e", "segment_id")))
+    return rows.select("seq_id", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"), "b", "e", "segment_id", *kept)
 
 
 def first_seen(found: DataFrame) -> DataFrame:
-    """The first piece of each segment, by sequence and place."""
-    piece = F.min_by(F.struct("seq_id", "begin", "end", "segment_id"), F.struct("seq_id", "begin"))
-    return found.groupBy(F.abs("segment_id").alias("_abs")).agg(piece.alias("x")).select("x.*")
+    """The first piece of each segment, by sequence and place: first of each batch of runs, then of all."""
+    piece = F.min(F.struct("seq_id", "begin", "end", "segment_id"))
+    return packed.firsts(found).groupBy(F.abs("segment_id").alias("_abs")).agg(piece.alias("x")).select("x.*")
 
 
 def bodies(firsts: DataFrame, sequences: DataFrame, k: int) -> DataFrame:
@@ -76,43 +110,58 @@ def bodies(firsts: DataFrame, sequences: DataFrame, k: int) -> DataFrame:
 
 
 def links(found: DataFrame, k: int) -> DataFrame:
-    """seq_id, begin, a, a_size, b and b_size of consecutive segments of a sequence, repeats included. `found` is read twice."""
-    sized = found.select("seq_id", "begin", "segment_id", (F.col("end") + k - F.col("begin")).alias("size"))
-    before = neighbours.with_previous(sized, "begin", F.struct("segment_id", "size"), "before").where(F.col("before").isNotNull())
-    return before.select("seq_id", "begin", F.col("before.segment_id").alias("a"), F.col("before.size").alias("a_size"), F.col("segment_id").alias("b"), F.col("size").alias("b_size"))
+    """seq_id, begin, a, a_size, b and b_size of consecutive segments of a sequence, repeats included: within runs, and from each run to the next one."""
+    size = lambda low, high: (F.col(high) - F.col(low) + k).cast("long")
+    rows = _zipped(found.where(F.size("segment") > 1), F.size("segment") - 1, low=("at", 0), mid=("at", 1), high=("at", 2), a=("segment", 0), b=("segment", 1))
+    within = rows.select("seq_id", (F.col("start") + F.col("mid")).alias("begin"), "a", size("low", "mid").alias("a_size"), "b", size("mid", "high").alias("b_size"))
+    n = F.size("segment")
+    end = lambda i: F.struct((F.col("start") + F.get("at", i)).alias("begin"), F.get("segment", i).alias("segment"), (F.get("at", i + 1) - F.get("at", i) + k).cast("long").alias("size"))
+    ends = found.select("seq_id", end(F.lit(0)).alias("head"), end(n - 1).alias("tail")).withColumn("begin", F.col("head.begin"))
+    both = neighbours.with_next(ends, "begin", F.col("head"), "after").where("after is not null")
+    return within.unionByName(both.select("seq_id", F.col("after.begin").alias("begin"), F.col("tail.segment").alias("a"), F.col("tail.size").alias("a_size"), F.col("after.segment").alias("b"), F.col("after.size").alias("b_size")))
 
 
 def paths(found: DataFrame) -> DataFrame:
-    """seq_id, part and path: the signed segments of each range of positions in order; a sequence's parts, in order, are its path."""
-    listed = F.array_sort(F.collect_list(F.struct("begin", "segment_id")))
-    return found.groupBy("seq_id", neighbours.span("begin").alias("part")).agg(F.transform(listed, lambda x: x["segment_id"]).alias("path"))
+    """seq_id, part and path: the signed segments of the runs that begin in each range of positions, in order; a sequence's parts, in order, are its path."""
+    listed = F.array_sort(F.collect_list(F.struct("start", "segment")))
+    return found.groupBy("seq_id", neighbours.span("start").alias("part")).agg(F.flatten(F.transform(listed, lambda x: x["segment"])).alias("path"))
 
 
 def respelled(path_table: DataFrame, segment_table: DataFrame, k: int) -> DataFrame:
-    """seq_id, start, seq and length of the pieces that each path's segments give: all but the first without the k letters that they share with the one before.
+    """seq_id, start, seq and length of the pieces that each path's parts give: all but the first without the k letters that they share with the one before.
 
+    A step takes the letters of its segment that it does not share with the step before, and a part's letters meet in one row (a long part's in several).
     A piece's start is the running sum of the lengths before it, so no row has a whole sequence. Paths are those of
     paths(), or of GFA files (part 0 alone).
     """
     steps = path_table.select("seq_id", F.posexplode("path").alias("nth", "segment"), "part")
-    # Parts are ranges of positions: a part's steps have places of their own, since it has fewer than positions.
-    steps = steps.withColumn("at", F.shiftleft("part", neighbours.SPAN_BITS) + F.col("nth"))
-    known = segment_table.select(F.abs("segment_id").alias("id"), "body")
-    joined = steps.join(known, F.abs("segment") == F.col("id"))
+    joined = steps.join(segment_table.select(F.abs("segment_id").alias("id"), "body"), F.abs("segment") == F.col("id"))
     read = F.when(F.col("segment") > 0, F.col("body")).otherwise(dna.reverse_complement(F.col("body")))
-    rows = written(joined.select("seq_id", "at", read.alias("read"), (F.length("body") - k).cast("long").alias("n")), "steps")
-    placed = neighbours.running(rows, "at", "n", "start")
-    first = F.col("start") == 0
-    pieces = placed.select("seq_id", (F.col("start") + F.when(first, 0).otherwise(k)).cast("long").alias("start"), F.when(first, F.col("read")).otherwise(F.substr("read", F.lit(k + 1))).alias("seq"))
-    lengths = rows.groupBy("seq_id").agg((F.sum("n") + k).cast("long").alias("length"))
-    return pieces.join(lengths, "seq_id")
+    group, cut = F.shiftright("nth", neighbours.SPAN_BITS), F.col("nth").bitwiseAND((1 << neighbours.SPAN_BITS) - 1)
+    # A row's first step keeps all of its letters: it may be the first of the sequence.
+    rows = joined.select("seq_id", "part", group.cast("int").alias("group"), cut.cast("int").alias("nth"), F.when(cut == 0, read).otherwise(F.substr(read, F.lit(k + 1))).alias("read"))
+    rows = rows.repartition("seq_id", "part", "group")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "read"))), lambda x: x["read"]), "")
+    texts = written(rows.groupBy("seq_id", "part", "group").agg(text.alias("seq")), "spelled")
+    own = Window.partitionBy("seq_id")
+    before = own.orderBy("part", "group").rowsBetween(Window.unboundedPreceding, -1)
+    n = (F.length("seq") - k).cast("long").alias("n")
+    # A row for each row of texts, without letters.
+    sums = texts.select("seq_id", "part", "group", n).select("seq_id", "part", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("low"), (F.sum("n").over(own) + k).cast("long").alias("length"))
+    first = F.col("low") == 0
+    placed = texts.join(sums, ["seq_id", "part", "group"])
+    return placed.select("seq_id", (F.col("low") + F.when(first, 0).otherwise(k)).cast("long").alias("start"), F.when(first, F.col("seq")).otherwise(F.substr("seq", F.lit(k + 1))).alias("seq"), "length")
 
 
 def overlaps(link_table: DataFrame, segment_table: DataFrame, k: int) -> DataFrame:
-    """One row: the number of links, and of those whose ends differ in the k letters that they share."""
+    """One row: the number of links, and of those whose ends differ in the k letters that they share.
+
+    Equal links are counted first; the first segment's end then goes to the second one, once for each that differs.
+    """
     known = segment_table.select(F.abs("segment_id").alias("id"), F.substr("body", F.lit(1), F.lit(k)).alias("head"), F.right("body", F.lit(k)).alias("tail"))
-    a = known.select(F.col("id").alias("a_id"), F.col("head").alias("a_head"), F.col("tail").alias("a_tail"))
-    joined = link_table.join(a, F.abs("a") == F.col("a_id")).join(known, F.abs("b") == F.col("id"))
-    end = F.when(F.col("a") > 0, F.col("a_tail")).otherwise(dna.reverse_complement(F.col("a_head")))
+    counted = link_table.groupBy("a", "b").agg(F.count("*").alias("n"))
+    end = F.when(F.col("a") > 0, F.col("tail")).otherwise(dna.reverse_complement(F.col("head")))
+    ends = counted.join(known, F.abs("a") == F.col("id")).select("b", end.alias("end"), "n").groupBy("b", "end").agg(F.sum("n").alias("n"))
     begin = F.when(F.col("b") > 0, F.col("head")).otherwise(dna.reverse_complement(F.col("tail")))
-    return joined.agg(F.count("*").alias("links"), F.count_if(end != begin).alias("violations"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return ends.join(known, F.abs("b") == F.col("id")).agg(total("n").alias("links"), total(F.when(F.col("end") != begin, F.col("n"))).alias("violations"))

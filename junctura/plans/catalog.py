@@ -73,7 +73,7 @@ def q08_group_lines(spark, sf_dir):
 
 
 def q09_dot_lines(spark, sf_dir):
-    return formats.dot_lines(segments.pairs(_graph(spark, sf_dir).positions))
+    return formats.dot_lines(segments.pairs(_graph(spark, sf_dir).runs))
 
 
 def q10_pieces(spark, sf_dir):
@@ -90,7 +90,7 @@ def _names(g):
 
 def q12_gfa1_occurrences(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return formats.occurrence_lines(g.pieces, _names(g), g.k, 1)
+    return formats.occurrence_lines(g.numbered, _names(g), g.k, 1)
 
 
 def q13_gfa1_links(spark, sf_dir):
@@ -109,7 +109,7 @@ def q15_gfa2_segments(spark, sf_dir):
 
 def q16_gfa2_occurrences(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return formats.occurrence_lines(g.pieces, _names(g), g.k, 2)
+    return formats.occurrence_lines(g.numbered, _names(g), g.k, 2)
 
 
 def q17_gfa2_links(spark, sf_dir):
@@ -128,7 +128,7 @@ def q19_fasta_lines(spark, sf_dir):
 
 def q20_respell(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    spelled = fasta.whole(segments.respelled(g.paths, g.segments, g.k)).withColumnRenamed("seq", "spelled")
+    spelled = fasta.whole(segments.respelled(g.numbered.select("seq_id", F.col("start").alias("part"), F.col("segment").alias("path")), g.segments, g.k)).withColumnRenamed("seq", "spelled")
     joined = spelled.select("seq_id", "spelled").join(g.sequences.select("seq_id", "seq"), "seq_id")
     return joined.select("seq_id", (F.col("spelled") == F.col("seq")).alias("same"), F.md5(F.col("spelled").cast("binary")).alias("spelled_md5"))
 
@@ -141,7 +141,7 @@ def q21_link_overlaps(spark, sf_dir):
 def q22_metrics(spark, sf_dir):
     """What was counted while junctions and positions were written; nothing is read again for it."""
     g = _graph(spark, sf_dir, "gapped")
-    g.positions  # noqa: B018
+    g.runs  # noqa: B018
     seen = {c: g.counted[c] for c in ("true_junctions", "false_junctions", "table_size", "marks", "positions")}
     return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in seen.items()], F.lit(2 * seen["true_junctions"]).cast("long").alias("vertices"))
 
@@ -168,13 +168,12 @@ def q26_abundance(spark, sf_dir):
 
 def q27_stubs(spark, sf_dir):
     g = _graph(spark, sf_dir, "gapped", 25)
-    first = g.junctions.agg(F.count("*")).scalar() + junctions.STUB_OFFSET
-    return g.positions.where(F.abs("junction_id") >= first).select("seq_id", "pos", "junction_id")
+    return g.stubs.select("seq_id", "pos", "junction_id")
 
 
 def q28_signed_lookup(spark, sf_dir):
     g = _graph(spark, sf_dir, "gapped")
-    return junctions.signed(g.occurrences, g.junctions).select("seq_id", "pos", "junction_id")
+    return g.found.select("seq_id", "pos", "junction_id")
 
 
 def q29_id_lookup(spark, sf_dir):
@@ -201,7 +200,7 @@ def q33_ids(spark, sf_dir):
 
 
 def q34_reserved_segments(spark, sf_dir):
-    return _graph(spark, sf_dir, "gapped").pieces.where(F.col("segment_id") >= segments.RESERVED)
+    return _graph(spark, sf_dir, "gapped").reserved.select("seq_id", "begin", "end", "b", "e", "segment_id")
 
 
 def q35_reverse_complement(spark, sf_dir):

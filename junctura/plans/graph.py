@@ -82,32 +82,69 @@ class JunctionGraph:
         return written(junctions.junctions(found, self.abundance), "junctions")
 
     @cached_property
-    def positions(self) -> DataFrame:
+    def stubs(self) -> DataFrame:
+        """seq_id, pos, junction_id, prev and next of the sequences' ends that are no junctions."""
+        self._keep()
+        return junctions.stubs(windows.terminals(self.definite, self.k), self.junctions)
+
+    def _runs(self, ends: DataFrame | None = None) -> DataFrame:
+        return junctions.runs(self.sequences, self.codes if self.k <= packed.MOST else self.occurrences, self.k, self.junctions, ends)
+
+    @property
+    def found(self) -> DataFrame:
+        """seq_id, pos, junction_id, prev and next of the junctions' occurrences alone."""
+        self._keep()
+        return packed.rows(self._runs())
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """All positions, as packed.RUNS: a row for each range of windows.CHUNK of them that has any."""
+        if "positions" in self.__dict__:
+            return written(packed.runs(self.positions), "runs")
         self._keep()
         if self._placed is None:
-            found = junctions.positions(self.codes if self.k <= packed.MOST else self.occurrences, windows.terminals(self.definite, self.k), self.junctions)
+            found = self._runs(self.stubs)
         else:
-            found = junctions.with_letters(self._placed, self.definite, self.k)
-        found, seen = self._observed(found, F.count(F.lit(1)).alias("positions"))
-        found = written(found, "positions")
+            found = packed.runs(junctions.with_letters(self._placed, self.definite, self.k))
+        found, seen = self._observed(found, F.coalesce(F.sum(F.size("id")), F.lit(0)).alias("positions"))
+        found = written(found, "runs")
         self.counted.update(seen.get)
         return found
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        """seq_id, pos, junction_id, prev and next of each position, from the runs."""
+        return packed.rows(self.runs)
+
+    @cached_property
+    def _numbered(self) -> DataFrame:
+        return packed.numbered(segments.steps(self.runs))
+
+    @cached_property
+    def reserved(self) -> DataFrame:
+        """The pieces whose segments begin with an indefinite letter, with their ids in order of emission."""
+        return segments.reserved(self._numbered)
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """Runs with the ids of the segments between their positions; what is asked of pieces is made of these."""
+        return segments.filled(self._numbered, self.reserved)
+
     @cached_property
     def pieces(self) -> DataFrame:
-        return written(segments.pieces(self.positions), "pieces")
+        return segments.pieces(self.numbered)
 
     @cached_property
     def segments(self) -> DataFrame:
-        return segments.bodies(written(segments.first_seen(self.pieces), "firsts"), self.sequences, self.k)
+        return segments.bodies(written(segments.first_seen(self.numbered), "firsts"), self.sequences, self.k)
 
     @cached_property
     def links(self) -> DataFrame:
-        return segments.links(self.pieces, self.k)
+        return segments.links(self.numbered, self.k)
 
     @cached_property
     def paths(self) -> DataFrame:
-        return segments.paths(self.pieces)
+        return segments.paths(self.numbered)
 
     def lines(self, fmt: str, prefix: bool = False) -> DataFrame:
         """section, seq_id, pos, n, part, line and open of a format, to be ordered by the first five; what is `open` goes on in the next row."""

@@ -92,7 +92,7 @@ class Dot(Format):
     name = "dot"
 
     def lines(self, graph, prefix=False):
-        edges = part(formats.dot_lines(segments.pairs(graph.positions)), 1)
+        edges = part(formats.dot_lines(segments.pairs(graph.runs)), 1)
         return together(single(graph, "digraph G\n{\n\trankdir = LR", 0), edges, single(graph, "}", 2))
 
 
@@ -105,7 +105,7 @@ class Gfa(Format):
         rows = [
             single(graph, f"H\tVN:Z:{v}.0", 0),
             part(formats.segment_lines(graph.segments, v), 2, 0),
-            part(formats.occurrence_lines(graph.pieces, found, graph.k, v), 2, 1),
+            part(formats.occurrence_lines(graph.numbered, found, graph.k, v), 2, 1),
             part(formats.link_lines(graph.links, graph.k, v), 2, 2),
             part(paths, 2, 3),
         ]

@@ -439,3 +439,32 @@ def test_lookup_and_edges(spark):
     edges |= {rc(e) for e in edges}
     for r in junctions.edge_degrees(graph.sequences, graph.occurrences, 5).collect():
         assert (r.in_edges, r.out_edges) == (sum(c + r.ck in edges for c in "ACGT"), sum(r.ck + c in edges for c in "ACGT"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("\n")
+
+
+def test_positions_are_not_shuffled(spark):
+    """No k-mer is shuffled to find its junction, and positions and what joins them to pieces stay in runs."""
+    graph = JunctionGraph(table(spark, genomes(3, gaps=0)), 7)
+    assert not any("Exchange" in line for line in plan(graph.positions))
+    assert not any("segment" in line for line in plan(graph.pieces) if "Exchange" in line)
+    assert not any("code" in line for line in plan(graph._runs(graph.stubs)) if "Exchange" in line)
+
+
+def test_shuffled_junctions_give_the_same_graph(spark, monkeypatch):
+    """More junctions than are sent to all tasks: occurrences are shuffled to them, with the same runs."""
+    seqs = [*genomes(6, gaps=0.01), "ACGT", "", genomes(11, n=1, length=40, gaps=0)[0] * 30]
+    expected = {fmt: text(JunctionGraph(table(spark, seqs), 5), fmt) for fmt in ("seq", "gfa2")}
+    monkeypatch.setattr(junctions, "BROADCAST_ROWS", 0)
+    assert {fmt: text(JunctionGraph(table(spark, seqs), 5), fmt) for fmt in expected} == expected
+
+
+def test_numbers_of_runs_are_those_of_rows(spark):
+    graph = JunctionGraph(table(spark, genomes(4, gaps=0.01)), 5)
+    after = segments.neighbours.with_next(graph.positions, "pos", F.struct("junction_id", "prev"), "after").where("after is not null")
+    q = F.translate("after.prev", "ACGT", "TGCA")
+    rows = after.select("seq_id", F.col("pos").alias("begin"), segments.segment_number(F.col("junction_id"), F.col("after.junction_id"), F.col("next"), q).alias("x"))
+    joined = rows.join(graph.pieces, ["seq_id", "begin"]).select("x", "segment_id").collect()
+    assert len(joined) == graph.pieces.count() and all(r.x == r.segment_id if r.x is not None else r.segment_id >= segments.RESERVED for r in joined)
