@@ -134,22 +134,27 @@ def respelled(path_table: DataFrame, segment_table: DataFrame, k: int) -> DataFr
     A piece's start is the running sum of the lengths before it, so no row has a whole sequence. Paths are those of
     paths(), or of GFA files (part 0 alone).
     """
+    # One number for a step's part and place: a part's runs begin within a range of positions, so it has fewer steps than both together.
+    bits = max(neighbours.SPAN_BITS, windows.CHUNK.bit_length()) + 1
     steps = path_table.select("seq_id", F.posexplode("path").alias("nth", "segment"), "part")
+    steps = steps.select("seq_id", (F.shiftleft(F.col("part").cast("long"), bits) + F.col("nth")).alias("at"), "segment")
     joined = steps.join(segment_table.select(F.abs("segment_id").alias("id"), "body"), F.abs("segment") == F.col("id"))
     read = F.when(F.col("segment") > 0, F.col("body")).otherwise(dna.reverse_complement(F.col("body")))
-    group, cut = F.shiftright("nth", neighbours.SPAN_BITS), F.col("nth").bitwiseAND((1 << neighbours.SPAN_BITS) - 1)
     # A row's first step keeps all of its letters: it may be the first of the sequence.
-    rows = joined.select("seq_id", "part", group.cast("int").alias("group"), cut.cast("int").alias("nth"), F.when(cut == 0, read).otherwise(F.substr(read, F.lit(k + 1))).alias("read"))
-    rows = rows.repartition("seq_id", "part", "group")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "read"))), lambda x: x["read"]), "")
-    texts = written(rows.groupBy("seq_id", "part", "group").agg(text.alias("seq")), "spelled")
+    first = F.col("at").bitwiseAND((1 << bits) - 1) == 0
+    rows = joined.select("seq_id", "at", F.when(first, read).otherwise(F.substr(read, F.lit(k + 1))).alias("read"))
+    part = F.shiftright("at", bits)
+    # Dealt out as they are: an aggregation before the shuffle would find hardly two steps of a part.
+    rows = rows.repartition("seq_id", part).groupBy("seq_id", part.alias("part"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "read"))), lambda x: x["read"]), "")
+    texts = written(rows.agg(text.alias("seq")), "spelled")
     own = Window.partitionBy("seq_id")
-    before = own.orderBy("part", "group").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     n = (F.length("seq") - k).cast("long").alias("n")
     # A row for each row of texts, without letters.
-    sums = texts.select("seq_id", "part", "group", n).select("seq_id", "part", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("low"), (F.sum("n").over(own) + k).cast("long").alias("length"))
+    sums = texts.select("seq_id", "part", n).select("seq_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("low"), (F.sum("n").over(own) + k).cast("long").alias("length"))
     first = F.col("low") == 0
-    placed = texts.join(sums, ["seq_id", "part", "group"])
+    placed = texts.join(sums, ["seq_id", "part"])
     return placed.select("seq_id", (F.col("low") + F.when(first, 0).otherwise(k)).cast("long").alias("start"), F.when(first, F.col("seq")).otherwise(F.substr("seq", F.lit(k + 1))).alias("seq"), "length")
 
 

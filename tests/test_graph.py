@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -468,3 +469,8 @@ def test_numbers_of_runs_are_those_of_rows(spark):
     rows = after.select("seq_id", F.col("pos").alias("begin"), segments.segment_number(F.col("junction_id"), F.col("after.junction_id"), F.col("next"), q).alias("x"))
     joined = rows.join(graph.pieces, ["seq_id", "begin"]).select("x", "segment_id").collect()
     assert len(joined) == graph.pieces.count() and all(r.x == r.segment_id if r.x is not None else r.segment_id >= segments.RESERVED for r in joined)
+
+
+def test_parts_are_spelled_to_one_row_each(spark):
+    graph = JunctionGraph(table(spark, genomes(3, gaps=0)), 5)
+    assert segments.respelled(graph.paths, graph.segments, 5).count() == graph.paths.count() < graph.pieces.count()
