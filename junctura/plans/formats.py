@@ -64,8 +64,15 @@ def joined_lines(pieces: DataFrame, *keys: str) -> DataFrame:
 
 
 def group_lines(positions: DataFrame) -> DataFrame:
-    """A line per signed id, all its places, ordered by the first; seq_id and pos are those of the first."""
-    return joined_lines(group_pieces(positions), "seq_id", "pos")
+    """A line per signed id, all its places, ordered by the first; seq_id and pos are those of the first.
+
+    Whole lines hold all places of an id, so one shuffle brings them together; files take group_pieces().
+    """
+    rows = positions.select("junction_id", "seq_id", "pos").repartition("junction_id").groupBy("junction_id")
+    found = rows.agg(F.array_sort(F.collect_list(F.struct("seq_id", "pos"))).alias("places"))
+    text = F.array_join(F.transform("places", lambda x: F.concat(x["seq_id"].cast("string"), F.lit(" "), x["pos"].cast("string"), F.lit("; "))), "")
+    first = F.get("places", F.lit(0))
+    return found.select(first["seq_id"].alias("seq_id"), first["pos"].alias("pos"), text.alias("line"))
 
 
 def dot_lines(pairs: DataFrame) -> DataFrame:

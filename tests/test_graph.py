@@ -474,3 +474,8 @@ def test_numbers_of_runs_are_those_of_rows(spark):
 def test_parts_are_spelled_to_one_row_each(spark):
     graph = JunctionGraph(table(spark, genomes(3, gaps=0)), 5)
     assert segments.respelled(graph.paths, graph.segments, 5).count() == graph.paths.count() < graph.pieces.count()
+
+
+def test_whole_group_lines_take_one_shuffle(spark):
+    graph = JunctionGraph(table(spark, genomes(3)), 5)
+    assert sum("Exchange" in line for line in plan(formats.group_lines(graph.positions))) == 1
