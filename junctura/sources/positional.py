@@ -3,7 +3,8 @@
 Rows are dealt by ranges of their order and encoded there into blocks, which are written to the shared folder. Sums of
 the ranges' bytes say where each begins, so a block has an offset, and tasks write blocks in any order, again if
 they are run again. The driver moves no rows: it commits the file under its name. Where files can't be written at
-offsets (stores of objects), a folder gets one file per block, named by its offset; in order of names they are the same bytes.
+offsets (stores of objects), a folder gets a file for
+blocks that follow each other, named by the first one's offset; in order of names they are the same bytes.
 """
 
 from __future__ import annotations
@@ -22,29 +23,24 @@ from junctura.operators.ranking import ordered, starts
 from junctura.sources import ranges
 from junctura.storage import written
 
-BLOCK = 4 << 20
+#: Bytes of a block (tasks get thousands of rows at a time, so these bound their memory), and of a file of blocks where there are no offsets.
+BLOCK, FILE = 8 << 10, 4 << 20
 
 Encode = Callable[[pa.RecordBatch], bytes]
 
 
 def _encoded(encode: Encode):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, at, part = [], 0, 0, 0
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["part", "at", "data"])
-
+        at = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = batch.column("_part")[0].as_py()
-            held.append(encode(batch))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield block()
-                held, at, size = [], at + size, 0
-        if size:
-            yield block()
+            part, data = batch.column("_part")[0].as_py(), encode(batch)
+            for first in range(0, len(data), FILE):
+                places = range(first, min(len(data), first + FILE), BLOCK)
+                blocks = [data[i : min(i + BLOCK, first + FILE)] for i in places]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array([at + i for i in places], pa.int64()), pa.array(blocks, pa.binary())], ["part", "at", "data"])
+            at += len(data)
 
     return run
 
@@ -65,8 +61,8 @@ class _Writer(DataSourceArrowWriter):
             file = os.open(f"{self.local}.part", os.O_WRONLY | os.O_CREAT, 0o644)
             try:
                 for batch in iterator:
-                    for offset, data in zip(batch.column("offset").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                        view = memoryview(data)
+                    for offset, data in zip(batch.column("offset"), batch.column("data"), strict=True):
+                        offset, view = offset.as_py(), memoryview(data.as_buffer())
                         while view:
                             done = os.pwrite(file, view, offset)
                             view, offset, total = view[done:], offset + done, total + done
@@ -77,11 +73,21 @@ class _Writer(DataSourceArrowWriter):
         from pyarrow import fs
 
         system, folder = fs.FileSystem.from_uri(self.path)
-        for batch in iterator:
-            for offset, data in zip(batch.column("offset").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                with system.open_output_stream(f"{folder}/{offset:020d}") as out:
+        out, first, end = None, 0, -1
+        try:
+            for batch in iterator:
+                for offset, data in zip(batch.column("offset"), batch.column("data"), strict=True):
+                    offset, data = offset.as_py(), data.as_buffer()
+                    # Blocks that follow each other share a file.
+                    if offset != end or end - first >= FILE:
+                        if out is not None:
+                            out.close()
+                        out, first, end = system.open_output_stream(f"{folder}/{offset:020d}"), offset, offset
                     out.write(data)
-                total += len(data)
+                    end, total = end + len(data), total + len(data)
+        finally:
+            if out is not None:
+                out.close()
         return _Written(total)
 
     def commit(self, messages: list) -> None:

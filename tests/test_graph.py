@@ -479,3 +479,12 @@ def test_parts_are_spelled_to_one_row_each(spark):
 def test_whole_group_lines_take_one_shuffle(spark):
     graph = JunctionGraph(table(spark, genomes(3)), 5)
     assert sum("Exchange" in line for line in plan(formats.group_lines(graph.positions))) == 1
+
+
+def test_blocks_of_a_file_are_small():
+    """Thousands of blocks reach a task at a time, so their size bounds its memory."""
+    batch = pa.RecordBatch.from_pydict({"_part": [3], "data": [bytes(range(256)) * 80_000]})
+    rows = [r for b in positional._encoded(lambda b: b.column("data")[0].as_py())(iter([batch, batch])) for r in b.to_pylist()]
+    assert max(len(r["data"]) for r in rows) <= positional.BLOCK <= 1 << 14
+    assert b"".join(r["data"] for r in rows) == bytes(range(256)) * 160_000
+    assert all(a["at"] + len(a["data"]) == b["at"] for a, b in zip(rows, rows[1:], strict=False))
