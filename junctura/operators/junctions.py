@@ -107,6 +107,9 @@ def with_letters(placed: DataFrame, sequences: DataFrame, k: int) -> DataFrame:
 
 def edge_degrees(sequences: DataFrame, occurrences: DataFrame, k: int) -> DataFrame:
     """ck with how many of its eight possible neighbour edges are edges of the input: an exact membership test."""
+    if k < packed.MOST:
+        count = lambda shift: F.bit_count(F.shiftright("sides", shift).bitwiseAND(F.lit(15))).cast("long")
+        return packed.named(packed.edge_sides(sequences, k).select("code", count(0).alias("in_edges"), count(4).alias("out_edges")), k)
     known = windows.edges(sequences, k).select("canonical").distinct()
     vertex = occurrences.select("ck").distinct()
     sides = [F.struct(F.lit(s).alias("side"), (F.concat(F.lit(c), "ck") if s == "in" else F.concat("ck", F.lit(c))).alias("edge")) for s in ("in", "out") for c in dna.DEFINITE]

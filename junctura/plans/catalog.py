@@ -190,7 +190,8 @@ def q31_kmer_counts(spark, sf_dir):
 
 
 def q32_both_strands(spark, sf_dir):
-    return junctions.both_strands(_graph(spark, sf_dir, "clean", 9).occurrences)
+    found = packed.both_strands(_seqs(spark, sf_dir, "clean"), 9).where(junctions.is_junction())
+    return packed.named(found, 9).select(F.col("ck").alias("kmer"), "in_degree", "out_degree")
 
 
 def q33_ids(spark, sf_dir):

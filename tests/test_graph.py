@@ -488,3 +488,12 @@ def test_blocks_of_a_file_are_small():
     assert max(len(r["data"]) for r in rows) <= positional.BLOCK <= 1 << 14
     assert b"".join(r["data"] for r in rows) == bytes(range(256)) * 160_000
     assert all(a["at"] + len(a["data"]) == b["at"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_edges_and_strands_by_numbers(spark):
+    graph = JunctionGraph(table(spark, [*genomes(2), "ACGTT", "AACGTT"]), 5)
+    by_letters = junctions.both_strands(graph.occurrences)
+    by_numbers = packed.named(packed.both_strands(graph.sequences, 5).where(junctions.is_junction()), 5).select(F.col("ck").alias("kmer"), "in_degree", "out_degree")
+    assert sorted(map(tuple, by_numbers.collect())) == sorted(map(tuple, by_letters.collect()))
+    found = junctions.edge_degrees(graph.sequences, graph.occurrences, 5)
+    assert not any("canonical" in line for line in plan(found) if "Exchange" in line) and found.count() == graph.vertices.count()
