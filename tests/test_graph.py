@@ -13,7 +13,7 @@ from junctura.functions import dna
 from junctura.operators import junctions, neighbours, packed, ranking, segments, windows
 from junctura.plans import formats, writers
 from junctura.plans.graph import JunctionGraph
-from junctura.sources import fasta, gfa, junction_file
+from junctura.sources import fasta, gfa, junction_file, positional
 
 PAIR = {"A": "T", "C": "G", "G": "C", "T": "A"}
 
