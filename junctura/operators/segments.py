@@ -23,10 +23,11 @@ def steps(runs: DataFrame) -> DataFrame:
     Their starts differ within a sequence, and are in order. `runs` is read twice: once for the ends of runs.
     """
     end = lambda i: F.struct((F.col("start") + F.get("at", i)).alias("pos"), F.get("id", i).alias("id"), F.get("sides", i).alias("sides"))
-    ends = runs.select("seq_id", end(F.lit(0)).alias("head"), end(F.size("id") - 1).alias("tail")).withColumn("pos", F.col("head.pos"))
+    kept = packed.names(runs)
+    ends = runs.select("seq_id", *kept, end(F.lit(0)).alias("head"), end(F.size("id") - 1).alias("tail")).withColumn("pos", F.col("head.pos"))
     both = neighbours.with_next(ends, "pos", F.col("head"), "after").where("after is not null")
     gap = (F.col("after.pos") - F.col("tail.pos")).cast("int")
-    across = both.select("seq_id", F.col("tail.pos").alias("start"), F.array(F.lit(0), gap).alias("at"), *[F.array(f"tail.{c}", f"after.{c}").alias(c) for c in ("id", "sides")])
+    across = both.select("seq_id", F.col("tail.pos").alias("start"), F.array(F.lit(0), gap).alias("at"), *[F.array(f"tail.{c}", f"after.{c}").alias(c) for c in ("id", "sides")], *kept)
     return runs.where(F.size("id") > 1).unionByName(across)
 
 
@@ -62,7 +63,9 @@ def reserved(found: DataFrame) -> DataFrame:
     each = found.where(F.exists("segment", lambda x: x.isNull())).select("seq_id", "start", "at", "id", F.posexplode("segment").alias("nth", "segment_id")).where("segment_id is null")
     place = lambda i: (F.col("start") + F.get("at", i)).alias("begin" if i is nth else "end")
     nth = F.col("nth")
-    return ranked(each.select("seq_id", "start", "nth", place(nth), place(nth + 1), F.get("id", nth).alias("b"), F.get("id", nth + 1).alias("e")), ["seq_id", "begin"], "segment_id", RESERVED)
+    # Written before they are ordered: bounds of ranges are sampled, and all runs are numbered once for these few pieces.
+    few = written(each.select("seq_id", "start", "nth", place(nth), place(nth + 1), F.get("id", nth).alias("b"), F.get("id", nth + 1).alias("e")), "unnumbered")
+    return ranked(few, ["seq_id", "begin"], "segment_id", RESERVED)
 
 
 def filled(found: DataFrame, rest: DataFrame) -> DataFrame:
@@ -85,8 +88,10 @@ def pieces(found: DataFrame, *kept: str) -> DataFrame:
 
 def first_seen(found: DataFrame) -> DataFrame:
     """The first piece of each segment, by sequence and place: first of each batch of runs, then of all."""
-    piece = F.min(F.struct("seq_id", "begin", "end", "segment_id"))
-    return packed.firsts(found).groupBy(F.abs("segment_id").alias("_abs")).agg(piece.alias("x")).select("x.*")
+    # The end has the number's sign, so that what is shuffled has no second number.
+    piece = F.min(F.struct("seq_id", "begin", (F.col("end") * F.signum("segment_id")).cast("long").alias("end")))
+    rows = packed.firsts(found).groupBy(F.abs("segment_id").alias("_abs")).agg(piece.alias("x"))
+    return rows.select("x.seq_id", "x.begin", F.abs("x.end").alias("end"), F.when(F.col("x.end") < 0, -F.col("_abs")).otherwise(F.col("_abs")).alias("segment_id"))
 
 
 def bodies(firsts: DataFrame, sequences: DataFrame, k: int) -> DataFrame:
@@ -116,7 +121,8 @@ def links(found: DataFrame, k: int) -> DataFrame:
     within = rows.select("seq_id", (F.col("start") + F.col("mid")).alias("begin"), "a", size("low", "mid").alias("a_size"), "b", size("mid", "high").alias("b_size"))
     n = F.size("segment")
     end = lambda i: F.struct((F.col("start") + F.get("at", i)).alias("begin"), F.get("segment", i).alias("segment"), (F.get("at", i + 1) - F.get("at", i) + k).cast("long").alias("size"))
-    ends = found.select("seq_id", end(F.lit(0)).alias("head"), end(n - 1).alias("tail")).withColumn("begin", F.col("head.begin"))
+    # Written, since they are read twice: runs are numbered once for them.
+    ends = written(found.select("seq_id", end(F.lit(0)).alias("head"), end(n - 1).alias("tail")).withColumn("begin", F.col("head.begin")), "ends")
     both = neighbours.with_next(ends, "begin", F.col("head"), "after").where("after is not null")
     return within.unionByName(both.select("seq_id", F.col("after.begin").alias("begin"), F.col("tail.segment").alias("a"), F.col("tail.size").alias("a_size"), F.col("after.segment").alias("b"), F.col("after.size").alias("b_size")))
 

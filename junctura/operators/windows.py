@@ -16,22 +16,22 @@ def check_k(k: int) -> None:
         raise ValueError("k must be odd, so that no k-mer is its own reverse complement")
 
 
-def pieces(sequences: DataFrame) -> DataFrame:
-    """seq_id, start, seq and length of the pieces of sequences; a table without `start` has a sequence in each row."""
+def pieces(sequences: DataFrame, *kept: str) -> DataFrame:
+    """seq_id, start, seq and length of the pieces of sequences, and the columns `kept`; a table without `start` has a sequence in each row."""
     n = F.col("length") if "length" in sequences.columns else F.length("seq").cast("long")
     start = F.col("start") if "start" in sequences.columns else F.lit(0).cast("long")
-    return sequences.select("seq_id", start.alias("start"), "seq", n.alias("length"))
+    return sequences.select("seq_id", start.alias("start"), "seq", n.alias("length"), *kept)
 
 
-def _cut(sequences: DataFrame, step: int, width: int, count: Column, least: int, pad: str = "") -> DataFrame:
-    """seq_id, chunk_no, n (length with pads), count and letters: chunk i has `width` letters from i * step of pad + sequence + pad.
+def _cut(sequences: DataFrame, step: int, width: int, count: Column, least: int, pad: str = "", kept: tuple[str, ...] = ()) -> DataFrame:
+    """seq_id, chunk_no, n (length with pads), count, the columns `kept` (the same in all pieces of a sequence) and letters: chunk i has `width` letters from i * step of pad + sequence + pad.
 
     Chunks that lie within one piece are cut there; of those that a border of pieces crosses, parts meet by (seq_id, chunk_no).
     """
-    own, edge = pieces(sequences).where(F.col("length") >= least), len(pad)
+    own, edge = pieces(sequences, *kept).where(F.col("length") >= least), len(pad)
     first, last = F.col("start") == 0, F.col("start") + F.length("seq") == F.col("length")
     text = F.concat(F.when(first, F.lit(pad)).otherwise(F.lit("")), "seq", F.when(last, F.lit(pad)).otherwise(F.lit(""))).cast("binary")
-    own = own.select("seq_id", text.alias("b"), F.when(first, F.lit(0)).otherwise(F.col("start") + edge).cast("long").alias("low"), (F.col("length") + 2 * edge).alias("n"))
+    own = own.select("seq_id", text.alias("b"), F.when(first, F.lit(0)).otherwise(F.col("start") + edge).cast("long").alias("low"), (F.col("length") + 2 * edge).alias("n"), *kept)
     own = own.select("*", (F.col("low") + F.length("b")).alias("high"), count.cast("long").alias("count"))
     at, to = F.greatest(F.lit(0).cast("long"), F.floor((F.col("low") - width) / step) + 1), F.least(F.col("count") - 1, F.floor((F.col("high") - 1) / step))
     numbers = F.when(at <= to, F.sequence(at, to)).otherwise(F.array().cast("array<bigint>"))
@@ -40,23 +40,24 @@ def _cut(sequences: DataFrame, step: int, width: int, count: Column, least: int,
     whole = lambda i: (i * step >= F.col("low")) & (F.least(i * step + width, F.col("n")) <= F.col("high"))
     # Binary substrings are cut by offset; of UTF-8 strings they would walk from the start.
     part = lambda i: F.struct(i.alias("chunk_no"), begin(i).alias("at"), F.substring("b", (begin(i) - F.col("low") + 1).cast("int"), (end(i) - begin(i)).cast("int")).cast("string").alias("letters"))
-    rows = lambda chosen: own.select("seq_id", "n", "count", F.explode(F.transform(chosen, part)).alias("c"))
+    rows = lambda chosen: own.select("seq_id", "n", "count", *kept, F.explode(F.transform(chosen, part)).alias("c"))
     # Chunks are dealt out before they are exploded into many times as many bytes: a huge record, or input of few splits, is then work for all tasks.
     spark = sequences.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = rows(F.filter(numbers, whole) if "start" in sequences.columns else numbers).repartition(parts, "seq_id", "c.chunk_no").select("seq_id", "c.chunk_no", "n", "count", "c.letters")
+    found = rows(F.filter(numbers, whole) if "start" in sequences.columns else numbers).repartition(parts, "seq_id", "c.chunk_no").select("seq_id", "c.chunk_no", "n", "count", *kept, "c.letters")
     if "start" in sequences.columns:
-        across = rows(F.filter(numbers, lambda i: ~whole(i))).groupBy("seq_id", "c.chunk_no", "n", "count").agg(F.array_sort(F.collect_list(F.struct("c.at", "c.letters"))).alias("parts"))
-        found = found.unionByName(across.select("seq_id", "chunk_no", "n", "count", F.array_join(F.transform("parts", lambda x: x["letters"]), "").alias("letters")))
+        across = rows(F.filter(numbers, lambda i: ~whole(i))).groupBy("seq_id", "c.chunk_no", "n", "count", *kept).agg(F.array_sort(F.collect_list(F.struct("c.at", "c.letters"))).alias("parts"))
+        found = found.unionByName(across.select("seq_id", "chunk_no", "n", "count", *kept, F.array_join(F.transform("parts", lambda x: x["letters"]), "").alias("letters")))
     return found
 
 
-def chunks(sequences: DataFrame, size: int, overlap: int, least: int = 1) -> DataFrame:
-    """seq_id, chunk_no, start, is_final, len and letters of overlapping chunks of N + seq + N."""
+def chunks(sequences: DataFrame, size: int, overlap: int, least: int = 1, kept: tuple[str, ...] = ()) -> DataFrame:
+    """seq_id, chunk_no, start, is_final, len and letters of overlapping chunks of N + seq + N; with columns `kept`, these and the sequence's length, too."""
     step = size - overlap
     count = F.greatest(F.lit(1), F.ceil((F.col("n") - overlap) / step))
-    rows = _cut(sequences, step, size, count, least, "N")
-    return rows.select("seq_id", "chunk_no", (F.col("chunk_no") * step).alias("start"), (F.col("chunk_no") == F.col("count") - 1).alias("is_final"), F.length("letters").cast("long").alias("len"), "letters")
+    rows = _cut(sequences, step, size, count, least, "N", kept)
+    more = [*kept, (F.col("n") - 2).alias("length")] if kept else []
+    return rows.select("seq_id", "chunk_no", (F.col("chunk_no") * step).alias("start"), (F.col("chunk_no") == F.col("count") - 1).alias("is_final"), F.length("letters").cast("long").alias("len"), "letters", *more)
 
 
 def tiles(sequences: DataFrame, size: int, extra: int) -> DataFrame:

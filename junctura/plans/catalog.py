@@ -90,7 +90,7 @@ def _names(g):
 
 def q12_gfa1_occurrences(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return formats.occurrence_lines(g.numbered, _names(g), g.k, 1)
+    return formats.occurrence_lines(g.labelled(), g.k, 1)
 
 
 def q13_gfa1_links(spark, sf_dir):
@@ -109,7 +109,7 @@ def q15_gfa2_segments(spark, sf_dir):
 
 def q16_gfa2_occurrences(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return formats.occurrence_lines(g.numbered, _names(g), g.k, 2)
+    return formats.occurrence_lines(g.labelled(), g.k, 2)
 
 
 def q17_gfa2_links(spark, sf_dir):

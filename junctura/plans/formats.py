@@ -92,9 +92,9 @@ def segment_lines(bodies: DataFrame, version: int) -> DataFrame:
     return bodies.select("seq_id", F.col("begin").alias("pos"), _text("S\t", _str(F.abs("segment_id")), TAB, *size, F.col("body")).alias("line"))
 
 
-def occurrence_lines(found: DataFrame, names: DataFrame, k: int, version: int) -> DataFrame:
-    """A line for each segment of runs (segments.filled()); names go to runs, before they are rows."""
-    joined = segments.pieces(found.join(names.select("seq_id", "name", "length"), "seq_id"), "name", "length")
+def occurrence_lines(found: DataFrame, k: int, version: int) -> DataFrame:
+    """A line for each segment of runs with names and lengths (JunctionGraph.labelled())."""
+    joined = segments.pieces(found, "name", "length")
     own = F.col("segment_id")
     if version == 1:
         line = _text("C\t", _str(F.abs(own)), TAB, sign(own), TAB, F.col("name"), "\t+\t", _str("end"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from junctura.operators import junctions, packed, segments, windows
 from junctura.plans import writers
-from junctura.sources import positional
+from junctura.sources import positional, sequences
 from junctura.storage import written
 
 
@@ -130,6 +130,12 @@ class JunctionGraph:
         """Runs with the ids of the segments between their positions; what is asked of pieces is made of these."""
         return segments.filled(self._numbered, self.reserved)
 
+    def labelled(self, prefix: bool = False) -> DataFrame:
+        """numbered, with the name and the length of each run's sequence; names are joined only to runs that do not have them."""
+        if packed.names(self.numbered):
+            return self.numbered.withColumn("name", sequences.name(prefix))
+        return self.numbered.join(sequences.metadata(self.sequences, prefix).select("seq_id", "name", "length"), "seq_id")
+
     @cached_property
     def pieces(self) -> DataFrame:
         return segments.pieces(self.numbered)

@@ -105,7 +105,7 @@ class Gfa(Format):
         rows = [
             single(graph, f"H\tVN:Z:{v}.0", 0),
             part(formats.segment_lines(graph.segments, v), 2, 0),
-            part(formats.occurrence_lines(graph.numbered, found, graph.k, v), 2, 1),
+            part(formats.occurrence_lines(graph.labelled(prefix), graph.k, v), 2, 1),
             part(formats.link_lines(graph.links, graph.k, v), 2, 2),
             part(paths, 2, 3),
         ]

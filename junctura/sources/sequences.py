@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions import dna
@@ -32,10 +32,14 @@ def to_fasta(sequences: DataFrame, width: int = 70) -> DataFrame:
     return sequences.select("seq_id", F.concat(F.lit(">"), "header", F.lit("\n"), body).alias("fasta"))
 
 
+def name(prefix: bool = False) -> Column:
+    """The header, with `prefix` s<seq_id>_ before it."""
+    return F.concat(F.lit("s"), F.col("seq_id").cast("string"), F.lit("_"), F.col("header")) if prefix else F.col("header")
+
+
 def metadata(sequences: DataFrame, prefix: bool = False, file: str = "documents") -> DataFrame:
     """seq_id, name (with `prefix` s<seq_id>_ before it), length and file."""
-    name = F.concat(F.lit("s"), F.col("seq_id").cast("string"), F.lit("_"), F.col("header")) if prefix else F.col("header")
     own = F.col("file") if "file" in sequences.columns else F.lit(file)
     if "start" in sequences.columns:
         sequences = sequences.where("start = 0")
-    return sequences.select("seq_id", name.alias("name"), "length", own.alias("file"))
+    return sequences.select("seq_id", name(prefix).alias("name"), "length", own.alias("file"))

@@ -497,3 +497,16 @@ def test_edges_and_strands_by_numbers(spark):
     assert sorted(map(tuple, by_numbers.collect())) == sorted(map(tuple, by_letters.collect()))
     found = junctions.edge_degrees(graph.sequences, graph.occurrences, 5)
     assert not any("canonical" in line for line in plan(found) if "Exchange" in line) and found.count() == graph.vertices.count()
+
+
+def test_names_are_not_joined_to_runs(spark):
+    """Runs bring the names and lengths of their sequences along, in pieces of sequences, too; where they can't, names are joined to them."""
+    known = JunctionGraph(table(spark, genomes(8, gaps=0)), 7).labelled()  # without unknown letters: reserved ids are joined
+    assert "Join" not in known._jdf.queryExecution().optimizedPlan().toString()
+    seqs = genomes(9, length=3000)
+    graph = JunctionGraph(table(spark, seqs), 7)
+    pieces = spark.createDataFrame([(i, f"h{i}", at, s[at : at + 700], len(s)) for i, s in enumerate(seqs) for at in range(0, len(s), 700)], "seq_id long, header string, start long, seq string, length long")
+    bare = JunctionGraph(table(spark, seqs), 7)
+    bare.runs = graph.runs.drop("header", "length")
+    rows = [sorted(tuple(r) for r in formats.occurrence_lines(g.labelled(True), 7, 2).collect()) for g in (graph, JunctionGraph(pieces, 7), bare)]
+    assert rows[0] == rows[1] == rows[2] and rows[0]
