@@ -50,6 +50,8 @@ class JunctionGraph:
 
     @cached_property
     def _degrees(self) -> DataFrame:
+        if packed.LEAST <= self.k <= packed.MOST:
+            self._keep()  # their letters are counted first
         return packed.degrees(self.sequences, self.k) if self.k <= packed.MOST else junctions.vertices(self.occurrences)
 
     def _named(self, vertices: DataFrame) -> DataFrame:

@@ -510,3 +510,13 @@ def test_names_are_not_joined_to_runs(spark):
     bare.runs = graph.runs.drop("header", "length")
     rows = [sorted(tuple(r) for r in formats.occurrence_lines(g.labelled(True), 7, 2).collect()) for g in (graph, JunctionGraph(pieces, 7), bare)]
     assert rows[0] == rows[1] == rows[2] and rows[0]
+
+
+def test_partitions_of_kmers_follow_the_letters(spark, monkeypatch):
+    """Where the session has too few partitions, what one holds does not grow with the input."""
+    seqs = genomes(10, length=2000)
+    few = sorted(map(tuple, packed.degrees(table(spark, seqs), 25).collect()))
+    monkeypatch.setattr(packed, "HELD", 500)
+    found = packed.degrees(table(spark, seqs), 25)
+    assert found.rdd.getNumPartitions() == -(-sum(map(len, seqs)) // 500) > 4
+    assert sorted(map(tuple, found.collect())) == few
