@@ -167,12 +167,13 @@ def respelled(path_table: DataFrame, segment_table: DataFrame, k: int) -> DataFr
 def overlaps(link_table: DataFrame, segment_table: DataFrame, k: int) -> DataFrame:
     """One row: the number of links, and of those whose ends differ in the k letters that they share.
 
-    Equal links are counted first; the first segment's end then goes to the second one, once for each that differs.
+    Tasks count equal links, which go to their first segment; its end then goes to the second one, once for each two segments that follow each other.
     """
     known = segment_table.select(F.abs("segment_id").alias("id"), F.substr("body", F.lit(1), F.lit(k)).alias("head"), F.right("body", F.lit(k)).alias("tail"))
-    counted = link_table.groupBy("a", "b").agg(F.count("*").alias("n"))
+    # Dealt by the first segment alone: equal links meet where its end is.
+    own = packed.counted(link_table).repartition(F.abs("a")).select(F.abs("a").alias("id"), "a", "b", "n").groupBy("id", "a", "b").agg(F.sum("n").alias("n"))
     end = F.when(F.col("a") > 0, F.col("tail")).otherwise(dna.reverse_complement(F.col("head")))
-    ends = counted.join(known, F.abs("a") == F.col("id")).select("b", end.alias("end"), "n").groupBy("b", "end").agg(F.sum("n").alias("n"))
+    ends = own.join(known, "id").select("b", end.alias("end"), "n")
     begin = F.when(F.col("b") > 0, F.col("head")).otherwise(dna.reverse_complement(F.col("tail")))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return ends.join(known, F.abs("b") == F.col("id")).agg(total("n").alias("links"), total(F.when(F.col("end") != begin, F.col("n"))).alias("violations"))

@@ -520,3 +520,34 @@ def test_partitions_of_kmers_follow_the_letters(spark, monkeypatch):
     found = packed.degrees(table(spark, seqs), 25)
     assert found.rdd.getNumPartitions() == -(-sum(map(len, seqs)) // 500) > 4
     assert sorted(map(tuple, found.collect())) == few
+
+
+def test_links_and_segments_meet_by_few_shuffles(spark):
+    """Equal links meet where the first segment's end is, and go to the second segment once: of what overlaps() is given, four tables are shuffled."""
+    graph = JunctionGraph(table(spark, [*genomes(12, gaps=0.01), "ACGTACGTACGTA" * 9]), 5)
+    links, bodies = ranking.written(graph.links, "links"), ranking.written(graph.segments, "segments")
+    wrong = bodies.withColumn("body", F.when(F.col("segment_id") == bodies.agg(F.min("segment_id")).first()[0], F.reverse("body")).otherwise(F.col("body")))
+    rows, known = links.select("a", "b").collect(), {abs(r.segment_id): r.body for r in wrong.collect()}
+    spelled = lambda x: known[abs(x)] if x > 0 else rc(known[abs(x)])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = segments.overlaps(links, wrong, 5)
+        assert sum("Exchange hashpartitioning" in line for line in plan(found)) == 4
+        assert tuple(found.first()) == (len(rows), sum(spelled(r.a)[-5:] != spelled(r.b)[:5] for r in rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("merged", [1, 7, 1 << 21])
+def test_equal_links_of_a_task_are_counted(spark, monkeypatch, merged):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-3, 4, 500), rng.integers(-3, 4, 500)
+    monkeypatch.setattr(packed, "MERGED", merged)
+    batches = [pa.RecordBatch.from_pydict({"a": a[i : i + 50], "b": b[i : i + 50]}) for i in range(0, 500, 50)]
+    rows = [r for x in packed._counted(iter([*batches, batches[0].slice(0, 0)])) for r in x.to_pylist()]
+    got = Counter()
+    for r in rows:
+        got[r["a"], r["b"]] += r["n"]
+    assert got == Counter(zip(a.tolist(), b.tolist(), strict=True)) and (merged < 1 << 21 or len(rows) == len(got))
+    assert not list(packed._counted(iter([])))
