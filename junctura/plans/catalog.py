@@ -100,7 +100,7 @@ def q13_gfa1_links(spark, sf_dir):
 
 def q14_gfa1_paths(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return formats.path_lines(g.paths, _names(g), 1)
+    return formats.path_lines(g.dealt_paths, _names(g), 1)
 
 
 def q15_gfa2_segments(spark, sf_dir):
@@ -119,7 +119,7 @@ def q17_gfa2_links(spark, sf_dir):
 
 def q18_gfa2_paths(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return formats.path_lines(g.paths, _names(g), 2)
+    return formats.path_lines(g.dealt_paths, _names(g), 2)
 
 
 def q19_fasta_lines(spark, sf_dir):

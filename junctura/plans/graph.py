@@ -154,6 +154,11 @@ class JunctionGraph:
     def paths(self) -> DataFrame:
         return segments.paths(self.numbered)
 
+    @property
+    def dealt_paths(self) -> DataFrame:
+        """paths, dealt out by sequence: one shuffle then brings whole lines together."""
+        return segments.paths(self.numbered.repartition("seq_id"))
+
     def lines(self, fmt: str, prefix: bool = False) -> DataFrame:
         """section, seq_id, pos, n, part, line and open of a format, to be ordered by the first five; what is `open` goes on in the next row."""
         return writers.named(fmt).lines(self, prefix)

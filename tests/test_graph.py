@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from junctura.functions import dna
 from junctura.operators import junctions, neighbours, packed, ranking, segments, windows
-from junctura.plans import formats, writers
+from junctura.plans import catalog, formats, writers
 from junctura.plans.graph import JunctionGraph
 from junctura.sources import fasta, gfa, junction_file, positional
 
@@ -551,3 +551,10 @@ def test_equal_links_of_a_task_are_counted(spark, monkeypatch, merged):
         got[r["a"], r["b"]] += r["n"]
     assert got == Counter(zip(a.tolist(), b.tolist(), strict=True)) and (merged < 1 << 21 or len(rows) == len(got))
     assert not list(packed._counted(iter([])))
+
+
+@pytest.mark.parametrize("query", ["q14_gfa1_paths", "q18_gfa2_paths"])
+def test_whole_path_lines_take_one_shuffle(spark, query):
+    """Paths are shuffled once, by sequence, and not by parts first; besides them only borders of ranges are."""
+    lines = [line for line in plan(catalog.QUERIES[query](spark, "/root/testdata/sf0.001")) if "Exchange hashpartitioning" in line and "_span" not in line]
+    assert len(lines) == 2 and sum("REPARTITION_BY_COL" in line for line in lines) == 1
