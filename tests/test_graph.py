@@ -13,7 +13,7 @@ from junctura.functions import dna
 from junctura.operators import junctions, neighbours, packed, ranking, segments, windows
 from junctura.plans import catalog, formats, writers
 from junctura.plans.graph import JunctionGraph
-from junctura.sources import fasta, gfa, junction_file, positional
+from junctura.sources import fasta, gfa, junction_file, positional, sequences
 
 PAIR = {"A": "T", "C": "G", "G": "C", "T": "A"}
 
@@ -558,3 +558,14 @@ def test_whole_path_lines_take_one_shuffle(spark, query):
     """Paths are shuffled once, by sequence, and not by parts first; besides them only borders of ranges are."""
     lines = [line for line in plan(catalog.QUERIES[query](spark, "/root/testdata/sf0.001")) if "Exchange hashpartitioning" in line and "_span" not in line]
     assert len(lines) == 2 and sum("REPARTITION_BY_COL" in line for line in lines) == 1
+
+
+@pytest.mark.parametrize("variant", sequences.VARIANTS)
+def test_letters_of_documents(spark, variant):
+    """Letters are taken by bytes, and no text by a regular expression; other characters, of any number of bytes, go."""
+    texts = [None, "", "zz", "aCgT", "Ünächst ACGT\u212akK\u0131\n", "\U0001f600xy\x00nN", "acgtURYKMSWBDHVXN-" * 300, "", "é"]
+    kept, unknown = sequences.VARIANTS[variant]
+    expected = [(i, f"doc{i}", s := "".join("N" if c.upper() in unknown else c.upper() for c in t or "" if c in kept + kept.lower()), len(s)) for i, t in enumerate(texts)]
+    found = sequences.from_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), variant)
+    assert sorted(tuple(r) for r in found.select("seq_id", "header", "seq", "length").collect()) == expected
+    assert not any("regexp" in line for line in plan(found))
