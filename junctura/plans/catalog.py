@@ -69,7 +69,7 @@ def q07_seq_lines(spark, sf_dir):
 
 
 def q08_group_lines(spark, sf_dir):
-    return formats.group_lines(_graph(spark, sf_dir).positions)
+    return formats.group_lines(packed.dealt(_graph(spark, sf_dir).runs), dealt=True)
 
 
 def q09_dot_lines(spark, sf_dir):

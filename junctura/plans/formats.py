@@ -5,10 +5,16 @@ A line may be put together of several rows, so that none grows with a sequence o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from junctura.operators import segments
+from junctura.operators.packed import text_bytes
 from junctura.operators.ranking import ranked
 
 TAB = "\t"
@@ -63,16 +69,56 @@ def joined_lines(pieces: DataFrame, *keys: str) -> DataFrame:
     return pieces.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "").alias("line"))
 
 
-def group_lines(positions: DataFrame) -> DataFrame:
+def _whole_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A line per id of places in order of (id, seq_id, pos): what a batch has of its last line goes on in the next batch, and is held as the line's bytes alone."""
+
+    def lines(first: pa.RecordBatch, ends: np.ndarray, letters: np.ndarray | bytearray) -> pa.RecordBatch:
+        line = pa.StringArray.from_buffers(first.num_rows, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters))
+        return pa.RecordBatch.from_arrays([first.column("seq_id"), first.column("pos"), line], ["seq_id", "pos", "line"])
+
+    def ended() -> pa.RecordBatch:
+        if len(held) > np.iinfo(np.int32).max:
+            raise ValueError("a line is too long for a row; write a file, where a line may be several rows")
+        return lines(first, np.array([0, len(held)]), held)
+
+    first, held = None, bytearray()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        text = pc.binary_join_element_wise(*[pc.cast(batch.column(c), pa.string()) for c in ("seq_id", "pos")], " ")
+        letters, bounds = text_bytes(pc.binary_join_element_wise(text, "", "; "))
+        new = np.flatnonzero(np.diff(ids := batch.column("junction_id").to_numpy(), prepend=~ids[:1]))
+        ends = bounds[np.append(new, len(ids))]
+        if first is not None and first.column("junction_id")[0].as_py() == ids[0]:
+            held += letters[: ends[1]].data
+            new, ends = new[1:], ends[1:]
+        if not len(new):
+            continue
+        if first is not None:
+            yield ended()
+        if len(new) > 1:
+            yield lines(batch.take(pa.array(new[:-1])), ends[:-1] - ends[0], letters[ends[0] : ends[-2]])
+        first, held = batch.take(pa.array(new[-1:])), bytearray(letters[ends[-2] : ends[-1]].data)
+    if first is not None:
+        yield ended()
+
+
+def _near() -> Column:
+    """One number that never falls in order of (junction_id, seq_id): ordered by it first, few rows are compared by all their columns."""
+    number, low = F.col("junction_id"), F.least(F.greatest("seq_id", F.lit(0)), F.lit((1 << 32) - 1))
+    beyond = F.when(number > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63)))
+    return F.when(F.abs(number) < 1 << 31, F.shiftleft(number, 32) + low).otherwise(beyond)
+
+
+def group_lines(places: DataFrame, dealt: bool = False) -> DataFrame:
     """A line per signed id, all its places, ordered by the first; seq_id and pos are those of the first.
 
-    Whole lines hold all places of an id, so one shuffle brings them together; files take group_pieces().
+    Whole lines hold all places of an id, so one shuffle brings them together (`dealt`: it has, as packed.dealt() does); files take group_pieces().
+    Places are ordered by Spark's sort, which spills, and a task holds one line's text at a time, not its places.
     """
-    rows = positions.select("junction_id", "seq_id", "pos").repartition("junction_id").groupBy("junction_id")
-    found = rows.agg(F.array_sort(F.collect_list(F.struct("seq_id", "pos"))).alias("places"))
-    text = F.array_join(F.transform("places", lambda x: F.concat(x["seq_id"].cast("string"), F.lit(" "), x["pos"].cast("string"), F.lit("; "))), "")
-    first = F.get("places", F.lit(0))
-    return found.select(first["seq_id"].alias("seq_id"), first["pos"].alias("pos"), text.alias("line"))
+    rows = places.select("junction_id", "seq_id", "pos")
+    rows = rows if dealt else rows.repartition("junction_id")
+    return rows.sortWithinPartitions(_near(), "junction_id", "seq_id", "pos").mapInArrow(_whole_lines, "seq_id long, pos long, line string")
 
 
 def dot_lines(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -569,3 +570,66 @@ def test_letters_of_documents(spark, variant):
     found = sequences.from_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), variant)
     assert sorted(tuple(r) for r in found.select("seq_id", "header", "seq", "length").collect()) == expected
     assert not any("regexp" in line for line in plan(found))
+
+
+def lines_of(places):
+    """What group_lines() gives of rows (junction_id, seq_id, pos), by a plain loop."""
+    found = {}
+    for number, seq, pos in sorted(places):
+        found.setdefault(number, []).append((seq, pos))
+    return sorted((*x[0], "".join(f"{s} {p}; " for s, p in x)) for x in found.values())
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 500])
+def test_group_lines_go_on_from_batch_to_batch(size):
+    rng = np.random.default_rng(size)
+    places = sorted(set(zip((rng.integers(-3, 4, 300) ** 3).tolist(), rng.integers(-5, 1 << 40, 300).tolist(), rng.integers(0, 99, 300).tolist(), strict=True)))
+    table = pa.Table.from_pylist([dict(zip(("junction_id", "seq_id", "pos"), x, strict=True)) for x in places])
+    batches = table.to_batches(max_chunksize=size)
+    got = [tuple(r.values()) for b in formats._whole_lines(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+    assert sorted(got) == lines_of(places)
+    assert not list(formats._whole_lines(iter([batches[0].slice(0, 0)])))
+
+
+def test_a_group_line_is_held_as_its_text_alone():
+    """A line of a million places takes about its own bytes, not those of its places."""
+    batches = (pa.RecordBatch.from_pydict({"junction_id": np.full(10_000, -1), "seq_id": np.full(10_000, 1_000_000 + i), "pos": np.arange(10_000)}) for i in range(100))
+    tracemalloc.start()
+    try:
+        (found,) = formats._whole_lines(batches)
+        size, peak = len(found.column("line")[0].as_py()), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size == 100 * sum(len(f"1000000 {i}; ") for i in range(10_000)) and peak < 4 * size
+
+
+def test_group_lines_collect_no_places(spark, monkeypatch):
+    """No array holds an id's places, in the query or of any table of positions; partitions follow the positions where the session has too few."""
+    found = catalog.QUERIES["q08_group_lines"](spark, "/root/testdata/sf0.001")
+    graph = JunctionGraph(table(spark, genomes(13)), 5)
+    monkeypatch.setattr(packed, "HELD", 100)
+    dealt = packed.dealt(graph.runs)
+    assert not any("collect" in line or "Aggregate" in line for df in (found, formats.group_lines(graph.positions)) for line in plan(df))
+    places = [tuple(r) for r in graph.positions.select("junction_id", "seq_id", "pos").collect()]
+    assert dealt.rdd.getNumPartitions() == -(-len(places) // 100) > 4
+    assert sorted(map(tuple, dealt.collect())) == sorted(places)
+    assert sorted(map(tuple, formats.group_lines(dealt, dealt=True).collect())) == lines_of(places)
+
+
+def test_group_lines_of_far_numbers(spark):
+    """Order does not depend on numbers fitting 32 bits."""
+    ids, seqs = [1, -1, 7, (1 << 31) - 1, 1 << 31, 1 << 40, -(1 << 31), -(1 << 40)], [-(1 << 40), -1, 0, 5, (1 << 32) - 1, 1 << 32, 1 << 50]
+    places = [(i, s, p) for p in (11, 2, 30) for s in seqs for i in ids]
+    df = spark.createDataFrame(places, "junction_id long, seq_id long, pos long")
+    assert sorted(map(tuple, formats.group_lines(df).collect())) == lines_of(places)
+
+
+@pytest.mark.parametrize("dealt", [1, 3, 1 << 10])
+def test_positions_of_runs_are_dealt(monkeypatch, dealt):
+    """Each part of some runs is one row; runs without positions and sequences without an id go through."""
+    monkeypatch.setattr(packed, "DEALT", dealt)
+    runs = [{"seq_id": 4, "start": 512, "at": [0, 3], "id": [5, -5]}, {"seq_id": None, "start": 0, "at": [1], "id": [-1]}, {"seq_id": 2, "start": 0, "at": [], "id": []}, {"seq_id": 9, "start": 0, "at": [8, 9, 11], "id": [1, 5, 1]}]
+    schema = pa.schema([("seq_id", pa.int64()), ("start", pa.int64()), ("at", pa.list_(pa.int32())), ("id", pa.list_(pa.int64()))])
+    parts = [x for b in packed._dealt(3)(iter([pa.RecordBatch.from_pylist(runs, schema=schema)])) for x in b.to_pylist()]
+    rows = [(x["part"], *r.values()) for x in parts for b in packed._unpacked(iter([pa.RecordBatch.from_pylist([x])])) for r in b.to_pylist()]
+    assert sorted(rows, key=str) == sorted([(i % 3, i, r["seq_id"], r["start"] + at) for r in runs for i, at in zip(r["id"], r["at"], strict=True)], key=str)
